@@ -62,3 +62,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark.sparkContext.setLogLevel("ERROR")
     ensure_session_defaults(spark)
     return spark
+
+
+def materialize(df):
+    """Cut the lineage of ``df`` by writing it to the shared checkpoint folder.
+
+    Used where one intermediate feeds several passes (quantiles, splits,
+    model fitting): the rows are computed once, and a lost executor is
+    recovered from the checkpoint files, not by recomputing the windows.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
