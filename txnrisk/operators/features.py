@@ -47,6 +47,8 @@ from pyspark.sql import types as T
 from txnrisk.functions import scalars as S
 from txnrisk.schema import DAY_NS, DAY_US, DERIVED_FEATURES
 
+HALF_DAY_US = DAY_US // 2
+
 ColumnOrName = Column | str
 
 _US = "_f_us"
@@ -75,28 +77,26 @@ def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
 # One key, blocked strategy
 # ---------------------------------------------------------------------------
 
-def _day_table(base: DataFrame, key: str, amount: str, units: str, p: str) -> DataFrame:
-    """Narrow per-(key, UTC day) table: the day's first ordinal, the previous
-    active day's last timestamp, and the key-level sum/count/max of amount.
+def _block_table(base: DataFrame, key: str, amount: str, units: str, p: str) -> DataFrame:
+    """Narrow per-(key, 12 h block) table: the previous active block's last
+    timestamp and the key-level sum/count/max of amount.
 
-    Partial aggregation shrinks the rows to one per active (key, day) before
-    any shuffle; the window over days then runs per key on that small table.
-    It reads only raw columns, so it never recomputes another key's stage.
+    Partial aggregation shrinks the rows to one per active (key, block) before
+    any shuffle; the window over blocks then runs per key on that small table
+    (a key active for ten years has ~7 300 blocks). It reads only raw columns,
+    so it never recomputes another key's stage.
     """
-    day = f"{p}day"
-    days = base.groupBy(key, _floor_div(_US, DAY_US).alias(day)).agg(
-        F.count(F.lit(1)).alias("_n"),
+    blk = f"{p}blk"
+    blocks = base.groupBy(key, _floor_div(_US, HALF_DAY_US).alias(blk)).agg(
         F.max(_US).alias("_last"),
         F.sum(units).alias("_s"),
         F.count(amount).alias("_c"),
         F.max(amount).alias("_m"),
     )
     by_key = Window.partitionBy(key)
-    by_day = by_key.orderBy(day)
-    return days.select(
-        key, day,
-        F.sum("_n").over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{p}off"),
-        F.lag("_last").over(by_day).alias(f"{p}prev_last"),
+    return blocks.select(
+        key, blk,
+        F.lag("_last").over(by_key.orderBy(blk)).alias(f"{p}prev_last"),
         F.sum("_s").over(by_key).alias(f"{p}ksum"),
         F.sum("_c").over(by_key).alias(f"{p}kcnt"),
         F.max("_m").over(by_key).alias(f"{p}max"),
@@ -104,78 +104,79 @@ def _day_table(base: DataFrame, key: str, amount: str, units: str, p: str) -> Da
 
 
 def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid: str, p: str,
-                          days: DataFrame | None = None) -> DataFrame:
+                          blocks: DataFrame | None = None) -> DataFrame:
     """Adds ``{p}since``, ``{p}rsum``, ``{p}rcnt``, ``{p}rcnt_amt``, ``{p}rmax``,
-    ``{p}ksum``, ``{p}kcnt``, ``{p}max`` for one key.
-
-    The rows flow through exactly two shuffles: ``(key, day)`` for the join
-    with the day table and the ordinal window, and ``(key, ns-block)``.
+    ``{p}ksum``, ``{p}kcnt``, ``{p}max`` for one key, with one shuffle of the rows.
+
+    Rows are cut into 12 h blocks (UTC). A row's 24 h frame lies inside its own
+    block and the two before it, so each row is emitted as the *owner* of its
+    block and as a narrow *copy* into the next two blocks (the wide columns
+    travel once, in a struct that is NULL on copies). A partition
+    ``(key, block)`` then holds every row of that key from ``block-2`` to
+    ``block`` — a contiguous run — so a local ``row_number`` gives the same
+    order-key differences as the key-wide ordinal; no global sort is needed.
+
+    * earlier owners of the block are always inside the frame (they are less
+      than 12 h older): a running aggregate, ascending;
+    * copies inside the frame are those with ``ns ≥ ns_i - 24h``: a running
+      aggregate in descending order with a ``RANGE … 24h FOLLOWING`` bound.
+
+    Both are cumulative frames, which Spark evaluates incrementally.
     """
-    day = f"{p}day"
     blk = f"{p}blk"
     own = f"{p}own"
     payload = f"{p}payload"
-    if days is None:
-        days = _day_table(df, key, amount, units, p)
-    rows = df.withColumn(day, _floor_div(_US, DAY_US))
-
-    # (2) ordinal and previous timestamp inside (key, day). A NULL key matches
-    # no day row: its ordinal restarts per day, which keeps those rows spread
-    # over days; their features are masked by the caller.
-    rows = rows.join(days, on=[key, day], how="left")
-    w = Window.partitionBy(key, day).orderBy(_US, _SEQ)
-    prev = F.coalesce(F.lag(_US).over(w), F.col(f"{p}prev_last"))
-    ordinal = F.coalesce(F.col(f"{p}off"), F.lit(0)) + F.row_number().over(w) - F.lit(1)
-    rows = rows.withColumns({
-        _NS: F.col(_US) * F.lit(1000) + ordinal,
-        f"{p}since": F.when(prev.isNull(), F.lit(0.0)).otherwise((F.col(_US) - prev) / F.lit(1_000_000.0)),
-    }).drop(day, f"{p}off", f"{p}prev_last")
-
-    # (3) rolling frame: every row is emitted as the owner of its ns-block and
-    # as a copy into the next block. The wide columns travel once, packed in
-    # a struct that is NULL on the copy.
-    narrow = [key, _NS, amount, units, tid]
-    wide = [c for c in rows.columns if c not in narrow]
-    b = _floor_div(_NS, DAY_NS)
-    tagged = rows.select(
+    if blocks is None:
+        blocks = _block_table(df, key, amount, units, p)
+
+    narrow = [key, _US, _SEQ, amount, units, tid]
+    wide = [c for c in df.columns if c not in narrow]
+    b = _floor_div(_US, HALF_DAY_US)
+    tagged = df.select(
         *narrow,
         F.struct(*wide).alias(payload),
-        F.explode(F.array(
-            F.struct(b.alias("b"), F.lit(True).alias("o")),
-            F.struct((b + F.lit(1)).alias("b"), F.lit(False).alias("o")),
-        )).alias("_e"),
+        F.explode(F.array(*[
+            F.struct((b + F.lit(i)).alias("b"), F.lit(i == 0).alias("o")) for i in range(3)
+        ])).alias("_e"),
     ).select(
         *narrow,
         F.col("_e.b").alias(blk),
         F.col("_e.o").alias(own),
         F.when(F.col("_e.o"), F.col(payload)).alias(payload),
     )
+    # block facts (previous active block's last timestamp, key totals) for the
+    # owner rows; the join shares the (key, block) exchange with the windows
+    x = tagged.join(blocks, on=[key, blk], how="left")
 
     is_own = F.col(own)
-    a_own = F.when(is_own, F.col(amount))
-    u_own = F.when(is_own, F.col(units))
-    t_own = F.when(is_own, F.col(tid))
-    a_cp = F.when(~is_own, F.col(amount))
-    u_cp = F.when(~is_own, F.col(units))
-    t_cp = F.when(~is_own, F.col(tid))
-    asc = Window.partitionBy(key, blk).orderBy(_NS).rowsBetween(Window.unboundedPreceding, -1)
+    a_own, u_own, t_own = (F.when(is_own, F.col(c)) for c in (amount, units, tid))
+    a_cp, u_cp, t_cp = (F.when(~is_own, F.col(c)) for c in (amount, units, tid))
+    w = Window.partitionBy(key, blk).orderBy(_US, _SEQ)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumns({
+        _NS: F.col(_US) * F.lit(1000) + F.row_number().over(w),
+        "_prev": F.coalesce(F.lag(_US).over(w), F.col(f"{p}prev_last")),
+        "_os": F.sum(u_own).over(before), "_oc": F.count(a_own).over(before),
+        "_ot": F.count(t_own).over(before), "_om": F.max(a_own).over(before),
+    })
     desc = Window.partitionBy(key, blk).orderBy(F.col(_NS).desc()).rangeBetween(Window.unboundedPreceding, DAY_NS)
-    both = tagged.withColumns({
-        "_os": F.sum(u_own).over(asc), "_oc": F.count(a_own).over(asc),
-        "_ot": F.count(t_own).over(asc), "_om": F.max(a_own).over(asc),
+    x = x.withColumns({
         "_cs": F.sum(u_cp).over(desc), "_cc": F.count(a_cp).over(desc),
         "_ct": F.count(t_cp).over(desc), "_cm": F.max(a_cp).over(desc),
     }).filter(is_own)
     s_own, s_cp = F.col("_os"), F.col("_cs")
     rsum = F.when(s_own.isNull() & s_cp.isNull(), F.lit(None)).otherwise(
         F.coalesce(s_own, F.lit(0)) + F.coalesce(s_cp, F.lit(0)))
-    return both.select(
+    prev = F.col("_prev")
+    return x.select(
         *narrow,
         *[F.col(f"{payload}.{c}").alias(c) for c in wide],
+        F.when(prev.isNull(), F.lit(0.0)).otherwise((F.col(_US) - prev) / F.lit(1_000_000.0)).alias(f"{p}since"),
         rsum.alias(f"{p}rsum"),
         (F.col("_oc") + F.col("_cc")).alias(f"{p}rcnt_amt"),
         (F.col("_ot") + F.col("_ct")).alias(f"{p}rcnt"),
         F.greatest("_om", "_cm").alias(f"{p}rmax"),
+        F.col(f"{p}ksum"), F.col(f"{p}kcnt"), F.col(f"{p}max"),
     )
 
 
@@ -255,8 +256,8 @@ def engineer_features(
     x = add_calendar_features(x)
     if strategy == "blocked":
         # both day tables come from the input, so neither re-runs a key stage
-        d_org = _day_table(x, "organization_id", "amount", _UNITS, "_o_")
-        d_user = _day_table(x, "user_id", "amount", _UNITS, "_u_")
+        d_org = _block_table(x, "organization_id", "amount", _UNITS, "_o_")
+        d_user = _block_table(x, "user_id", "amount", _UNITS, "_u_")
         x = _key_features_blocked(x, "organization_id", "amount", _UNITS, "transaction_id", "_o_", d_org)
         x = _key_features_blocked(x, "user_id", "amount", _UNITS, "transaction_id", "_u_", d_user)
     else:
