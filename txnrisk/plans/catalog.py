@@ -598,6 +598,12 @@ def q_fit_predict(spark, sf_dir):
     return ML.fraud_probability(model, test).select("transaction_id", "is_fraud", "prediction", "fraud_probability")
 
 
+@query("fraud_probability")
+def q_fraud_probability(spark, sf_dir):
+    """M7: P(fraud) of every held-out row (rows-only: depends on the solver)."""
+    return q_fit_predict(spark, sf_dir).select("transaction_id", "fraud_probability")
+
+
 @query("evaluate_model")
 def q_evaluate_model(spark, sf_dir):
     pred = q_fit_predict(spark, sf_dir)
