@@ -144,18 +144,14 @@ def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid:
         F.col("_e.o").alias(own),
         F.when(F.col("_e.o"), F.col(payload)).alias(payload),
     )
-    # block facts (previous active block's last timestamp, key totals) for the
-    # owner rows; the join shares the (key, block) exchange with the windows
-    x = tagged.join(blocks, on=[key, blk], how="left")
-
     is_own = F.col(own)
     a_own, u_own, t_own = (F.when(is_own, F.col(c)) for c in (amount, units, tid))
     a_cp, u_cp, t_cp = (F.when(~is_own, F.col(c)) for c in (amount, units, tid))
     w = Window.partitionBy(key, blk).orderBy(_US, _SEQ)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = x.withColumns({
+    x = tagged.withColumns({
         _NS: F.col(_US) * F.lit(1000) + F.row_number().over(w),
-        "_prev": F.coalesce(F.lag(_US).over(w), F.col(f"{p}prev_last")),
+        "_prev": F.lag(_US).over(w),
         "_os": F.sum(u_own).over(before), "_oc": F.count(a_own).over(before),
         "_ot": F.count(t_own).over(before), "_om": F.max(a_own).over(before),
     })
@@ -164,10 +160,13 @@ def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid:
         "_cs": F.sum(u_cp).over(desc), "_cc": F.count(a_cp).over(desc),
         "_ct": F.count(t_cp).over(desc), "_cm": F.max(a_cp).over(desc),
     }).filter(is_own)
+    # block facts (previous active block's last timestamp, key totals) join the
+    # owners only, on the (key, block) partitioning and order the windows left
+    x = x.join(blocks, on=[key, blk], how="left")
     s_own, s_cp = F.col("_os"), F.col("_cs")
     rsum = F.when(s_own.isNull() & s_cp.isNull(), F.lit(None)).otherwise(
         F.coalesce(s_own, F.lit(0)) + F.coalesce(s_cp, F.lit(0)))
-    prev = F.col("_prev")
+    prev = F.coalesce(F.col("_prev"), F.col(f"{p}prev_last"))
     return x.select(
         *narrow,
         *[F.col(f"{payload}.{c}").alias(c) for c in wide],
@@ -253,7 +252,6 @@ def engineer_features(
         _SEQ: F.col(seq),
         _UNITS: money_units("amount", amount_scale),
     })
-    x = add_calendar_features(x)
     if strategy == "blocked":
         # both day tables come from the input, so neither re-runs a key stage
         d_org = _block_table(x, "organization_id", "amount", _UNITS, "_o_")
@@ -276,7 +274,13 @@ def engineer_features(
 
     u_avg = F.when(user_null, null_d).otherwise(mean("_u_ksum", "_u_kcnt"))
     ratio_col = S.ratio_serving("amount", u_avg) if ratio == "serving" else S.ratio_training("amount", u_avg)
-    out = x.withColumns({
+    d = F.col("date")
+    derived = {
+        "timestamp": S.epoch_seconds(d),
+        "hour_of_day": S.hour_of_day(d),
+        "day_of_week": S.day_of_week(d),
+        "month": S.month(d),
+        "day_of_month": S.day_of_month(d),
         "time_since_last_user_txn": filled(F.col("_u_since"), user_null).cast(T.DoubleType()),
         "time_since_last_org_txn": filled(F.col("_o_since"), org_null).cast(T.DoubleType()),
         "rolling_sum_24hr_org": filled(units_to_money(F.col("_o_rsum"), amount_scale), org_null).cast(T.DoubleType()),
@@ -288,9 +292,10 @@ def engineer_features(
         "org_avg_amount": F.when(org_null, null_d).otherwise(mean("_o_ksum", "_o_kcnt")),
         "org_max_amount": F.when(org_null, null_d).otherwise(F.col("_o_max")).cast(T.DoubleType()),
         "amount_to_user_avg_ratio": ratio_col.cast(T.DoubleType()),
-    })
+    }
     passthrough = [c for c in df.columns if keep_date or c != "date"]
-    return out.select(*passthrough, *DERIVED_FEATURES)
+    # one projection for all derived columns (one analysis pass, one codegen stage)
+    return x.select(*passthrough, *[derived[c].alias(c) for c in DERIVED_FEATURES])
 
 
 def rolling_order_key(df: DataFrame, key: str, seq: str = "transaction_id") -> DataFrame:

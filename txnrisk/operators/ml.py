@@ -37,6 +37,11 @@ from txnrisk.schema import CATEGORICAL_FEATURES, NON_FEATURE_COLUMNS, NUMERIC_FE
 
 MAX_LEVELS = 10_000
 HASH_FEATURES = 1 << 18
+# liblinear's defaults (the reference's solver): tolerance 1e-4, at most 100 iterations
+SOLVER_TOL = 1e-4
+SOLVER_MAX_ITER = 100
+# an iterative solver pays a per-task cost every pass: no task gets fewer rows
+ROWS_PER_TASK = 50_000
 
 
 # --- P2 / P8 ----------------------------------------------------------------------
@@ -135,7 +140,8 @@ def category_levels(df: DataFrame, cols: list[str]) -> dict[str, int]:
 
 def build_pipeline(numeric: list[str], categorical: list[str], levels: dict[str, int] | None = None,
                    max_levels: int = MAX_LEVELS, label: str = "is_fraud", weight: str = "class_weight",
-                   reg_param: float = 0.0, max_iter: int = 100) -> Pipeline:
+                   reg_param: float = 0.0, max_iter: int = SOLVER_MAX_ITER,
+                   tol: float = SOLVER_TOL) -> Pipeline:
     """M2–M5 as one Spark ML pipeline."""
     levels = levels or {}
     low = [c for c in categorical if levels.get(c, 0) <= max_levels]
@@ -161,22 +167,35 @@ def build_pipeline(numeric: list[str], categorical: list[str], levels: dict[str,
         VectorAssembler(inputCols=parts, outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight,
                            regParam=reg_param, elasticNetParam=0.0, standardization=False,
-                           maxIter=max_iter, family="binomial"),
+                           maxIter=max_iter, tol=tol, family="binomial"),
     ]
     return Pipeline(stages=stages)
 
 
 def fit_model(train: DataFrame, label: str = "is_fraud", max_levels: int = MAX_LEVELS,
-              max_iter: int = 100) -> PipelineModel:
-    """M5: fit the balanced, L2-regularised pipeline on engineered rows."""
+              max_iter: int = SOLVER_MAX_ITER) -> PipelineModel:
+    """M5: fit the balanced, L2-regularised pipeline on engineered rows.
+
+    The weighted training set is read by several passes (levels, scaler,
+    indexers, every solver iteration): it is persisted once, in
+    ``defaultParallelism`` partitions at most and no fewer than
+    ``ROWS_PER_TASK`` rows each.
+    """
+    from pyspark import StorageLevel
+
     contract = feature_contract(train.columns)
     numeric, categorical = contract["numeric"], contract["categorical"]
-    weighted = with_class_weight(train, label)
+    weighted = with_class_weight(train, label).withColumn(label, F.col(label).cast(T.DoubleType()))
     n = weighted.count()
-    levels = category_levels(weighted, categorical)
-    pipe = build_pipeline(numeric, categorical, levels, max_levels, label,
-                          reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter)
-    return pipe.fit(weighted.withColumn(label, F.col(label).cast(T.DoubleType())))
+    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_TASK)))
+    data = weighted.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        levels = category_levels(data, categorical)
+        pipe = build_pipeline(numeric, categorical, levels, max_levels, label,
+                              reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter)
+        return pipe.fit(data)
+    finally:
+        data.unpersist()
 
 
 def fraud_probability(model: PipelineModel, df: DataFrame) -> DataFrame:

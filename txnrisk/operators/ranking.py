@@ -18,54 +18,70 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 1_000_000
 
 
+def _bracket_counts(vals: DataFrame, ks: list[int], n: int, accuracy: int):
+    """For ranks ``ks`` (0-based, sorted): ``(below, [(value, count), …])`` —
+    the number of values under the bracket and the distinct values inside it.
+
+    One sketch pass brackets every rank at once; one more pass returns the
+    below-bracket count together with the (bounded) in-bracket value counts.
+    """
+    slack = 1 + 2 * n / accuracy
+    qlo = max(0.0, (min(ks) - slack) / n)
+    qhi = min(1.0, (max(ks) + 1 + slack) / n)
+    lo = hi = None
+    if qlo > 0.0 or qhi < 1.0:
+        lo, hi = vals.agg(F.percentile_approx("v", [qlo, qhi], accuracy).alias("b")).first()["b"]
+        lo = None if qlo == 0.0 else lo
+        hi = None if qhi == 1.0 else hi
+    below = F.lit(False) if lo is None else (F.col("v") < F.lit(lo))
+    above = F.lit(False) if hi is None else (F.col("v") > F.lit(hi))
+    rows = (vals.filter(~above)
+            .groupBy(F.when(below, F.lit(None)).otherwise(F.col("v")).alias("v"))
+            .count().collect())
+    below_n = sum(r["count"] for r in rows if r["v"] is None)
+    counts = sorted((r["v"], r["count"]) for r in rows if r["v"] is not None)
+    return below_n, counts
+
+
+def _pick(below: int, counts, k: int):
+    """``(value, rows strictly below it, its multiplicity)`` at rank ``k``."""
+    seen = below
+    for v, c in counts:
+        if seen + c > k:
+            return v, seen, c
+        seen += c
+    raise RuntimeError("rank outside the sketch bracket")  # pragma: no cover
+
+
+def _values(df: DataFrame, col: str) -> DataFrame:
+    return df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+
+
 def value_at_rank(df: DataFrame, col: str, k: int, n: int | None = None,
                   accuracy: int = DEFAULT_ACCURACY):
     """The value at 0-based position ``k`` of ``col`` sorted ascending (NULLs
     ignored), or None when ``k`` is out of range. Exact."""
-    vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    vals = _values(df, col)
     if n is None:
         n = vals.count()
     if k < 0 or k >= n:
         return None
-    # rank bracket [k - 1 - 2n/A, k + 1 + 2n/A] in percentage terms; the sketch's
-    # rank error is at most n/A, so the true k-th value lies inside it
-    slack = 1 + 2 * n / accuracy
-    qlo = max(0.0, (k - slack) / n)
-    qhi = min(1.0, (k + 1 + slack) / n)
-    lo, hi = vals.agg(F.percentile_approx("v", [qlo, qhi], accuracy).alias("b")).first()["b"]
-    if qlo == 0.0:
-        lo = None
-    if qhi == 1.0:
-        hi = None
-    cond = F.lit(True)
-    if lo is not None:
-        cond = cond & (F.col("v") >= F.lit(lo))
-    if hi is not None:
-        cond = cond & (F.col("v") <= F.lit(hi))
-    below = 0 if lo is None else vals.filter(F.col("v") < F.lit(lo)).count()
-    target = k - below
-    # distinct values in the bracket with their multiplicity; bounded by the
-    # sketch's rank error, so sorting them in one place is safe
-    counts = vals.filter(cond).groupBy("v").count().orderBy("v").collect()
-    seen = 0
-    for row in counts:
-        if seen + row["count"] > target:
-            return row["v"]
-        seen += row["count"]
-    raise RuntimeError("value_at_rank: bracket did not contain the rank")  # pragma: no cover
+    below, counts = _bracket_counts(vals, [k], n, accuracy)
+    return _pick(below, counts, k)[0]
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = DEFAULT_ACCURACY):
     """Quantile with linear interpolation between closest ranks (the pandas /
     ``quantile_cont`` definition). Exact, None on empty input."""
-    vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    vals = _values(df, col)
     n = vals.count()
     if n == 0:
         return None
     pos = (n - 1) * q
     lo_i, hi_i = math.floor(pos), math.ceil(pos)
-    lo = value_at_rank(vals, "v", lo_i, n, accuracy)
-    hi = lo if hi_i == lo_i else value_at_rank(vals, "v", hi_i, n, accuracy)
+    below, counts = _bracket_counts(vals, [lo_i, hi_i], n, accuracy)
+    lo = _pick(below, counts, lo_i)[0]
+    hi = _pick(below, counts, hi_i)[0]
     return lo + (hi - lo) * (pos - lo_i)
 
 
@@ -73,17 +89,21 @@ def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str,
                accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """The ``k`` rows with the smallest ``(key, tiebreak)``, exactly.
 
-    The k-th key value is found with ``value_at_rank``; rows strictly below
-    it are selected by a filter, and only the tie group of that value is
-    ordered (it is as large as the number of rows sharing one key value).
+    The k-th key value ``v`` is found from the bracket counts; rows below it
+    are a filter. Only when ``v`` is shared by more rows than needed is its
+    tie group ordered by ``tiebreak`` (its size is the multiplicity of one
+    key value).
     """
     if k <= 0:
         return df.limit(0)
-    n = df.filter(F.col(key).isNotNull()).count()
+    valid = df.filter(F.col(key).isNotNull())
+    vals = _values(df, key)
+    n = vals.count()
     if k >= n:
-        return df.filter(F.col(key).isNotNull())
-    v = value_at_rank(df, key, k - 1, n, accuracy)
-    less = df.filter(F.col(key) < F.lit(v))
-    c_less = less.count()
-    ties = df.filter(F.col(key) == F.lit(v)).orderBy(tiebreak).limit(k - c_less)
-    return less.unionByName(ties)
+        return valid
+    below, counts = _bracket_counts(vals, [k - 1], n, accuracy)
+    v, c_less, mult = _pick(below, counts, k - 1)
+    if c_less + mult == k:
+        return valid.filter(F.col(key) <= F.lit(v))
+    ties = valid.filter(F.col(key) == F.lit(v)).orderBy(tiebreak).limit(k - c_less)
+    return valid.filter(F.col(key) < F.lit(v)).unionByName(ties)

@@ -593,7 +593,7 @@ def _train_test(spark, sf_dir):
 @query("fit_predict")
 def q_fit_predict(spark, sf_dir):
     split = _train_test(spark, sf_dir)
-    model = ML.fit_model(split.filter(F.col("split") == "train").drop("split"), max_iter=50)
+    model = ML.fit_model(split.filter(F.col("split") == "train").drop("split"))
     test = split.filter(F.col("split") == "test").drop("split")
     return ML.fraud_probability(model, test).select("transaction_id", "is_fraud", "prediction", "fraud_probability")
 
@@ -618,7 +618,7 @@ def q_evaluate_model(spark, sf_dir):
 @query("score_latest")
 def q_score_latest(spark, sf_dir):
     split = _train_test(spark, sf_dir)
-    model = ML.fit_model(split.filter(F.col("split") == "train").drop("split"), max_iter=50)
+    model = ML.fit_model(split.filter(F.col("split") == "train").drop("split"))
     clean = IN.clean_processor(FX.txn_events(spark, sf_dir))
     return ML.score_latest(clean, model).select("transaction_id", "date", "amount", "fraud_probability")
 
