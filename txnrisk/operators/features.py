@@ -299,17 +299,12 @@ def engineer_features(
 
 
 def rolling_order_key(df: DataFrame, key: str, seq: str = "transaction_id") -> DataFrame:
-    """The per-key ordinal and the strictly increasing order key
-    ``epoch_µs·1000 + ordinal``, computed with the skew-safe day blocking."""
+    """The per-key ordinal (0-based position in ``(date, seq)`` order) and
+    the strictly increasing order key ``epoch_µs·1000 + ordinal``; numbered
+    per (key, UTC day) with day offsets, so no key is sorted in one task."""
+    from txnrisk.operators.ranking import keyed_row_number
+
     x = df.withColumns({_US: F.unix_micros(F.col("date")), _SEQ: F.col(seq)})
-    day = "_k_day"
-    x = x.withColumn(day, _floor_div(_US, DAY_US))
-    days = x.groupBy(key, day).agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select(key, day, F.coalesce(
-        F.sum("_n").over(Window.partitionBy(key).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
-    x = x.join(days, [key, day], "left")
-    w = Window.partitionBy(key, day).orderBy(_US, _SEQ)
-    ordinal = F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(w) - F.lit(1)
-    return x.select(*df.columns, ordinal.alias("ordinal"),
-                    (F.col(_US) * F.lit(1000) + ordinal).alias("order_key_ns"))
+    x = keyed_row_number(x, key, [_US, _SEQ], _floor_div(_US, DAY_US), out="_rn")
+    ordinal = F.col("_rn") - F.lit(1)
+    return x.select(*df.columns, ordinal.alias("ordinal"), (F.col(_US) * F.lit(1000) + ordinal).alias("order_key_ns"))

@@ -107,3 +107,26 @@ def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str,
         return valid.filter(F.col(key) <= F.lit(v))
     ties = valid.filter(F.col(key) == F.lit(v)).orderBy(tiebreak).limit(k - c_less)
     return valid.filter(F.col(key) < F.lit(v)).unionByName(ties)
+
+
+def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out: str = "row_number") -> DataFrame:
+    """``row_number() OVER (PARTITION BY key ORDER BY order_cols)`` without one
+    task per key.
+
+    ``bucket`` must not decrease along ``order_cols`` (a day of the timestamp,
+    a range of the id). Rows are counted per ``(key, bucket)`` — a narrow
+    table, windowed per key to give each bucket's starting number — and
+    numbered inside ``(key, bucket)``, so a hot key is spread over its
+    buckets. A NULL key is one group, as in SQL (null-safe join).
+    """
+    from pyspark.sql import Window
+
+    x = df.withColumn("_rb", bucket)
+    counts = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_n"))
+    offs = counts.select(
+        F.col(key).alias("_rk"), F.col("_rb").alias("_rbb"),
+        F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_rb")
+                                    .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    x = x.join(offs, x[key].eqNullSafe(offs["_rk"]) & (x["_rb"] == offs["_rbb"]), "left")
+    w = Window.partitionBy(key, "_rb").orderBy(*order_cols)
+    return x.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_rb", "_rk", "_rbb", "_off")

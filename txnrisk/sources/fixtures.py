@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.schema import RAW_COLUMNS
+from txnrisk.schema import PAGE_SIZE, RAW_COLUMNS
 from txnrisk.session import ensure_session_defaults
 
+ID_BUCKET = 1 << 16  # ids per numbering bucket of the page fixture
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_session_defaults(spark)
@@ -116,11 +118,14 @@ def org_directory_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # missing on a fixed rule so the mapping defaults are exercised.
 
 def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from txnrisk.operators.ranking import keyed_row_number
+
     t = txn_events(spark, sf_dir)
+    # per-organization record number in id order, spread over id ranges
+    t = keyed_row_number(t, "organization_id", ["transaction_id"],
+                         F.floor(F.col("transaction_id") / F.lit(ID_BUCKET)), out="_rn")
     tid = F.col("transaction_id")
     null_long = F.lit(None).cast(T.LongType())
-    from pyspark.sql import Window
-    w = Window.partitionBy("organization_id").orderBy("transaction_id")
     return t.select(
         tid.alias("id"),
         F.when(tid % 13 == 0, null_long).otherwise(F.round(F.col("amount") * 100).cast(T.LongType())).alias("amount_cents"),
@@ -129,7 +134,7 @@ def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(tid % 7 == 0, null_long).otherwise(F.col("user_id")).alias("creator_id"),
         F.col("organization_id").alias("org_id"),
         F.when(tid % 11 == 0, null_long).otherwise(F.col("merchant_id")).alias("merchant_id"),
-        F.ceil(F.row_number().over(w) / F.lit(100)).cast(T.LongType()).alias("page"),
+        F.ceil(F.col("_rn") / F.lit(PAGE_SIZE)).cast(T.LongType()).alias("page"),
     )
 
 
