@@ -298,6 +298,18 @@ def q_display_join(spark, sf_dir):
                     "time_since_last_user_txn", "user_avg_amount", "amount_to_user_avg_ratio")
 
 
+@query("summary_kpi_display", O.with_views("txn_dirty") + """
+SELECT count(*) AS total_transactions, CAST(coalesce(sum(is_fraud), 0) AS BIGINT) AS total_fraud,
+  CASE WHEN count(*) > 0 THEN round_even(100.0::DOUBLE * CAST(coalesce(sum(is_fraud), 0) AS BIGINT) / count(*), 2)
+       ELSE 0.0 END AS fraud_rate
+FROM txn_dirty""")
+def q_summary_display(spark, sf_dir):
+    """A1 over the display join: rows dropped by cleaning still count."""
+    raw = FX.txn_dirty(spark, sf_dir)
+    feats = FE.engineer_features(IN.clean_processor(raw), amount_scale=MONEY)
+    return D.summary(D.display_join(raw, feats))
+
+
 def _ph_sql(key: str) -> dict[str, str]:
     return {
         "user": f"(({O.md5_int(f'{SEED}:user', key)}) % 999 + 1)",
