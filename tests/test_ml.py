@@ -92,3 +92,35 @@ def test_score_latest_without_model(spark):
     out = ML.score_latest(clean_processor(txn_events(spark, SF_SMALL)), None)
     rows = out.collect()
     assert len(rows) == 10 and all(r.fraud_probability is None for r in rows)
+
+
+def test_renumber_with_a_hot_value(spark):
+    from txnrisk.operators.metrics import renumber_by
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id")).cast("long").alias("o"),
+        (F.lit(n) - F.col("id")).alias("t"))
+    got = {(r.o, r.t): r.row_number for r in renumber_by(df, "o", "t", buckets=16, sub_buckets=8).collect()}
+    want = {k: i for i, k in enumerate(sorted(got))}
+    assert got == want
+
+
+def test_coefficient_sign_on_separable_data(spark):
+    """Fraud iff amount is large: the fitted amount coefficient is positive and
+    the probabilities separate the classes."""
+    import datetime as dt
+
+    from txnrisk.schema import TXN_SCHEMA
+    rows = []
+    for i in range(200):
+        fraud = int(i % 4 == 0)
+        amount = 900.0 + i if fraud else 10.0 + (i % 50)
+        rows.append((i, amount, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 20, i % 5, 1 + i % 19,
+                     1 + i % 30, "purchase", "mobile", "USA", fraud))
+    f = engineer_features(spark.createDataFrame(rows, TXN_SCHEMA), amount_scale=2)
+    model = ML.fit_model(f)
+    lr = model.stages[-1]
+    assert lr.coefficients[0] > 0          # first numeric input is amount
+    p = {r.is_fraud: r.p for r in ML.fraud_probability(model, f).groupBy("is_fraud")
+         .agg(F.avg("fraud_probability").alias("p")).collect()}
+    assert p[1] > 0.9 and p[0] < 0.1

@@ -157,18 +157,55 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
 
 
 def renumber_by(df: DataFrame, order_col: str, tiebreak: str, out: str = "row_number",
-                buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                buckets: int = DEFAULT_BUCKETS, sub_buckets: int = 64) -> DataFrame:
     """L4: 0-based position of each row in ``(order_col, tiebreak)`` order.
 
-    Equal-frequency buckets of ``order_col`` carry a per-bucket offset (from
-    ≤ ``buckets`` bucket counts); ``row_number`` runs inside each bucket. Equal
-    ``order_col`` values share a bucket, so ties stay together.
+    Rows are placed in ordered work units with a per-unit offset (from at most
+    ``buckets · (sub_buckets + 2)`` unit counts) and numbered inside each unit:
+
+    * equal-frequency buckets of ``order_col`` (sketch split points);
+    * a value that shows up several times among the split points holds at
+      least 1/``buckets`` of the rows (a hot value, e.g. one timestamp with a
+      third of the data): its rows are further cut by ``tiebreak`` quantiles,
+      and the larger values sharing its bucket follow in their own unit.
     """
+    probs = [i / buckets for i in range(1, buckets)]
+    raw = df.agg(F.percentile_approx(F.col(order_col).cast(T.DoubleType()), probs, 10 * buckets)).first()[0] or []
+    seen, hot = set(), set()
+    for c in raw:
+        (hot if c in seen else seen).add(c)
     b = "_rb"
     x = equal_frequency_buckets(df, order_col, b, buckets)
-    counts = x.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select(b, F.coalesce(
-        F.sum("_n").over(Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    x = x.join(F.broadcast(offs), b)
-    w = Window.partitionBy(b).orderBy(order_col, tiebreak)
-    return x.withColumn(out, F.col("_off") + F.row_number().over(w) - F.lit(1)).drop(b, "_off")
+    sub = F.lit(0)
+    if hot:
+        tprobs = [i / sub_buckets for i in range(1, sub_buckets)]
+        tcuts = (df.filter(F.col(order_col).cast(T.DoubleType()).isin(sorted(hot)))
+                 .groupBy(F.col(order_col).cast(T.DoubleType()).alias("_v"))
+                 .agg(F.percentile_approx(F.col(tiebreak).cast(T.DoubleType()), tprobs, 10 * sub_buckets)
+                      .alias("_c")).collect())
+        o = F.col(order_col).cast(T.DoubleType())
+        t = F.col(tiebreak).cast(T.DoubleType())
+        for r in tcuts:
+            cuts = sorted(set(r["_c"]))
+            arr = F.array(*[F.lit(c) for c in cuts])
+            rank = F.size(F.filter(arr, lambda c: c <= t))
+            # rows equal to the hot value: sub-bucket by tiebreak; larger values of
+            # the same bucket come after them
+            sub = F.when(o == F.lit(r["_v"]), rank + F.lit(1)).when(
+                (o > F.lit(r["_v"])) & (F.col(b) == _bucket_of(r["_v"], raw)), F.lit(sub_buckets + 1)
+            ).otherwise(sub)
+    x = x.withColumn("_rs", sub)
+    counts = x.groupBy(b, "_rs").agg(F.count(F.lit(1)).alias("_n"))
+    # at most buckets·(sub_buckets+2) rows: the unpartitioned window and the
+    # broadcast are bounded by construction
+    offs = counts.select(b, "_rs", F.coalesce(
+        F.sum("_n").over(Window.orderBy(b, "_rs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    x = x.join(F.broadcast(offs), [b, "_rs"])
+    w = Window.partitionBy(b, "_rs").orderBy(order_col, tiebreak)
+    return x.withColumn(out, F.col("_off") + F.row_number().over(w) - F.lit(1)).drop(b, "_rs", "_off")
+
+
+def _bucket_of(value: float, raw_cuts: list) -> int:
+    """Bucketizer index of ``value`` for the split points built from ``raw_cuts``."""
+    splits = sorted(set(float(c) for c in raw_cuts))
+    return sum(1 for c in splits if c <= value)
