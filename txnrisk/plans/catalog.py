@@ -595,11 +595,12 @@ def q_category_index(spark, sf_dir):
 
 
 def _train_test(spark, sf_dir):
-    # each stage is read by several passes (quantile, cohort, split, fit):
-    # cut the lineage once per stage instead of recomputing the windows
+    # the windowed features and the final split are each read by several passes
+    # (quantile, cohort, class cut-offs, every solver iteration): write them once
+    # as tables under the checkpoint folder. The labels in between are cheap
+    # column expressions over the written features and are not stored.
     feats = materialize(_features(spark, sf_dir, ratio="training"))
-    labeled = materialize(L.weak_labels(feats))
-    return materialize(ML.stratified_split(labeled))
+    return materialize(ML.stratified_split(L.weak_labels(feats)))
 
 
 @query("fit_predict")

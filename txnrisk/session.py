@@ -65,11 +65,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def materialize(df):
-    """Cut the lineage of ``df`` by writing it to the shared checkpoint folder.
+    """Cut the lineage of ``df``: write it once as a Parquet table under the
+    shared checkpoint folder and read that table back.
 
     Used where one intermediate feeds several passes (quantiles, splits,
-    model fitting): the rows are computed once, and a lost executor is
-    recovered from the checkpoint files, not by recomputing the windows.
+    model fitting): the rows are computed exactly once (``Dataset.checkpoint``
+    on an unpersisted plan would compute them twice), later passes read
+    compressed columns with pushdown, and a lost executor is recovered from
+    the files instead of by recomputing the windows.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/materialized-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
