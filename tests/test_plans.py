@@ -62,3 +62,14 @@ def test_dashboard_payload_shape(spark):
     days = [d["date"] for d in doc["daily_volume"]]
     assert days == sorted(days)
     assert doc["summary"]["total_transactions"] == txn_events(spark, SF_SMALL).count()
+
+
+def test_organization_dashboard_branches(spark):
+    q = catalog.queries()
+    live = json.loads(q["org_dashboard_live"](spark, SF_SMALL).first()["payload"])
+    assert live["organization_context"] == "NATION-4"
+    assert live["summary"]["total_fraud"] == 0                  # live records carry no label
+    fb = json.loads(q["org_dashboard_fallback"](spark, SF_SMALL).first()["payload"])
+    assert fb["organization_context"] == "nation-3 (Synthetic)"  # its page 2 is an error page
+    nf = q["org_dashboard_not_found"](spark, SF_SMALL).first()
+    assert nf["payload"] is None and "atlantis" in nf["not_found"]

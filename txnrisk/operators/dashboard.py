@@ -167,7 +167,7 @@ def _records(df: DataFrame, key: list[Column], rename: dict[str, str]) -> Column
     return F.transform(F.array_sort(pairs), lambda x: x["_v"])
 
 
-def dashboard_payload(display: DataFrame, context: str, *, latest: DataFrame | None = None,
+def dashboard_payload(display: DataFrame, context: str | Column, *, latest: DataFrame | None = None,
                       predictions_available: bool = False, risks: DataFrame | None = None) -> DataFrame:
     """One row, one column ``payload`` — the dashboard JSON document.
 
@@ -195,5 +195,49 @@ def dashboard_payload(display: DataFrame, context: str, *, latest: DataFrame | N
                     sec_latest.scalar().alias("latest_transactions"),
                     F.struct(F.lit(predictions_available).alias("available"),
                              risk_rows.alias("top_risks")).alias("ml_predictions"),
-                    F.lit(context).alias("organization_context")))
+                    (F.lit(context) if isinstance(context, str) else context).alias("organization_context")))
     return body.select(F.to_json(F.struct(*body.columns)).alias("payload"))
+
+
+# --- §3.2: the organization dashboard, end to end ---------------------------------
+
+def organization_dashboard(directory: DataFrame, pages: DataFrame, fallback: DataFrame, name: str,
+                           limit: int | None = None) -> DataFrame:
+    """Payload for one organization, or the not-found answer.
+
+    1. resolve ``name`` in the directory (case-insensitive slug);
+    2. read that organization's landed pages (a filter on ``org_id``, pruned
+       to its directory when the pages are files), apply the page rules, map
+       and clean the records;
+    3. if nothing usable came back, use ``fallback`` rows of the
+       pseudo-organization ``id mod 100`` — or, if there are none, its first
+       100 rows — and mark the context "(Synthetic)";
+    4. run the processor path (clean → features → raw ⟕ features) and build
+       the payload.
+
+    The branch is chosen inside the plan (scalar subqueries), so this returns
+    a lazy one-row DataFrame: ``payload`` is NULL when the name does not
+    resolve, and ``not_found`` carries the message and the available slugs.
+    """
+    from txnrisk.operators.features import engineer_features
+    from txnrisk.schema import ORG_FETCH_LIMIT
+    from txnrisk.sources import ingest as IN
+
+    limit = ORG_FETCH_LIMIT if limit is None else limit
+    hit = resolve_org(directory, name)
+    org_id = hit.select("id").limit(1).scalar()
+    org_pages = pages.filter(F.col("org_id") == org_id)
+    live = IN.clean_ingest(IN.map_api_records(IN.read_transaction_pages(org_pages, limit)))
+    live_empty = live.limit(1).agg(F.count(F.lit(1))).scalar() == 0
+    pseudo = fallback.filter(F.col("organization_id") == F.pmod(org_id, F.lit(PSEUDO_ORG_MODULUS)))
+    synthetic = filter_or_head(pseudo, fallback).filter(live_empty)
+    raw = live.filter(~live_empty).unionByName(synthetic.select(*live.columns))
+    raw = raw.withColumn("row_id", F.col("transaction_id"))
+    feats = engineer_features(IN.clean_processor(raw))
+    display = display_join(raw, feats)
+    context = F.when(live_empty, F.lit(f"{name} (Synthetic)")).otherwise(F.lit(name))
+    payload = dashboard_payload(display, context)
+    missing = org_not_found(directory, name).select(
+        F.to_json(F.struct("message", "available_organizations")).alias("not_found"))
+    return payload.select(F.when(org_id.isNotNull(), F.col("payload")).alias("payload"),
+                          missing.select("not_found").scalar().alias("not_found"))

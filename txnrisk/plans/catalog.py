@@ -651,6 +651,28 @@ def q_dashboard_payload(spark, sf_dir):
     return D.dashboard_payload(display, "Global (Synthetic)")
 
 
+def _org_dashboard(spark, sf_dir, name):
+    pages = FX.api_pages(spark, sf_dir)
+    return D.organization_dashboard(_directory(spark, sf_dir), pages, FX.txn_events(spark, sf_dir), name)
+
+
+@query("org_dashboard_live")
+def q_org_dashboard_live(spark, sf_dir):
+    """§3.2 for an organization whose pages are readable (nation-4 → id 4)."""
+    return _org_dashboard(spark, sf_dir, "NATION-4")
+
+
+@query("org_dashboard_fallback")
+def q_org_dashboard_fallback(spark, sf_dir):
+    """§3.2 for an organization with an error page (id 3): synthetic fallback."""
+    return _org_dashboard(spark, sf_dir, "nation-3")
+
+
+@query("org_dashboard_not_found")
+def q_org_dashboard_not_found(spark, sf_dir):
+    return _org_dashboard(spark, sf_dir, "atlantis")
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: e.fn for k, e in REGISTRY.items()}
 
