@@ -47,6 +47,14 @@ def _batch_rows(pages: DataFrame, batch_id: int) -> DataFrame:
                     F.lit(batch_id).alias("batch_id"))
 
 
+def write_batch(batch: DataFrame, batch_id: int, table: str) -> None:
+    """Idempotent micro-batch sink: the batch replaces its own ``batch_id``
+    partition, so a replayed batch leaves exactly one copy."""
+    rows = _batch_rows(batch, batch_id)
+    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_id").parquet(table))
+
+
 def start_page_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str,
                       available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``.
@@ -55,9 +63,7 @@ def start_page_ingest(spark: SparkSession, landing: str, table: str, checkpoint:
     runs); ``False`` keeps polling.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = _batch_rows(batch, batch_id)
-        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(table))
+        write_batch(batch, batch_id, table)
 
     writer = landed_page_stream(spark, landing).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
