@@ -644,11 +644,9 @@ def q_top_risks(spark, sf_dir):
 
 @query("dashboard_payload")
 def q_dashboard_payload(spark, sf_dir):
-    raw = FX.txn_events(spark, sf_dir)
+    raw = FX.txn_events(spark, sf_dir).withColumn("row_id", F.col("transaction_id"))
     feats = FE.engineer_features(IN.clean_processor(raw), amount_scale=MONEY)
-    display = D.display_join(raw.withColumn("row_id", F.col("transaction_id")),
-                             feats.withColumn("row_id", F.col("transaction_id")))
-    return D.dashboard_payload(display, "Global (Synthetic)")
+    return D.dashboard_payload(raw, "Global (Synthetic)", engineered=feats)
 
 
 def _org_dashboard(spark, sf_dir, name):
