@@ -232,6 +232,7 @@ def organization_dashboard(directory: DataFrame, pages: DataFrame, fallback: Dat
     """
     from txnrisk.operators.features import engineer_features
     from txnrisk.schema import ORG_FETCH_LIMIT
+    from txnrisk.session import materialize
     from txnrisk.sources import ingest as IN
 
     limit = ORG_FETCH_LIMIT if limit is None else limit
@@ -242,10 +243,15 @@ def organization_dashboard(directory: DataFrame, pages: DataFrame, fallback: Dat
     live_empty = live.limit(1).agg(F.count(F.lit(1))).scalar() == 0
     pseudo = fallback.filter(F.col("organization_id") == F.pmod(org_id, F.lit(PSEUDO_ORG_MODULUS)))
     synthetic = filter_or_head(pseudo, fallback).filter(live_empty)
-    raw = live.filter(~live_empty).unionByName(synthetic.select(*live.columns))
-    raw = raw.withColumn("row_id", F.col("transaction_id"))
+    chosen = (live.filter(~live_empty).withColumn("_synthetic", F.lit(False))
+              .unionByName(synthetic.select(*live.columns).withColumn("_synthetic", F.lit(True))))
+    # one organization's rows (≤ the fetch limit, or one pseudo-organization):
+    # written once, then every section reads this small table
+    chosen = materialize(chosen)
+    raw = chosen.drop("_synthetic").withColumn("row_id", F.col("transaction_id"))
     feats = engineer_features(IN.clean_processor(raw))
-    context = F.when(live_empty, F.lit(f"{name} (Synthetic)")).otherwise(F.lit(name))
+    synthetic_used = chosen.agg(F.max("_synthetic")).scalar()
+    context = F.when(synthetic_used, F.lit(f"{name} (Synthetic)")).otherwise(F.lit(name))
     payload = dashboard_payload(raw, context, engineered=feats)
     missing = org_not_found(directory, name).select(
         F.to_json(F.struct("message", "available_organizations")).alias("not_found"))
