@@ -71,9 +71,10 @@ def brute(rows):
     return out
 
 
-def check(spark, rows, strategy, partitions=3):
+def check(spark, rows, strategy, partitions=3, **kw):
     df = spark.createDataFrame(rows, TXN_SCHEMA).repartition(partitions)
-    got = {r["transaction_id"]: r.asDict() for r in engineer_features(df, strategy=strategy, amount_scale=2).collect()}
+    got = {r["transaction_id"]: r.asDict()
+           for r in engineer_features(df, strategy=strategy, amount_scale=2, **kw).collect()}
     want = brute(rows)
     assert set(got) == set(want)
     for tid, exp in want.items():
@@ -143,3 +144,11 @@ def test_invariants_on_fixture(spark):
         | (F.col("time_since_last_org_txn") < 0)
     )
     assert bad.count() == 0
+
+
+def test_hot_key_fine_blocks_match_brute_force(spark):
+    """With ``hot_rows=1`` every key takes the 1 h block path (24 copies)."""
+    check(spark, micro_rows(), "blocked", hot_rows=1)
+    check(spark, dense_rows(11, 50), "blocked", 4, hot_rows=1)
+    # mixed: only keys with more than 3 rows in a 12 h block are hot
+    check(spark, dense_rows(12, 60), "blocked", 2, hot_rows=3)

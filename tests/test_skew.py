@@ -32,3 +32,15 @@ def test_hot_key_is_split_over_blocks(spark):
     # each a small fraction of the rows (copies add at most 2 narrow rows each)
     assert hot_blocks > 20
     assert 3 * largest < 0.05 * n
+
+
+def test_hot_key_switches_to_hour_blocks(spark):
+    from txnrisk.operators.features import _hot_keys, _US
+    src = hot(spark)
+    # the hot organization has ~55 rows per 12 h block here; with a threshold of 40
+    # it (and only keys like it) takes 1 h blocks
+    flagged = _hot_keys(src.withColumn(_US, F.unix_micros("date")), "organization_id", "_o_", 40)
+    assert [r.organization_id for r in flagged.collect()] == [0]
+    a = engineer_features(src, amount_scale=2, hot_rows=40).orderBy("transaction_id").collect()
+    b = engineer_features(src, amount_scale=2, strategy="window").orderBy("transaction_id").collect()
+    assert a == b

@@ -48,6 +48,10 @@ from txnrisk.functions import scalars as S
 from txnrisk.schema import DAY_NS, DAY_US, DERIVED_FEATURES
 
 HALF_DAY_US = DAY_US // 2
+HOUR_US = DAY_US // 24
+# a key with more rows than this in one 12 h block is "hot": it switches to 1 h
+# blocks (24 narrow copies per row instead of 2), so its work units are 12× finer
+HOT_BLOCK_ROWS = 2_000_000
 
 ColumnOrName = Column | str
 
@@ -77,17 +81,45 @@ def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
 # One key, blocked strategy
 # ---------------------------------------------------------------------------
 
+def _width(p: str) -> tuple[Column, Column]:
+    """Per-row block width (µs) and number of copies: 12 h / 2, or 1 h / 24 for a hot key."""
+    fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
+    return (F.when(fine, F.lit(HOUR_US)).otherwise(F.lit(HALF_DAY_US)),
+            F.when(fine, F.lit(24)).otherwise(F.lit(2)))
+
+
+def _block_of(us: str, p: str) -> Column:
+    """Exact block number of ``us``: 12 h blocks, or 1 h blocks for a hot key."""
+    fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
+    return F.when(fine, _floor_div(us, HOUR_US)).otherwise(_floor_div(us, HALF_DAY_US))
+
+
+def _hot_keys(base: DataFrame, key: str, p: str, hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows in some 12 h block.
+
+    At most ``n / hot_rows`` keys can qualify, so the set has a size bound and
+    is broadcast as a flag (no shuffle of the rows)."""
+    blocks = base.groupBy(key, _floor_div(_US, HALF_DAY_US).alias("_hb")).agg(F.count(F.lit(1)).alias("_n"))
+    return (blocks.filter(F.col("_n") > F.lit(hot_rows)).select(key).distinct()
+            .filter(F.col(key).isNotNull()).withColumn(f"{p}fine", F.lit(True)))
+
+
+def with_block_width(base: DataFrame, key: str, p: str, hot_rows: int = HOT_BLOCK_ROWS) -> DataFrame:
+    """Adds ``{p}fine`` (hot key flag) used to pick the block width per key."""
+    return base.join(F.broadcast(_hot_keys(base, key, p, hot_rows)), key, "left")
+
+
 def _block_table(base: DataFrame, key: str, amount: str, units: str, p: str) -> DataFrame:
-    """Narrow per-(key, 12 h block) table: the previous active block's last
+    """Narrow per-(key, block) table: the previous active block's last
     timestamp and the key-level sum/count/max of amount.
 
     Partial aggregation shrinks the rows to one per active (key, block) before
     any shuffle; the window over blocks then runs per key on that small table
-    (a key active for ten years has ~7 300 blocks). It reads only raw columns,
-    so it never recomputes another key's stage.
+    (a key active for ten years has ~7 300 12-hour blocks). It reads only raw
+    columns, so it never recomputes another key's stage.
     """
     blk = f"{p}blk"
-    blocks = base.groupBy(key, _floor_div(_US, HALF_DAY_US).alias(blk)).agg(
+    blocks = base.groupBy(key, _block_of(_US, p).alias(blk)).agg(
         F.max(_US).alias("_last"),
         F.sum(units).alias("_s"),
         F.count(amount).alias("_c"),
@@ -126,18 +158,25 @@ def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid:
     blk = f"{p}blk"
     own = f"{p}own"
     payload = f"{p}payload"
+    if f"{p}fine" not in df.columns:
+        df = df.withColumn(f"{p}fine", F.lit(None).cast(T.BooleanType()))
     if blocks is None:
         blocks = _block_table(df, key, amount, units, p)
 
     narrow = [key, _US, _SEQ, amount, units, tid]
-    wide = [c for c in df.columns if c not in narrow]
-    b = _floor_div(_US, HALF_DAY_US)
+    wide = [c for c in df.columns if c not in narrow and c != f"{p}fine"]
+    b = _block_of(_US, p)
+    fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
+
+    def fan(k: int) -> Column:
+        # owner (offset 0) and k copies into the following blocks; literal
+        # arrays keep the projection inside whole-stage codegen
+        return F.array(*[F.struct((b + F.lit(i)).alias("b"), F.lit(i == 0).alias("o")) for i in range(k + 1)])
+
     tagged = df.select(
         *narrow,
         F.struct(*wide).alias(payload),
-        F.explode(F.array(*[
-            F.struct((b + F.lit(i)).alias("b"), F.lit(i == 0).alias("o")) for i in range(3)
-        ])).alias("_e"),
+        F.explode(F.when(fine, fan(24)).otherwise(fan(2))).alias("_e"),
     ).select(
         *narrow,
         F.col("_e.b").alias(blk),
@@ -236,6 +275,7 @@ def engineer_features(
     ratio: str = "serving",
     keep_date: bool = False,
     amount_scale: int | None = None,
+    hot_rows: int | None = HOT_BLOCK_ROWS,
 ) -> DataFrame:
     """Adds the 16 engineered columns to a cleaned transaction DataFrame.
 
@@ -254,6 +294,12 @@ def engineer_features(
     })
     if strategy == "blocked":
         # both day tables come from the input, so neither re-runs a key stage
+        # hot keys (a 12 h block above ``hot_rows``) get 1 h blocks; flags are broadcast
+        if hot_rows is not None:
+            x = with_block_width(x, "organization_id", "_o_", hot_rows)
+            x = with_block_width(x, "user_id", "_u_", hot_rows)
+        else:
+            x = x.withColumns({f: F.lit(None).cast(T.BooleanType()) for f in ("_o_fine", "_u_fine")})
         d_org = _block_table(x, "organization_id", "amount", _UNITS, "_o_")
         d_user = _block_table(x, "user_id", "amount", _UNITS, "_u_")
         x = _key_features_blocked(x, "organization_id", "amount", _UNITS, "transaction_id", "_o_", d_org)
