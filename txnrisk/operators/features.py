@@ -66,28 +66,26 @@ def _floor_div(name: str, d: int) -> Column:
     return F.expr(f"(`{name}` - pmod(`{name}`, {d}L)) div {d}L")
 
 
-def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
+def calendar_columns(date_col: str = "date") -> dict[str, Column]:
     """Epoch seconds and calendar fields of the (UTC) transaction date."""
-    return df.withColumns({
-        "timestamp": S.epoch_seconds(date_col),
-        "hour_of_day": S.hour_of_day(date_col),
-        "day_of_week": S.day_of_week(date_col),
-        "month": S.month(date_col),
-        "day_of_month": S.day_of_month(date_col),
-    })
+    d = F.col(date_col)
+    return {
+        "timestamp": S.epoch_seconds(d),
+        "hour_of_day": S.hour_of_day(d),
+        "day_of_week": S.day_of_week(d),
+        "month": S.month(d),
+        "day_of_month": S.day_of_month(d),
+    }
+
+
+def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
+    return df.withColumns(calendar_columns(date_col))
 
 
 # ---------------------------------------------------------------------------
 # One key, blocked strategy
 # ---------------------------------------------------------------------------
 
-def _width(p: str) -> tuple[Column, Column]:
-    """Per-row block width (µs) and number of copies: 12 h / 2, or 1 h / 24 for a hot key."""
-    fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
-    return (F.when(fine, F.lit(HOUR_US)).otherwise(F.lit(HALF_DAY_US)),
-            F.when(fine, F.lit(24)).otherwise(F.lit(2)))
-
-
 def _block_of(us: str, p: str) -> Column:
     """Exact block number of ``us``: 12 h blocks, or 1 h blocks for a hot key."""
     fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
@@ -320,13 +318,8 @@ def engineer_features(
 
     u_avg = F.when(user_null, null_d).otherwise(mean("_u_ksum", "_u_kcnt"))
     ratio_col = S.ratio_serving("amount", u_avg) if ratio == "serving" else S.ratio_training("amount", u_avg)
-    d = F.col("date")
     derived = {
-        "timestamp": S.epoch_seconds(d),
-        "hour_of_day": S.hour_of_day(d),
-        "day_of_week": S.day_of_week(d),
-        "month": S.month(d),
-        "day_of_month": S.day_of_month(d),
+        **calendar_columns("date"),
         "time_since_last_user_txn": filled(F.col("_u_since"), user_null).cast(T.DoubleType()),
         "time_since_last_org_txn": filled(F.col("_o_since"), org_null).cast(T.DoubleType()),
         "rolling_sum_24hr_org": filled(units_to_money(F.col("_o_rsum"), amount_scale), org_null).cast(T.DoubleType()),
