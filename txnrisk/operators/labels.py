@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.functions import scalars as S
-from txnrisk.operators.ranking import exact_quantile, smallest_k
+from txnrisk.operators.ranking import exact_quantile, smallest_k, smallest_k_cutoff
 from txnrisk.schema import (
     BASE_FRAUD_RATE, COHORT_FRACTION, COHORT_RELABEL_P, SEED, TAIL_QUANTILE,
     TAIL_SAMPLE_FRACTION,
@@ -79,17 +79,39 @@ def cohort_label(tid: str = "transaction_id", p: float = COHORT_RELABEL_P, seed:
     return S.hash_selected(f"{seed}:relabel", F.col(tid), p).cast(T.IntegerType())
 
 
+def cohort_predicate(df: DataFrame, frac: float = COHORT_FRACTION, key: str = "user_id",
+                     seed: int = SEED) -> Column | None:
+    """A8 as a row predicate: ``md5(seed:cohort:key) <= v`` for the exact cut-off
+    ``v`` of the ``int(frac · n_distinct)`` smallest keys. Membership then needs
+    no join (no shuffle of the rows by key, so a hot key cannot skew it).
+    Returns None in the practically impossible case of a hash tie at the cut,
+    where the caller falls back to the cohort join."""
+    users = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    users = users.withColumn("_h", hash_key60(f"{seed}:cohort", key))
+    m = int(users.count() * frac)
+    v, exact = smallest_k_cutoff(users, "_h", m)
+    if not exact:
+        return None
+    if v is None:
+        return F.lit(False)
+    return F.coalesce(hash_key60(f"{seed}:cohort", key) <= F.lit(v), F.lit(False))
+
+
 def weak_labels(df: DataFrame, *, tid: str = "transaction_id", key: str = "user_id",
                 seed: int = SEED) -> DataFrame:
     """``is_fraud`` from the three rules, in order — base rate, amount
     tail, then the cohort redraw, which overrides (and can clear) the others.
 
-    The cohort is a small set (1 % of users) joined back by key; Spark picks
-    broadcast or shuffle join from its measured size (AQE)."""
+    Every rule is a row-level predicate: the quantile and the cohort cut-off
+    are exact scalars computed first, so labelling is a single projection."""
     p95 = amount_quantile(df)
-    cohort = fraud_cohort(df, key=key, seed=seed).withColumn("_in_cohort", F.lit(True))
-    x = df.join(cohort, key, "left")
+    in_cohort = cohort_predicate(df, key=key, seed=seed)
+    x = df
+    if in_cohort is None:
+        cohort = fraud_cohort(df, key=key, seed=seed).withColumn("_in_cohort", F.lit(True))
+        x = df.join(cohort, key, "left")
+        in_cohort = F.col("_in_cohort").isNotNull()
     base = base_rate_flag(tid, seed=seed) | amount_tail_flag(p95, tid, seed=seed)
-    label = F.when(F.col("_in_cohort").isNotNull(), cohort_label(tid, seed=seed)) \
-        .otherwise(base.cast(T.IntegerType()))
-    return x.withColumn("is_fraud", label.cast(T.IntegerType())).drop("_in_cohort")
+    label = F.when(in_cohort, cohort_label(tid, seed=seed)).otherwise(base.cast(T.IntegerType()))
+    out = x.withColumn("is_fraud", label.cast(T.IntegerType()))
+    return out.drop("_in_cohort") if "_in_cohort" in out.columns else out

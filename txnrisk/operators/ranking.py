@@ -130,3 +130,18 @@ def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out
     x = x.join(offs, x[key].eqNullSafe(offs["_rk"]) & (x["_rb"] == offs["_rbb"]), "left")
     w = Window.partitionBy(key, "_rb").orderBy(*order_cols)
     return x.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_rb", "_rk", "_rbb", "_off")
+
+
+def smallest_k_cutoff(df: DataFrame, key: str, k: int, accuracy: int = DEFAULT_ACCURACY):
+    """``(v, exact)`` such that ``key <= v`` selects exactly the ``k`` smallest
+    keys when ``exact`` is True (no tie straddles the cut). ``v`` is None when
+    ``k <= 0`` (select nothing). When ``exact`` is False, use ``smallest_k``."""
+    if k <= 0:
+        return None, True
+    vals = _values(df, key)
+    n = vals.count()
+    if k >= n:
+        return (vals.agg(F.max("v")).first()[0], True)
+    below, counts = _bracket_counts(vals, [k - 1], n, accuracy)
+    v, c_less, mult = _pick(below, counts, k - 1)
+    return v, c_less + mult == k
