@@ -19,23 +19,28 @@ A window partitioned by the key alone puts a hot key (think: one organization
 holding a third of all rows) in one task, and Spark's sliding frame
 re-aggregates its whole buffer for every row. Both are avoided:
 
-1. *Ordinal without a per-key sort.* Rows are bucketed by UTC day. A small
-   aggregate per ``(key, day)`` (partial aggregation, narrow) gives, through a
-   window over days, each day's starting ordinal, the previous active day's
-   last timestamp and the key-level sum/count/max. One shuffle of the rows on
-   ``(key, day)`` then serves both the join with that table and the
-   ``row_number``/``lag`` window.
-2. *Rolling frames in O(n).* Rows are re-bucketed by ``ns // 24h``. A row's
-   frame holds (a) every earlier row of its own ns-block, and (b) the rows of
-   the previous ns-block with ``ns ≥ ns_i - 24h``. Each row is emitted once
-   as an *owner* and once (narrow) as a *copy* into the next block; (a) is a
-   running aggregate ascending and (b) a running aggregate descending with a
-   ``RANGE … 24h FOLLOWING`` bound. Both are cumulative frames, which Spark
-   evaluates incrementally.
-
-Partitions are ``(key, day)``-sized, so a key that is hot across time is spread
-over many tasks, and no step collects a group. ``strategy="window"`` is the
-direct per-key formulation, kept as an executable specification for tests.
+1. *Blocks with copies.* Rows are cut into UTC blocks of width W (12 h; 1 h
+   for a hot key). A row's 24 h frame lies in its own block and the 24h/W
+   blocks before it, so each row is emitted once as the *owner* of its block
+   and 24h/W times as a narrow *copy* into the following blocks (the wide
+   columns travel once, in a struct that is NULL on copies). One shuffle per
+   key, on ``(key, block)``.
+2. *No key-wide ordinal.* A partition ``(key, block)`` holds the contiguous run
+   of the key's rows from ``block - 24h/W`` to ``block``, so a local
+   ``row_number`` gives the same order-key differences as the key-wide one.
+3. *O(n) frames.* Earlier owners of the block are always inside the frame (a
+   running aggregate, ascending); copies inside it are those with
+   ``ns ≥ ns_i - 24h`` (a running aggregate, descending, ``RANGE … 24h
+   FOLLOWING``). Both are cumulative frames, evaluated incrementally.
+4. *Block facts.* Key totals and the previous active block's last timestamp
+   come from a narrow per-(key, block) table (partial aggregation, then a
+   window per key on the small table), joined to the owners on the window's
+   own partitioning.
+5. *Adaptive width.* Keys with more than ``hot_rows`` rows in some 12 h block
+   (at most n / hot_rows of them: a bounded broadcast) take 1 h blocks.
+
+No step collects a group or sorts a key in one task. ``strategy="window"`` is
+the direct per-key formulation, kept as an executable specification for tests.
 """
 
 from __future__ import annotations
