@@ -1,9 +1,9 @@
 """Dashboard sections.
 
-Each section is its own small plan over the (possibly cached) display frame:
-aggregates use partial aggregation, top-k uses TakeOrderedAndProject, and
-only already-bounded results (a top-k, a per-day or per-type table) are
-folded into the JSON payload.
+Each section is its own small plan: aggregates use partial aggregation over
+the raw rows, top-k uses TakeOrderedAndProject, features are attached only to
+the top-k rows, and only already-bounded results (a top-k, a per-day or
+per-type table) are folded into the JSON payload.
 """
 
 from __future__ import annotations

@@ -143,16 +143,17 @@ def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid:
     """Adds ``{p}since``, ``{p}rsum``, ``{p}rcnt``, ``{p}rcnt_amt``, ``{p}rmax``,
     ``{p}ksum``, ``{p}kcnt``, ``{p}max`` for one key, with one shuffle of the rows.
 
-    Rows are cut into 12 h blocks (UTC). A row's 24 h frame lies inside its own
-    block and the two before it, so each row is emitted as the *owner* of its
-    block and as a narrow *copy* into the next two blocks (the wide columns
+    Rows are cut into UTC blocks of width W: 12 h, or 1 h for a key flagged
+    hot (``{p}fine``). A row's 24 h frame lies inside its own block and the
+    c = 24h/W blocks before it, so each row is emitted as the *owner* of its
+    block and as a narrow *copy* into the next c blocks (the wide columns
     travel once, in a struct that is NULL on copies). A partition
-    ``(key, block)`` then holds every row of that key from ``block-2`` to
+    ``(key, block)`` then holds every row of that key from ``block - c`` to
     ``block`` — a contiguous run — so a local ``row_number`` gives the same
     order-key differences as the key-wide ordinal; no global sort is needed.
 
-    * earlier owners of the block are always inside the frame (they are less
-      than 12 h older): a running aggregate, ascending;
+    * earlier owners of the block are always inside the frame (they are at
+      most 12 h older): a running aggregate, ascending;
     * copies inside the frame are those with ``ns ≥ ns_i - 24h``: a running
       aggregate in descending order with a ``RANGE … 24h FOLLOWING`` bound.
 
