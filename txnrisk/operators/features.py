@@ -299,7 +299,9 @@ def engineer_features(
     if strategy == "blocked":
         # both day tables come from the input, so neither re-runs a key stage
         # hot keys (a 12 h block above ``hot_rows``) get 1 h blocks; flags are broadcast
-        if hot_rows is not None:
+        # no key can exceed hot_rows in a block unless the input itself does; the
+        # check reads at most hot_rows + 1 rows, whatever the table size
+        if hot_rows is not None and df.limit(hot_rows + 1).count() > hot_rows:
             x = with_block_width(x, "organization_id", "_o_", hot_rows)
             x = with_block_width(x, "user_id", "_u_", hot_rows)
         else:
