@@ -53,7 +53,7 @@ def fraud_cohort(df: DataFrame, frac: float = COHORT_FRACTION, key: str = "user_
     users = users.withColumn("_h", hash_key60(f"{seed}:cohort", key))
     n = users.count()
     m = int(n * frac)
-    return smallest_k(users, "_h", m, key).select(key)
+    return smallest_k(users, "_h", m, key, n=n).select(key)
 
 
 def cohort_rows(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFrame:
@@ -88,8 +88,9 @@ def cohort_predicate(df: DataFrame, frac: float = COHORT_FRACTION, key: str = "u
     where the caller falls back to the cohort join."""
     users = df.select(key).filter(F.col(key).isNotNull()).distinct()
     users = users.withColumn("_h", hash_key60(f"{seed}:cohort", key))
-    m = int(users.count() * frac)
-    v, exact = smallest_k_cutoff(users, "_h", m)
+    n = users.count()
+    m = int(n * frac)
+    v, exact = smallest_k_cutoff(users, "_h", m, n=n)
     if not exact:
         return None
     if v is None:

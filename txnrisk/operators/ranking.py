@@ -86,7 +86,7 @@ def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = DEFAULT_AC
 
 
 def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str,
-               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+               accuracy: int = DEFAULT_ACCURACY, n: int | None = None) -> DataFrame:
     """The ``k`` rows with the smallest ``(key, tiebreak)``, exactly.
 
     The k-th key value ``v`` is found from the bracket counts; rows below it
@@ -98,7 +98,8 @@ def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str,
         return df.limit(0)
     valid = df.filter(F.col(key).isNotNull())
     vals = _values(df, key)
-    n = vals.count()
+    if n is None:
+        n = vals.count()
     if k >= n:
         return valid
     below, counts = _bracket_counts(vals, [k - 1], n, accuracy)
@@ -132,14 +133,16 @@ def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out
     return x.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_rb", "_rk", "_rbb", "_off")
 
 
-def smallest_k_cutoff(df: DataFrame, key: str, k: int, accuracy: int = DEFAULT_ACCURACY):
+def smallest_k_cutoff(df: DataFrame, key: str, k: int, accuracy: int = DEFAULT_ACCURACY,
+                      n: int | None = None):
     """``(v, exact)`` such that ``key <= v`` selects exactly the ``k`` smallest
     keys when ``exact`` is True (no tie straddles the cut). ``v`` is None when
     ``k <= 0`` (select nothing). When ``exact`` is False, use ``smallest_k``."""
     if k <= 0:
         return None, True
     vals = _values(df, key)
-    n = vals.count()
+    if n is None:
+        n = vals.count()
     if k >= n:
         return (vals.agg(F.max("v")).first()[0], True)
     below, counts = _bracket_counts(vals, [k - 1], n, accuracy)
