@@ -44,3 +44,15 @@ def test_hot_key_switches_to_hour_blocks(spark):
     a = engineer_features(src, amount_scale=2, hot_rows=40).orderBy("transaction_id").collect()
     b = engineer_features(src, amount_scale=2, strategy="window").orderBy("transaction_id").collect()
     assert a == b
+
+
+def test_hot_detection_only_when_the_input_can_hold_a_hot_key(spark):
+    src = hot(spark)
+    n = src.count()
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "_o_fine" not in plan(engineer_features(src, amount_scale=2, hot_rows=n))
+    p = plan(engineer_features(src, amount_scale=2, hot_rows=40))
+    assert "BroadcastExchange" in p and "_o_fine" in p
