@@ -36,12 +36,8 @@ def digest(x: Column, digits: int) -> Column:
     return F.substring(F.sha2(x, 256), 1, digits)
 
 
-def leaf(piece: Column) -> Column:
-    return F.substring(F.hex(F.xxhash64(piece)), -LEAF, LEAF)
-
-
 def leaf_hex(piece: Column) -> Column:
-    return F.lpad(F.lower(leaf(piece)), LEAF, "0")
+    return F.lower(F.right(F.lpad(F.hex(F.xxhash64(piece)), 16, "0"), F.lit(LEAF)))
 
 
 def tree(text: Column, longest: int = PIECE) -> Column:
@@ -50,15 +46,6 @@ def tree(text: Column, longest: int = PIECE) -> Column:
         F.split(section, r"(?<=\n)"), lambda paragraph: F.transform(pieces(paragraph, longest), leaf_hex)))
 
 
-def paragraph_nodes(nested: Column) -> Column:
-    """Paragraph hashes by section."""
-    return F.transform(nested, lambda section: F.transform(section, lambda leaves: digest(F.array_join(leaves, ","), NODE)))
-
-
-def section_nodes(paragraphs: Column) -> Column:
-    return F.transform(paragraphs, lambda nodes: digest(F.array_join(nodes, ","), NODE))
-
-
 def fingerprint(text: Column, nested: Column) -> Column:
     """``root:section;section``, a section being ``hash(paragraph,paragraph)`` and a paragraph ``hash=leaves``.
 
@@ -129,12 +116,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     named = docs.filter("doc_id is not null")
-    # both sides read one shuffle of the texts by doc_id; only the next texts are shuffled again
-    following = (named.groupBy("doc_id").agg(F.min("text").alias("next_text"))
-                 .join(next_ids(docs), "doc_id").select(F.col("before").alias("doc_id"), "next_text"))
-    rows = named.join(following, "doc_id", "left") \
+    # both joins read one shuffle of the texts by doc_id; only the next texts are shuffled again
+    following = (named.join(next_ids(docs), "doc_id").groupBy("before").agg(F.min("text").alias("next_text")))
+    rows = named.join(following, named["doc_id"] == following["before"], "left").drop("before") \
         .union(docs.filter("doc_id is null").select("doc_id", "text", F.lit("").alias("next_text")))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("next_text", F.coalesce("next_text", F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"),
                                               F.expr("substring(next_text, 1, cast(n_chars div 3 as int))")))
     rows = with_tree(rows, "text", "_tree", "fingerprint")
