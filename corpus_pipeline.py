@@ -1,15 +1,21 @@
-"""Corpus pipeline: documents → language ID → near-dedup, each stage on what the one before kept."""
+"""Corpus pipeline: language ID, SimHash near-dedup, benchmark decontamination, mixing, sharding.
+
+Each stage works on all rows its predecessor kept and its decisions take
+effect. All stages but the last return the columns of ``documents``; the last
+adds ``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnrisk.llm import language_id, simhash
+from txnrisk.llm import decontaminate, hilbert, language_id, mixing, simhash
 from txnrisk.llm.common import fresh, read_table, saved
 
-MIN_COSINE = 0.05   # below it a text is in no learned language
+MIN_COSINE = 0.0   # at or below it a text is unlike every learned language
 
+#: SQL has no XXH64, no hypervectors and no Hilbert index; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -17,7 +23,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: rejected are those without a letter and those unlike every prototype."""
     lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_score")
     labelled = language_id.predict(docs, language_id.fit(docs), lang_pred=lang, score=score)
-    return labelled.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= MIN_COSINE)).drop(lang, score)
+    return labelled.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) > MIN_COSINE)).drop(lang, score)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +31,28 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return simhash.keep_one(docs)
 
 
-STAGES = [("language_id", identified), ("simhash_near_dedup", deduplicated)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item: five-word shingles, containment 0.8 or more."""
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A draw whose tokens follow the tempered source and language shares."""
+    return mixing.mixed(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ``shard`` and ``slot`` along a Hilbert curve over size, source and doc_id."""
+    return hilbert.sharded(docs)
+
+
+STAGES = [
+    ("language_id", identified),
+    ("simhash_near_dedup", deduplicated),
+    ("decontamination", decontaminated),
+    ("mixing", mixed),
+    ("hilbert_shards", sharded),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.llm.common import as_array, numbered
+from txnrisk.llm.common import as_array, fresh, numbered
 
 SHARDS = 16
 BITS = 8            # bits of a quantised dimension
@@ -99,6 +99,16 @@ def with_shards(df: DataFrame, dimensions: list[Column], ties: list[Column], sha
     return placed.select("row.*", "shard", (F.col("place") - start).alias("slot"))
 
 
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``docs`` with all its columns and ``shard`` and ``slot``, under longer names where it has such columns."""
+    shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
+    packed = docs.select(F.struct("*").alias("doc"), text_size(F.col("text")).alias("size"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"),
+                         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    rows = with_shards(packed, [F.col("size"), leading_number(F.col("source")), F.col("doc_id")],
+                       [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards)
+    return rows.select("doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     rows = docs.select("doc_id", text_size(F.col("text")).alias("size"),
