@@ -61,19 +61,22 @@ def described(docs: DataFrame, topic: str, tokens: str) -> DataFrame:
     return add_columns(docs, "text", added, describe)
 
 
+def shares(mass: DataFrame) -> DataFrame:
+    """(value, share) from (value, m); the total is one number."""
+    total = mass.agg(F.sum("m")).first()[0] or 1.0
+    return mass.select("value", (F.col("m") / F.lit(total)).alias("share"))
+
+
 def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """(value, share): every value's share of the tokens, to a power and normalised."""
-    mass = cells.groupBy(dimension).agg(F.sum("n").cast("double").alias("m")).filter("m > 0").withColumn("m", F.pow("m", F.lit(power)))
-    total = mass.agg(F.sum("m").alias("all"))
-    return mass.crossJoin(F.broadcast(total)).select(F.col(dimension).alias("value"), (F.col("m") / F.col("all")).alias("share"))
+    mass = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("n").cast("double").alias("m")).filter("m > 0")
+    return shares(mass.withColumn("m", F.pow("m", F.lit(power))))
 
 
 def normalised(cells: DataFrame, dimension: str, targets: DataFrame) -> DataFrame:
     """Explicit targets (value, share) over the values that have tokens."""
     here = cells.filter("n > 0").select(F.col(dimension).alias("here")).distinct()
-    mass = here.join(targets, F.col("here").eqNullSafe(F.col("value"))).select("value", F.col("share").cast("double").alias("m"))
-    total = mass.agg(F.sum("m").alias("all"))
-    return mass.crossJoin(F.broadcast(total)).select("value", (F.col("m") / F.col("all")).alias("share"))
+    return shares(here.join(targets, F.col("here").eqNullSafe(F.col("value"))).select("value", F.col("share").cast("double").alias("m")))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
