@@ -10,8 +10,9 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from txnrisk.session import get_spark
     s = get_spark(master="local[*]", shuffle_partitions=8, app_name="txnrisk-tests")
+    s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoint")))
     yield s
     s.stop()

@@ -81,9 +81,9 @@ def test_exact_quantile_matches_interpolation(spark):
     s = sorted(vals)
     pos = (len(s) - 1) * 0.95
     want = s[int(pos)] + (s[int(pos) + 1] - s[int(pos)]) * (pos - int(pos))
-    assert exact_quantile(df, "v", 0.95, accuracy=4) == pytest.approx(want)
+    assert exact_quantile(df, "v", 0.95) == pytest.approx(want)
     ids = spark.range(100).withColumn("k", F.col("id") % 10)
-    got = sorted(r.id for r in smallest_k(ids, "k", 25, "id", accuracy=4).collect())
+    got = sorted(r.id for r in smallest_k(ids, "k", 25, "id").collect())
     assert got == sorted(i for i in range(100) if (i % 10, i) < (2, 50))[:25]
 
 
@@ -100,7 +100,7 @@ def test_renumber_with_a_hot_value(spark):
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit(500)).otherwise(F.col("id")).cast("long").alias("o"),
         (F.lit(n) - F.col("id")).alias("t"))
-    got = {(r.o, r.t): r.row_number for r in renumber_by(df, "o", "t", buckets=16, sub_buckets=8).collect()}
+    got = {(r.o, r.t): r.row_number for r in renumber_by(df, "o", "t").collect()}
     want = {k: i for i, k in enumerate(sorted(got))}
     assert got == want
 
@@ -124,3 +124,22 @@ def test_coefficient_sign_on_separable_data(spark):
     p = {r.is_fraud: r.p for r in ML.fraud_probability(model, f).groupBy("is_fraud")
          .agg(F.avg("fraud_probability").alias("p")).collect()}
     assert p[1] > 0.9 and p[0] < 0.1
+
+
+def test_roc_auc_of_large_counts(spark, monkeypatch):
+    """Products of class counts beyond a BIGINT."""
+    from pyspark.sql import functions as F
+    from txnrisk.operators import metrics as M
+    points = spark.createDataFrame([(0.9, 5 * 10**9, 0, 5 * 10**9, 0, 0, 0), (0.1, 0, 5 * 10**9, 5 * 10**9, 5 * 10**9, 5 * 10**9, 0)],
+                                   "threshold double, pos long, neg long, tp long, fp long, prev_tp long, prev_fp long")
+    points = points.withColumns({"P": F.lit(5 * 10**9), "N": F.lit(5 * 10**9)})
+    monkeypatch.setattr(M, "score_points", lambda *a: points)
+    assert M.roc_auc(None).first()[0] == 1.0
+
+
+def test_renumbering_spreads_a_hot_value(spark):
+    from pyspark.sql import functions as F
+    from txnrisk.operators.metrics import renumber_by
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("t"), (F.col("id") * 7 % 3001).alias("id"))
+    got = renumber_by(df, "t", "id").collect()
+    assert [r.row_number for r in sorted(got, key=lambda r: (r.t, r.id))] == list(range(3000))

@@ -16,17 +16,20 @@ def plan_of(df):
 
 def test_features_plan_is_jvm_only_and_keyed(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         p = plan_of(engineer_features(txn_events(spark, SF_SMALL)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    # the row shuffles are keyed by (key, 12 h block), never by the key alone
-    keyed = [l for l in p.splitlines() if "Exchange hashpartitioning(" in l]
-    row_shuffles = [l for l in keyed if "_o_blk" in l or "_u_blk" in l]
-    assert len(row_shuffles) >= 2
     assert "SinglePartition" not in p
+    keyed = [line for line in p.splitlines() if "Exchange hashpartitioning(" in line]
+    # per key: the rows once and the block facts once on (key, block), the facts' partial sums
+    # on (key, block) and their windows on the key; only the first moves rows
+    assert len(keyed) == 8 and p.count("Generate explode") == 2
+    assert sum("_o_blk" in line or "_u_blk" in line for line in keyed) == 4
 
 
 def test_org_filter_pushed_to_scan(spark):

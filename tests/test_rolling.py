@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from txnrisk.operators.features import engineer_features
+from txnrisk.operators.features import HOUR_US, engineer_features
 from txnrisk.schema import TXN_SCHEMA
 
 DAY_NS = 86_400_000_000_000
@@ -146,9 +146,8 @@ def test_invariants_on_fixture(spark):
     assert bad.count() == 0
 
 
-def test_hot_key_fine_blocks_match_brute_force(spark):
-    """With ``hot_rows=1`` every key takes the 1 h block path (24 copies)."""
-    check(spark, micro_rows(), "blocked", hot_rows=1)
-    check(spark, dense_rows(11, 50), "blocked", 4, hot_rows=1)
-    # mixed: only keys with more than 3 rows in a 12 h block are hot
-    check(spark, dense_rows(12, 60), "blocked", 2, hot_rows=3)
+def test_other_block_widths_match_brute_force(spark):
+    """Quarter hours and 8 h, the widest blocks, against brute force."""
+    check(spark, micro_rows(), "blocked", block_us=HOUR_US // 4)
+    check(spark, dense_rows(11, 50), "blocked", 4, block_us=HOUR_US // 4)
+    check(spark, dense_rows(12, 60), "blocked", 2, block_us=8 * HOUR_US)

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_CHECK
-from txnrisk.operators.features import HALF_DAY_US, engineer_features
+from txnrisk.operators.features import _US, HOUR_US, emitted, engineer_features
 from txnrisk.sources.fixtures import txn_events
 
 
@@ -21,38 +21,53 @@ def test_hot_key_results_equal_direct_windows(spark):
     assert a == b
 
 
-def test_hot_key_is_split_over_blocks(spark):
+def units(src, width_us):
+    """Emitted rows and the largest (key, block) unit for the organization key."""
+    x = src.withColumn(_US, F.unix_micros("date")).select("organization_id", _US, "transaction_id")
+    e = emitted(x, "organization_id", ["organization_id", _US], "_o_", width_us)
+    return e.count(), e.groupBy("organization_id", "_o_blk").count().agg(F.max("count")).first()[0]
+
+
+def test_a_unit_falls_with_the_width_and_rows_are_emitted_thrice(spark):
     src = hot(spark)
-    blocks = (src.groupBy("organization_id", F.floor(F.unix_micros("date") / F.lit(HALF_DAY_US)).alias("b"))
-              .count())
     n = src.count()
-    largest = blocks.agg(F.max("count")).first()[0]
-    hot_blocks = blocks.filter("organization_id = 0").count()
-    # the hot organization is spread over many (key, 12 h block) work units,
-    # each a small fraction of the rows (copies add at most 2 narrow rows each)
-    assert hot_blocks > 20
-    assert 3 * largest < 0.05 * n
+    sizes = []
+    for hours in (8, 4, 2, 1):
+        rows, largest = units(src, hours * HOUR_US)
+        assert rows <= 3 * n
+        sizes.append(largest)
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] * 3 < sizes[0]
 
 
-def test_hot_key_switches_to_hour_blocks(spark):
-    from txnrisk.operators.features import _hot_keys, _US
+def test_every_width_gives_the_same_features(spark):
     src = hot(spark)
-    # the hot organization has ~55 rows per 12 h block here; with a threshold of 40
-    # it (and only keys like it) takes 1 h blocks
-    flagged = _hot_keys(src.withColumn(_US, F.unix_micros("date")), "organization_id", "_o_", 40)
-    assert [r.organization_id for r in flagged.collect()] == [0]
-    a = engineer_features(src, amount_scale=2, hot_rows=40).orderBy("transaction_id").collect()
-    b = engineer_features(src, amount_scale=2, strategy="window").orderBy("transaction_id").collect()
-    assert a == b
+    want = engineer_features(src, amount_scale=2, strategy="window").orderBy("transaction_id").collect()
+    for width in (8 * HOUR_US, HOUR_US // 4):
+        assert engineer_features(src, amount_scale=2, block_us=width).orderBy("transaction_id").collect() == want
 
 
-def test_hot_detection_only_when_the_input_can_hold_a_hot_key(spark):
-    src = hot(spark)
-    n = src.count()
+def test_order_statistics_collect_a_bounded_number_of_rows(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from txnrisk.operators import ranking
+    seen, plain = [], DataFrame.collect
+
+    def counted(self):
+        rows = plain(self)
+        seen.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    monkeypatch.setattr(ranking, "BINS", 16)
+    df = spark.range(50_000).select((F.col("id") * 7919 % 50_021 / 7).alias("x"))
+    values = sorted(i * 7919 % 50_021 / 7 for i in range(50_000))
+    for k in (0, 1, 777, 49_999):
+        assert ranking.value_at_rank(df, "x", k) == values[k]
+    assert ranking.exact_quantile(df, "x", 0.95) == values[47499] + (values[47500] - values[47499]) * (49_999 * 0.95 - 47499)
+    assert max(seen) <= 16
 
-    def plan(df):
-        return df._jdf.queryExecution().executedPlan().toString()
 
-    assert "_o_fine" not in plan(engineer_features(src, amount_scale=2, hot_rows=n))
-    p = plan(engineer_features(src, amount_scale=2, hot_rows=40))
-    assert "BroadcastExchange" in p and "_o_fine" in p
+def test_order_statistics_of_repeated_and_extreme_values(spark):
+    from txnrisk.operators.ranking import value_at_rank
+    values = sorted([0.0] * 50 + [-1e300, 1e300, 5e-324, 1.5, 1.5] + [2.0] * 50)
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    assert [value_at_rank(df, "x", k) for k in (0, 1, 50, 51, 52, 60, 104, 105)] == [values[0], values[1], values[50], values[51], values[52], values[60], values[104], None]

@@ -17,27 +17,24 @@ Physical design (``strategy="blocked"``, the default)
 -----------------------------------------------------
 A window partitioned by the key alone puts a hot key (think: one organization
 holding a third of all rows) in one task, and Spark's sliding frame
-re-aggregates its whole buffer for every row. Both are avoided:
-
-1. *Blocks with copies.* Rows are cut into UTC blocks of width W (12 h; 1 h
-   for a hot key). A row's 24 h frame lies in its own block and the 24h/W
-   blocks before it, so each row is emitted once as the *owner* of its block
-   and 24h/W times as a narrow *copy* into the following blocks (the wide
-   columns travel once, in a struct that is NULL on copies). One shuffle per
-   key, on ``(key, block)``.
-2. *No key-wide ordinal.* A partition ``(key, block)`` holds the contiguous run
-   of the key's rows from ``block - 24h/W`` to ``block``, so a local
-   ``row_number`` gives the same order-key differences as the key-wide one.
-3. *O(n) frames.* Earlier owners of the block are always inside the frame (a
-   running aggregate, ascending); copies inside it are those with
-   ``ns ≥ ns_i - 24h`` (a running aggregate, descending, ``RANGE … 24h
-   FOLLOWING``). Both are cumulative frames, evaluated incrementally.
-4. *Block facts.* Key totals and the previous active block's last timestamp
-   come from a narrow per-(key, block) table (partial aggregation, then a
-   window per key on the small table), joined to the owners on the window's
-   own partitioning.
-5. *Adaptive width.* Keys with more than ``hot_rows`` rows in some 12 h block
-   (at most n / hot_rows of them: a bounded broadcast) take 1 h blocks.
+re-aggregates its whole buffer for every row. Both are avoided, in the same
+way for every key and every size:
+
+1. *Blocks.* Rows are cut into UTC blocks of one width W (1 h by default; any
+   divisor of 24 h). With n = 24h/W, a row's frame is the head of its own
+   block, the whole blocks ``b-1 … b-(n-2)``, and the tails of the blocks
+   ``b-(n-1)`` and ``b-n``, in one of which the frame begins.
+2. *At most three emissions.* Each row is emitted as the *owner* of its block
+   and as a narrow *copy* into the blocks n-1 and n later, at any width. The
+   wide columns travel once, in a struct that is NULL on copies. One shuffle
+   per key, on ``(key, block)``; a unit of work is three blocks.
+3. *Block facts.* A narrow per-(key, block) table (partial aggregation, then
+   windows per key on one row per block) gives the whole middle blocks' sum,
+   count and max, the rows in the blocks before (so that a row's local number
+   gives the exact ordinal difference), the previous active block's last
+   timestamp and the key totals. It is joined on the units' own partitioning.
+4. *O(n) frames.* Own head and tails are cumulative frames, ascending and
+   descending, which Spark evaluates incrementally.
 
 No step collects a group or sorts a key in one task. ``strategy="window"`` is
 the direct per-key formulation, kept as an executable specification for tests.
@@ -52,11 +49,7 @@ from pyspark.sql import types as T
 from txnrisk.functions import scalars as S
 from txnrisk.schema import DAY_NS, DAY_US, DERIVED_FEATURES
 
-HALF_DAY_US = DAY_US // 2
 HOUR_US = DAY_US // 24
-# a key with more rows than this in one 12 h block is "hot": it switches to 1 h
-# blocks (24 narrow copies per row instead of 2), so its work units are 12× finer
-HOT_BLOCK_ROWS = 2_000_000
 
 ColumnOrName = Column | str
 
@@ -91,133 +84,104 @@ def add_calendar_features(df: DataFrame, date_col: str = "date") -> DataFrame:
 # One key, blocked strategy
 # ---------------------------------------------------------------------------
 
-def _block_of(us: str, p: str) -> Column:
-    """Exact block number of ``us``: 12 h blocks, or 1 h blocks for a hot key."""
-    fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
-    return F.when(fine, _floor_div(us, HOUR_US)).otherwise(_floor_div(us, HALF_DAY_US))
-
-
-def _hot_keys(base: DataFrame, key: str, p: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows in some 12 h block.
-
-    At most ``n / hot_rows`` keys can qualify, so the set has a size bound and
-    is broadcast as a flag (no shuffle of the rows)."""
-    blocks = base.groupBy(key, _floor_div(_US, HALF_DAY_US).alias("_hb")).agg(F.count(F.lit(1)).alias("_n"))
-    return (blocks.filter(F.col("_n") > F.lit(hot_rows)).select(key).distinct()
-            .filter(F.col(key).isNotNull()).withColumn(f"{p}fine", F.lit(True)))
-
-
-def with_block_width(base: DataFrame, key: str, p: str, hot_rows: int = HOT_BLOCK_ROWS) -> DataFrame:
-    """Adds ``{p}fine`` (hot key flag) used to pick the block width per key."""
-    return base.join(F.broadcast(_hot_keys(base, key, p, hot_rows)), key, "left")
-
-
-def _block_table(base: DataFrame, key: str, amount: str, units: str, p: str) -> DataFrame:
-    """Narrow per-(key, block) table: the previous active block's last
-    timestamp and the key-level sum/count/max of amount.
+def block_facts(base: DataFrame, key: str, amount: str, units: str, tid: str, p: str, width_us: int = HOUR_US) -> DataFrame:
+    """Narrow per-(key, block) table with what a unit needs of other blocks.
 
     Partial aggregation shrinks the rows to one per active (key, block) before
-    any shuffle; the window over blocks then runs per key on that small table
-    (a key active for ten years has ~7 300 12-hour blocks). It reads only raw
+    any shuffle; the windows over blocks run per key on that small table (a
+    key active for ten years has ~87 600 one-hour blocks). It reads only raw
     columns, so it never recomputes another key's stage.
     """
-    blk = f"{p}blk"
-    blocks = base.groupBy(key, _block_of(_US, p).alias(blk)).agg(
+    blk, n = f"{p}blk", DAY_US // width_us
+    blocks = base.groupBy(key, _floor_div(_US, width_us).alias(blk)).agg(
         F.max(_US).alias("_last"),
         F.sum(units).alias("_s"),
         F.count(amount).alias("_c"),
         F.max(amount).alias("_m"),
+        F.count(tid).alias("_t"),
+        F.count(F.lit(1)).alias("_n"),
     )
     by_key = Window.partitionBy(key)
+    ordered = by_key.orderBy(blk)
+    middle = ordered.rangeBetween(-(n - 2), -1)
+
+    def rows_in(k: int) -> Column:
+        return F.coalesce(F.sum("_n").over(ordered.rangeBetween(-k, -1)), F.lit(0))
+
     return blocks.select(
         key, blk,
-        F.lag("_last").over(by_key.orderBy(blk)).alias(f"{p}prev_last"),
+        F.lag("_last").over(ordered).alias(f"{p}prev_last"),
+        F.sum("_s").over(middle).alias(f"{p}ms"),
+        F.coalesce(F.sum("_c").over(middle), F.lit(0)).alias(f"{p}mc"),
+        F.coalesce(F.sum("_t").over(middle), F.lit(0)).alias(f"{p}mt"),
+        F.max("_m").over(middle).alias(f"{p}mm"),
+        rows_in(n).alias(f"{p}rows_n"),
+        rows_in(n - 2).alias(f"{p}rows_mid"),
         F.sum("_s").over(by_key).alias(f"{p}ksum"),
         F.sum("_c").over(by_key).alias(f"{p}kcnt"),
         F.max("_m").over(by_key).alias(f"{p}max"),
     )
 
 
+def emitted(df: DataFrame, key: str, narrow: list[str], p: str, width_us: int = HOUR_US) -> DataFrame:
+    """Each row as the owner of its block and as a copy in the blocks n-1 and n later (n = 24h / width)."""
+    n = DAY_US // width_us
+    b = _floor_div(_US, width_us)
+    wide = [c for c in df.columns if c not in narrow]
+    # a literal array keeps the projection inside whole-stage codegen
+    fan = F.array(*[F.struct((b + F.lit(k)).alias("b"), F.lit(k == 0).alias("o")) for k in (0, n - 1, n)])
+    return df.select(*narrow, F.struct(*wide).alias(f"{p}payload"), F.explode(fan).alias("_e")).select(
+        *narrow, F.col("_e.b").alias(f"{p}blk"), F.col("_e.o").alias(f"{p}own"),
+        F.when(F.col("_e.o"), F.col(f"{p}payload")).alias(f"{p}payload"))
+
+
 def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid: str, p: str,
-                          blocks: DataFrame | None = None) -> DataFrame:
+                          facts: DataFrame, width_us: int = HOUR_US) -> DataFrame:
     """Adds ``{p}since``, ``{p}rsum``, ``{p}rcnt``, ``{p}rcnt_amt``, ``{p}rmax``,
     ``{p}ksum``, ``{p}kcnt``, ``{p}max`` for one key, with one shuffle of the rows.
 
-    Rows are cut into UTC blocks of width W: 12 h, or 1 h for a key flagged
-    hot (``{p}fine``). A row's 24 h frame lies inside its own block and the
-    c = 24h/W blocks before it, so each row is emitted as the *owner* of its
-    block and as a narrow *copy* into the next c blocks (the wide columns
-    travel once, in a struct that is NULL on copies). A partition
-    ``(key, block)`` then holds every row of that key from ``block - c`` to
-    ``block`` — a contiguous run — so a local ``row_number`` gives the same
-    order-key differences as the key-wide ordinal; no global sort is needed.
-
-    * earlier owners of the block are always inside the frame (they are at
-      most 12 h older): a running aggregate, ascending;
-    * copies inside the frame are those with ``ns ≥ ns_i - 24h``: a running
-      aggregate in descending order with a ``RANGE … 24h FOLLOWING`` bound.
-
-    Both are cumulative frames, which Spark evaluates incrementally.
+    In a unit the copies of block b-n come first, then those of b-(n-1), then
+    the owners. Numbered together, a copy's ordinal relative to the block's
+    first owner is ``number - rows_n`` and an owner's ``number - (rows_n -
+    rows_mid)``, rows_n and rows_mid being the rows in the n and n-2 blocks
+    before.
     """
-    blk = f"{p}blk"
-    own = f"{p}own"
-    payload = f"{p}payload"
-    if f"{p}fine" not in df.columns:
-        df = df.withColumn(f"{p}fine", F.lit(None).cast(T.BooleanType()))
-    if blocks is None:
-        blocks = _block_table(df, key, amount, units, p)
-
+    blk, own, payload = f"{p}blk", f"{p}own", f"{p}payload"
     narrow = [key, _US, _SEQ, amount, units, tid]
-    wide = [c for c in df.columns if c not in narrow and c != f"{p}fine"]
-    b = _block_of(_US, p)
-    fine = F.coalesce(F.col(f"{p}fine"), F.lit(False))
-
-    def fan(k: int) -> Column:
-        # owner (offset 0) and k copies into the following blocks; literal
-        # arrays keep the projection inside whole-stage codegen
-        return F.array(*[F.struct((b + F.lit(i)).alias("b"), F.lit(i == 0).alias("o")) for i in range(k + 1)])
-
-    tagged = df.select(
-        *narrow,
-        F.struct(*wide).alias(payload),
-        F.explode(F.when(fine, fan(24)).otherwise(fan(2))).alias("_e"),
-    ).select(
-        *narrow,
-        F.col("_e.b").alias(blk),
-        F.col("_e.o").alias(own),
-        F.when(F.col("_e.o"), F.col(payload)).alias(payload),
-    )
+    wide = [c for c in df.columns if c not in narrow]
+    # a unit without owner has no facts: its copies go before any window
+    x = emitted(df, key, narrow, p, width_us).join(facts, on=[key, blk], how="left")
     is_own = F.col(own)
+    x = x.filter(is_own | F.col(f"{p}rows_n").isNotNull())
     a_own, u_own, t_own = (F.when(is_own, F.col(c)) for c in (amount, units, tid))
     a_cp, u_cp, t_cp = (F.when(~is_own, F.col(c)) for c in (amount, units, tid))
     w = Window.partitionBy(key, blk).orderBy(_US, _SEQ)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    x = tagged.withColumns({
-        _NS: F.col(_US) * F.lit(1000) + F.row_number().over(w),
-        "_prev": F.lag(_US).over(w),
+    number = F.row_number().over(w)
+    tails = F.col(f"{p}rows_n") - F.col(f"{p}rows_mid")
+    x = x.withColumns({
+        "_rn": number,
+        "_prev": F.lag(F.when(is_own, F.col(_US))).over(w),
         "_os": F.sum(u_own).over(before), "_oc": F.count(a_own).over(before),
         "_ot": F.count(t_own).over(before), "_om": F.max(a_own).over(before),
     })
+    x = x.withColumn(_NS, F.col(_US) * F.lit(1000) + F.coalesce(F.col("_rn") - F.when(is_own, tails).otherwise(F.col(f"{p}rows_n")), F.lit(0)))
     desc = Window.partitionBy(key, blk).orderBy(F.col(_NS).desc()).rangeBetween(Window.unboundedPreceding, DAY_NS)
     x = x.withColumns({
         "_cs": F.sum(u_cp).over(desc), "_cc": F.count(a_cp).over(desc),
         "_ct": F.count(t_cp).over(desc), "_cm": F.max(a_cp).over(desc),
     }).filter(is_own)
-    # block facts (previous active block's last timestamp, key totals) join the
-    # owners only, on the (key, block) partitioning and order the windows left
-    x = x.join(blocks, on=[key, blk], how="left")
-    s_own, s_cp = F.col("_os"), F.col("_cs")
-    rsum = F.when(s_own.isNull() & s_cp.isNull(), F.lit(None)).otherwise(
-        F.coalesce(s_own, F.lit(0)) + F.coalesce(s_cp, F.lit(0)))
+    parts = [F.col("_os"), F.col(f"{p}ms"), F.col("_cs")]
+    rsum = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0))))
     prev = F.coalesce(F.col("_prev"), F.col(f"{p}prev_last"))
     return x.select(
         *narrow,
         *[F.col(f"{payload}.{c}").alias(c) for c in wide],
         F.when(prev.isNull(), F.lit(0.0)).otherwise((F.col(_US) - prev) / F.lit(1_000_000.0)).alias(f"{p}since"),
         rsum.alias(f"{p}rsum"),
-        (F.col("_oc") + F.col("_cc")).alias(f"{p}rcnt_amt"),
-        (F.col("_ot") + F.col("_ct")).alias(f"{p}rcnt"),
-        F.greatest("_om", "_cm").alias(f"{p}rmax"),
+        (F.col("_oc") + F.col(f"{p}mc") + F.col("_cc")).alias(f"{p}rcnt_amt"),
+        (F.col("_ot") + F.col(f"{p}mt") + F.col("_ct")).alias(f"{p}rcnt"),
+        F.greatest("_om", f"{p}mm", "_cm").alias(f"{p}rmax"),
         F.col(f"{p}ksum"), F.col(f"{p}kcnt"), F.col(f"{p}max"),
     )
 
@@ -248,9 +212,6 @@ def _key_features_window(df: DataFrame, key: str, amount: str, units: str, tid:
     })
 
 
-_STRATEGIES = {"blocked": _key_features_blocked, "window": _key_features_window}
-
-
 def money_units(amount: ColumnOrName, amount_scale: int | None) -> Column:
     """The summation unit of ``amount``.
 
@@ -279,40 +240,36 @@ def engineer_features(
     ratio: str = "serving",
     keep_date: bool = False,
     amount_scale: int | None = None,
-    hot_rows: int | None = HOT_BLOCK_ROWS,
+    block_us: int = HOUR_US,
 ) -> DataFrame:
     """Adds the 16 engineered columns to a cleaned transaction DataFrame.
 
     Extra input columns (e.g. a row id) pass through untouched. ``ratio`` is
     ``"serving"`` (zero/NULL average → 0) or ``"training"`` (amount/(avg+1e-6)).
-    ``strategy`` is ``"blocked"`` (skew-safe, default) or ``"window"``.
+    ``strategy`` is ``"blocked"`` (skew-safe, default) or ``"window"``;
+    ``block_us`` is the blocks' width in µs, at most 8 h and a divisor of 24 h.
     """
+    if DAY_US % block_us or DAY_US // block_us < 3:
+        raise ValueError("engineer_features: block_us must divide 24 h and be at most 8 h")
     for required in ("amount", "date", "user_id", "organization_id", "transaction_id"):
         if required not in df.columns:
             raise ValueError(f"engineer_features: missing column '{required}'")
-    impl = _STRATEGIES[strategy]
     x = df.withColumns({
         _US: F.unix_micros(F.col("date")),
         _SEQ: F.col(seq),
         _UNITS: money_units("amount", amount_scale),
     })
+    keys = (("organization_id", "_o_"), ("user_id", "_u_"))
     if strategy == "blocked":
-        # both day tables come from the input, so neither re-runs a key stage
-        # hot keys (a 12 h block above ``hot_rows``) get 1 h blocks; flags are broadcast
-        # no key can exceed hot_rows in a block unless the input itself does; the
-        # check reads at most hot_rows + 1 rows, whatever the table size
-        if hot_rows is not None and df.limit(hot_rows + 1).count() > hot_rows:
-            x = with_block_width(x, "organization_id", "_o_", hot_rows)
-            x = with_block_width(x, "user_id", "_u_", hot_rows)
-        else:
-            x = x.withColumns({f: F.lit(None).cast(T.BooleanType()) for f in ("_o_fine", "_u_fine")})
-        d_org = _block_table(x, "organization_id", "amount", _UNITS, "_o_")
-        d_user = _block_table(x, "user_id", "amount", _UNITS, "_u_")
-        x = _key_features_blocked(x, "organization_id", "amount", _UNITS, "transaction_id", "_o_", d_org)
-        x = _key_features_blocked(x, "user_id", "amount", _UNITS, "transaction_id", "_u_", d_user)
+        # both fact tables come from the input, so neither re-runs a key stage
+        facts = [block_facts(x, key, "amount", _UNITS, "transaction_id", p, block_us) for key, p in keys]
+        for (key, p), f in zip(keys, facts, strict=True):
+            x = _key_features_blocked(x, key, "amount", _UNITS, "transaction_id", p, f, block_us)
+    elif strategy == "window":
+        for key, p in keys:
+            x = _key_features_window(x, key, "amount", _UNITS, "transaction_id", p)
     else:
-        x = impl(x, "organization_id", "amount", _UNITS, "transaction_id", "_o_")
-        x = impl(x, "user_id", "amount", _UNITS, "transaction_id", "_u_")
+        raise ValueError(f"engineer_features: unknown strategy '{strategy}'")
 
     user_null = F.col("user_id").isNull()
     org_null = F.col("organization_id").isNull()

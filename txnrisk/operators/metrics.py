@@ -1,79 +1,50 @@
 """Classifier evaluation (A10–A13) and global renumbering (L4).
 
 Curve metrics need cumulative counts in score order. A window without a
-partition would pull every row into one task, so instead:
-
-1. rows collapse to one row per distinct score (partial aggregation);
-2. distinct scores are cut into equal-frequency buckets (approximate
-   quantiles as split points, ``Bucketizer`` assigns them);
-3. per-bucket totals (≤ ``buckets`` rows, a fixed bound) give each bucket's
-   offset; a window partitioned by bucket gives the rest.
+partition would pull every row into one task, so instead rows collapse to one
+row per distinct score (partial aggregation), those are cut into ranges of the
+score by rows, and the ranges' totals (one row per range) give each range's
+offset; a window partitioned by range gives the rest.
 
 Counts stay integers until the final division, so ROC AUC is exact.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BUCKETS = 1024
-
-
-def equal_frequency_buckets(df: DataFrame, col: str, out: str, buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Adds ``out``: the equal-frequency bucket of ``col`` (ascending)."""
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(F.col(col).cast(T.DoubleType()), probs, 10 * buckets).alias("c")).first()["c"]
-    splits = sorted(set(float(c) for c in (cuts or [])))
-    splits = [float("-inf")] + splits + [float("inf")]
-    tmp = f"_{out}_d"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = b.transform(df.withColumn(tmp, F.col(col).cast(T.DoubleType())))
-    return res.withColumn(out, F.col(out).cast(T.IntegerType())).drop(tmp)
+from txnrisk.operators.ranking import in_ranges, range_starts
 
 
-def score_points(scored: DataFrame, label: str = "label", score: str = "score",
-                 buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def score_points(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """One row per distinct score, descending thresholds: ``threshold, pos, neg,
     tp, fp, prev_tp, prev_fp, P, N`` (tp/fp = counts with score ≥ threshold)."""
     t = (scored.filter(F.col(score).isNotNull())
          .groupBy(F.col(score).alias("threshold"))
          .agg(F.sum((F.col(label) == 1).cast(T.LongType())).alias("pos"),
               F.sum((F.col(label) != 1).cast(T.LongType())).alias("neg")))
-    t = equal_frequency_buckets(t, "threshold", "_b", buckets)
-    bt = t.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    # bucket offsets: totals of all higher buckets. ``bt`` has at most
-    # ``buckets`` rows, so the unpartitioned window and the broadcast are bounded.
-    higher = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    bt = bt.select(
-        "_b",
-        F.coalesce(F.sum("_bp").over(higher), F.lit(0)).alias("_op"),
-        F.coalesce(F.sum("_bn").over(higher), F.lit(0)).alias("_on"),
-        F.sum("_bp").over(whole).alias("P"),
-        F.sum("_bn").over(whole).alias("N"),
-    )
-    t = t.join(F.broadcast(bt), "_b")
-    run = Window.partitionBy("_b").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tp = F.col("_op") + F.sum("pos").over(run)
-    fp = F.col("_on") + F.sum("neg").over(run)
-    t = t.withColumns({"tp": tp, "fp": fp})
+    t = in_ranges(t, [F.col("threshold").desc()], "_part", "_local").drop("_local")
+    starts = range_starts(t, "_part", {"pos": F.sum("pos"), "neg": F.sum("neg")})
+    t = t.join(F.broadcast(starts), "_part")     # one row per range
+    run = Window.partitionBy("_part").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"tp": F.col("pos_before") + F.sum("pos").over(run), "fp": F.col("neg_before") + F.sum("neg").over(run)})
     return t.select(
         "threshold", "pos", "neg", "tp", "fp",
         (F.col("tp") - F.col("pos")).alias("prev_tp"),
         (F.col("fp") - F.col("neg")).alias("prev_fp"),
-        "P", "N",
+        F.col("pos_all").alias("P"), F.col("neg_all").alias("N"),
     )
 
 
-def roc_auc(scored: DataFrame, label: str = "label", score: str = "score",
-            buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """ROC AUC with tied scores counted half (Mann–Whitney). One row;
     NULL when a class is absent (AUC undefined)."""
-    pts = score_points(scored, label, score, buckets)
-    num = F.sum((F.col("neg") * (F.col("prev_tp") * 2 + F.col("pos"))).cast(T.DecimalType(38, 0)))
+    pts = score_points(scored, label, score)
+    # the factors are decimals, so that their product can't overflow a BIGINT
+    neg, ranked = F.col("neg").cast(T.DecimalType(19, 0)), (F.col("prev_tp") * 2 + F.col("pos")).cast(T.DecimalType(19, 0))
+    num = F.sum((neg * ranked).cast(T.DecimalType(38, 0)))
     agg = pts.agg(num.alias("_num"), F.max("P").alias("_P"), F.max("N").alias("_N"))
     den = F.col("_P").cast(T.DoubleType()) * F.col("_N").cast(T.DoubleType()) * F.lit(2.0)
     return agg.select(
@@ -85,22 +56,23 @@ def _precision(tp, fp):
     return F.when(tp + fp == 0, F.lit(1.0)).otherwise(tp.cast(T.DoubleType()) / (tp + fp).cast(T.DoubleType()))
 
 
-def pr_curve(scored: DataFrame, label: str = "label", score: str = "score",
-             buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Precision and recall at every distinct threshold."""
-    pts = score_points(scored, label, score, buckets)
-    return pts.select(
+def pr_curve(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """Precision and recall at every distinct threshold, and the curve's
+    end point (recall 0, precision 1), which has no threshold."""
+    pts = score_points(scored, label, score).select(
         "threshold",
         _precision(F.col("tp"), F.col("fp")).alias("precision"),
         F.when(F.col("P") == 0, F.lit(1.0)).otherwise(F.col("tp") / F.col("P")).alias("recall"),
     )
+    end = scored.sparkSession.range(1).select(F.lit(None).cast(pts.schema["threshold"].dataType).alias("threshold"),
+                                              F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
+    return pts.union(end)
 
 
-def pr_auc(scored: DataFrame, label: str = "label", score: str = "score",
-           buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def pr_auc(scored: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
     """Trapezoid area under the precision–recall curve, which starts at
     (recall 0, precision 1) and visits every distinct threshold."""
-    pts = score_points(scored, label, score, buckets)
+    pts = score_points(scored, label, score)
     P = F.col("P").cast(T.DoubleType())
     r, r0 = F.col("tp") / P, F.col("prev_tp") / P
     p, p0 = _precision(F.col("tp"), F.col("fp")), _precision(F.col("prev_tp"), F.col("prev_fp"))
@@ -156,56 +128,13 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     return base.select(F.inline(rows))
 
 
-def renumber_by(df: DataFrame, order_col: str, tiebreak: str, out: str = "row_number",
-                buckets: int = DEFAULT_BUCKETS, sub_buckets: int = 64) -> DataFrame:
+def renumber_by(df: DataFrame, order_col: str, tiebreak: str, out: str = "row_number") -> DataFrame:
     """L4: 0-based position of each row in ``(order_col, tiebreak)`` order.
 
-    Rows are placed in ordered work units with a per-unit offset (from at most
-    ``buckets · (sub_buckets + 2)`` unit counts) and numbered inside each unit:
-
-    * equal-frequency buckets of ``order_col`` (sketch split points);
-    * a value that shows up several times among the split points holds at
-      least 1/``buckets`` of the rows (a hot value, e.g. one timestamp with a
-      third of the data): its rows are further cut by ``tiebreak`` quantiles,
-      and the larger values sharing its bucket follow in their own unit.
+    Rows are cut into ranges of both columns together, so a hot timestamp is
+    spread by its tiebreak; a row's number is its place in its range plus the
+    rows of the ranges before.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    raw = df.agg(F.percentile_approx(F.col(order_col).cast(T.DoubleType()), probs, 10 * buckets)).first()[0] or []
-    seen, hot = set(), set()
-    for c in raw:
-        (hot if c in seen else seen).add(c)
-    b = "_rb"
-    x = equal_frequency_buckets(df, order_col, b, buckets)
-    sub = F.lit(0)
-    if hot:
-        tprobs = [i / sub_buckets for i in range(1, sub_buckets)]
-        tcuts = (df.filter(F.col(order_col).cast(T.DoubleType()).isin(sorted(hot)))
-                 .groupBy(F.col(order_col).cast(T.DoubleType()).alias("_v"))
-                 .agg(F.percentile_approx(F.col(tiebreak).cast(T.DoubleType()), tprobs, 10 * sub_buckets)
-                      .alias("_c")).collect())
-        o = F.col(order_col).cast(T.DoubleType())
-        t = F.col(tiebreak).cast(T.DoubleType())
-        for r in tcuts:
-            cuts = sorted(set(r["_c"]))
-            arr = F.array(*[F.lit(c) for c in cuts])
-            rank = F.size(F.filter(arr, lambda c: c <= t))
-            # rows equal to the hot value: sub-bucket by tiebreak; larger values of
-            # the same bucket come after them
-            sub = F.when(o == F.lit(r["_v"]), rank + F.lit(1)).when(
-                (o > F.lit(r["_v"])) & (F.col(b) == _bucket_of(r["_v"], raw)), F.lit(sub_buckets + 1)
-            ).otherwise(sub)
-    x = x.withColumn("_rs", sub)
-    counts = x.groupBy(b, "_rs").agg(F.count(F.lit(1)).alias("_n"))
-    # at most buckets·(sub_buckets+2) rows: the unpartitioned window and the
-    # broadcast are bounded by construction
-    offs = counts.select(b, "_rs", F.coalesce(
-        F.sum("_n").over(Window.orderBy(b, "_rs").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    x = x.join(F.broadcast(offs), [b, "_rs"])
-    w = Window.partitionBy(b, "_rs").orderBy(order_col, tiebreak)
-    return x.withColumn(out, F.col("_off") + F.row_number().over(w) - F.lit(1)).drop(b, "_rs", "_off")
-
-
-def _bucket_of(value: float, raw_cuts: list) -> int:
-    """Bucketizer index of ``value`` for the split points built from ``raw_cuts``."""
-    splits = sorted(set(float(c) for c in raw_cuts))
-    return sum(1 for c in splits if c <= value)
+    x = in_ranges(df, [F.col(order_col), F.col(tiebreak)], "_part", "_local")
+    starts = range_starts(x, "_part", {"n": F.count("*")}).drop("n_all")
+    return x.join(F.broadcast(starts), "_part").withColumn(out, F.col("n_before") + F.col("_local")).drop("_part", "_local", "n_before")

@@ -1,64 +1,46 @@
 """Exact order statistics without funnelling a column through one task.
 
 ``percentile``/``ORDER BY … LIMIT k`` would hold every value (or every
-candidate) in a single task. Instead an approximate quantile sketch
-(``percentile_approx``, rank error ≤ n/accuracy, bounded memory) brackets
-the wanted rank; only the distinct values inside the bracket — at most
-about 4·n/accuracy of them — are counted exactly. Each step is a small
-aggregate; the driver only sees scalars.
+candidate) in a single task. Instead the interval that holds the wanted rank
+is narrowed by fixed-size histograms: a grouped count over ``BINS`` equal
+ranges between its ends, of which the one that holds the rank becomes the
+next interval, until its ends meet. Every round is one partially aggregated
+pass and returns at most ``BINS`` rows, whatever the size of the column.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 1_000_000
+from txnrisk.session import materialize
 
+BINS = 1024
 
-def _bracket_counts(vals: DataFrame, ks: list[int], n: int, accuracy: int):
-    """For ranks ``ks`` (0-based, sorted): ``(below, [(value, count), …])`` —
-    the number of values under the bracket and the distinct values inside it.
 
-    One sketch pass brackets every rank at once; one more pass returns the
-    below-bracket count together with the (bounded) in-bracket value counts.
-    """
-    slack = 1 + 2 * n / accuracy
-    qlo = max(0.0, (min(ks) - slack) / n)
-    qhi = min(1.0, (max(ks) + 1 + slack) / n)
-    lo = hi = None
-    if qlo > 0.0 or qhi < 1.0:
-        lo, hi = vals.agg(F.percentile_approx("v", [qlo, qhi], accuracy).alias("b")).first()["b"]
-        lo = None if qlo == 0.0 else lo
-        hi = None if qhi == 1.0 else hi
-    below = F.lit(False) if lo is None else (F.col("v") < F.lit(lo))
-    above = F.lit(False) if hi is None else (F.col("v") > F.lit(hi))
-    rows = (vals.filter(~above)
-            .groupBy(F.when(below, F.lit(None)).otherwise(F.col("v")).alias("v"))
-            .count().collect())
-    below_n = sum(r["count"] for r in rows if r["v"] is None)
-    counts = sorted((r["v"], r["count"]) for r in rows if r["v"] is not None)
-    return below_n, counts
-
-
-def _pick(below: int, counts, k: int):
-    """``(value, rows strictly below it, its multiplicity)`` at rank ``k``."""
-    seen = below
-    for v, c in counts:
-        if seen + c > k:
-            return v, seen, c
-        seen += c
-    raise RuntimeError("rank outside the sketch bracket")  # pragma: no cover
+def _at_rank(vals: DataFrame, k: int):
+    """``(value, rows strictly below it, its multiplicity)`` at 0-based rank ``k`` of column ``v``."""
+    low, high = vals.agg(F.min("v"), F.max("v")).first()
+    below = 0
+    while low != high:
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.lit(low)) / (F.lit(high) - F.lit(low)) * BINS))
+        bins = (vals.filter((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))).groupBy(place.alias("b"))
+                .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        for r in sorted(bins, key=lambda r: r["lo"]):
+            if below + r["n"] > k:
+                low, high = r["lo"], r["hi"]
+                break
+            below += r["n"]
+    return low, below, vals.filter(F.col("v") == F.lit(low)).count()
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
     return df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
 
 
-def value_at_rank(df: DataFrame, col: str, k: int, n: int | None = None,
-                  accuracy: int = DEFAULT_ACCURACY):
+def value_at_rank(df: DataFrame, col: str, k: int, n: int | None = None):
     """The value at 0-based position ``k`` of ``col`` sorted ascending (NULLs
     ignored), or None when ``k`` is out of range. Exact."""
     vals = _values(df, col)
@@ -66,11 +48,10 @@ def value_at_rank(df: DataFrame, col: str, k: int, n: int | None = None,
         n = vals.count()
     if k < 0 or k >= n:
         return None
-    below, counts = _bracket_counts(vals, [k], n, accuracy)
-    return _pick(below, counts, k)[0]
+    return _at_rank(vals, k)[0]
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = DEFAULT_ACCURACY):
+def exact_quantile(df: DataFrame, col: str, q: float):
     """Quantile with linear interpolation between closest ranks (the pandas /
     ``quantile_cont`` definition). Exact, None on empty input."""
     vals = _values(df, col)
@@ -79,17 +60,16 @@ def exact_quantile(df: DataFrame, col: str, q: float, accuracy: int = DEFAULT_AC
         return None
     pos = (n - 1) * q
     lo_i, hi_i = math.floor(pos), math.ceil(pos)
-    below, counts = _bracket_counts(vals, [lo_i, hi_i], n, accuracy)
-    lo = _pick(below, counts, lo_i)[0]
-    hi = _pick(below, counts, hi_i)[0]
+    lo, below, times = _at_rank(vals, lo_i)
+    # the next rank is the same value or the smallest one above it
+    hi = lo if hi_i < below + times else vals.filter(F.col("v") > F.lit(lo)).agg(F.min("v")).first()[0]
     return lo + (hi - lo) * (pos - lo_i)
 
 
-def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str,
-               accuracy: int = DEFAULT_ACCURACY, n: int | None = None) -> DataFrame:
+def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str, n: int | None = None) -> DataFrame:
     """The ``k`` rows with the smallest ``(key, tiebreak)``, exactly.
 
-    The k-th key value ``v`` is found from the bracket counts; rows below it
+    The k-th key value ``v`` is found by narrowing; rows below it
     are a filter. Only when ``v`` is shared by more rows than needed is its
     tie group ordered by ``tiebreak`` (its size is the multiplicity of one
     key value).
@@ -102,8 +82,7 @@ def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str,
         n = vals.count()
     if k >= n:
         return valid
-    below, counts = _bracket_counts(vals, [k - 1], n, accuracy)
-    v, c_less, mult = _pick(below, counts, k - 1)
+    v, c_less, mult = _at_rank(vals, k - 1)
     if c_less + mult == k:
         return valid.filter(F.col(key) <= F.lit(v))
     ties = valid.filter(F.col(key) == F.lit(v)).orderBy(tiebreak).limit(k - c_less)
@@ -120,8 +99,6 @@ def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out
     numbered inside ``(key, bucket)``, so a hot key is spread over its
     buckets. A NULL key is one group, as in SQL (null-safe join).
     """
-    from pyspark.sql import Window
-
     x = df.withColumn("_rb", bucket)
     counts = x.groupBy(key, "_rb").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.select(
@@ -133,8 +110,7 @@ def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out
     return x.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_rb", "_rk", "_rbb", "_off")
 
 
-def smallest_k_cutoff(df: DataFrame, key: str, k: int, accuracy: int = DEFAULT_ACCURACY,
-                      n: int | None = None):
+def smallest_k_cutoff(df: DataFrame, key: str, k: int, n: int | None = None):
     """``(v, exact)`` such that ``key <= v`` selects exactly the ``k`` smallest
     keys when ``exact`` is True (no tie straddles the cut). ``v`` is None when
     ``k <= 0`` (select nothing). When ``exact`` is False, use ``smallest_k``."""
@@ -145,6 +121,27 @@ def smallest_k_cutoff(df: DataFrame, key: str, k: int, accuracy: int = DEFAULT_A
         n = vals.count()
     if k >= n:
         return (vals.agg(F.max("v")).first()[0], True)
-    below, counts = _bracket_counts(vals, [k - 1], n, accuracy)
-    v, c_less, mult = _pick(below, counts, k - 1)
+    v, c_less, mult = _at_rank(vals, k - 1)
     return v, c_less + mult == k
+
+
+def in_ranges(df: DataFrame, order: list[Column], part: str, local: str) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``order``, written once, with the
+    range (``part``, ascending in ``order``) and 0-based place in it (``local``).
+
+    Ranges are cut by rows, as many as the session has shuffle partitions.
+    Rows that tie in all of ``order`` share a range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                       .withColumn(part, F.spark_partition_id())
+                       .withColumn(local, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def range_starts(table: DataFrame, part: str, sums: dict[str, Column]) -> DataFrame:
+    """Per range the running totals of ``sums`` over the ranges before it, and of all; one row per range."""
+    per_part = table.groupBy(part).agg(*[c.alias(k) for k, c in sums.items()])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return per_part.select(
+        part, *[F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums],
+        *[F.sum(k).over(Window.partitionBy()).alias(f"{k}_all") for k in sums])

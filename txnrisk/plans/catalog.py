@@ -507,7 +507,8 @@ def q_pr_auc(spark, sf_dir):
 
 @query("pr_curve", _SCORED_SQL + f"""
 SELECT CAST(threshold AS DOUBLE) AS threshold, {_prec('tp', 'fp')} AS precision,
-  CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) AS recall FROM c2""")
+  CAST(tp AS DOUBLE) / CAST(P AS DOUBLE) AS recall FROM c2
+UNION ALL SELECT NULL, 1.0::DOUBLE, 0.0::DOUBLE""")
 def q_pr_curve(spark, sf_dir):
     return M.pr_curve(_scored(spark, sf_dir))
 

@@ -10,7 +10,8 @@ set only when the cluster has not named one.
 from __future__ import annotations
 
 import os
-import tempfile
+import re
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,17 +28,18 @@ def ensure_session_defaults(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) do we create one.
+    ``spark.checkpoint.dir`` points at storage that all executors share and is
+    used as is. Only a local session, whose one process is all there is, may
+    leave it unset and gets a folder below its warehouse; on a cluster that
+    is an error, because a machine's own folder loses rows there.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        current = tempfile.mkdtemp(prefix="txnrisk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -74,8 +76,6 @@ def materialize(df):
     compressed columns with pushdown, and a lost executor is recovered from
     the files instead of by recomputing the windows.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/materialized-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
