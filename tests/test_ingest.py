@@ -24,9 +24,9 @@ def test_page_rules(spark):
         (5, 1, "[]"),                                                        # empty first page
     ]
     pages = spark.createDataFrame(rows, "org_id long, page long, payload string")
-    got = {(r.org_id, r.page) for r in IN.pages_to_read(pages, limit=None).collect()}
+    got = {(r.org_id, r.page) for r in IN.pages_to_read(IN.page_table(pages)).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (2, 1), (4, 1)}
-    capped = {(r.org_id, r.page) for r in IN.pages_to_read(pages, limit=150).collect()}
+    capped = {(r.org_id, r.page) for r in IN.pages_to_read(IN.page_table(pages), limit=150).collect()}
     assert capped == {(1, 1), (1, 2), (2, 1), (4, 1)}      # page 2 read because 100 < 150
     recs = IN.read_transaction_pages(pages, limit=None)
     assert recs.count() == 100 + 100 + 40 + 100 + 50
@@ -52,14 +52,15 @@ def test_mapping_defaults_and_placeholders(spark):
     pages = spark.createDataFrame(rows, "org_id long, page long, payload string")
     m = IN.map_api_records(IN.read_transaction_pages(pages, None))
     r = {x.transaction_id: x for x in m.collect()}
+    r = {int(k): v for k, v in r.items()}
     assert r[7].amount == 0.0 and r[7].organization_id == 0 and r[7].transaction_type == "unknown"
-    assert 1 <= r[7].user_id <= 999 and 1 <= r[7].product_id <= 19 and r[7].device_type in ("mobile", "desktop", "tablet")
-    assert r[9].amount == 2.5 and r[9].user_id == 11 and r[9].merchant_id == 12
+    assert 1 <= int(r[7].user_id) <= 999 and 1 <= r[7].product_id <= 19 and r[7].device_type in ("mobile", "desktop", "tablet")
+    assert r[9].amount == 2.5 and r[9].user_id == "11" and r[9].merchant_id == "12"
     # deterministic: the same id always gets the same placeholders
     again = {x.transaction_id: x for x in m.collect()}
-    assert again[7] == r[7]
+    assert again["7"] == r[7]
     clean = IN.clean_ingest(m)
-    assert {x.transaction_id for x in clean.collect()} == {7, 9}     # id 8 has no parsable date
+    assert {x.transaction_id for x in clean.collect()} == {"7", "9"}     # id 8 has no parsable date
 
 
 def test_org_directory_last_duplicate_wins(spark):
@@ -102,3 +103,30 @@ def test_streaming_batch_replay_is_idempotent(spark):
     for _ in range(2):
         start_page_ingest(spark, root + "/landing", root + "/t2", root + "/ck").awaitTermination(120)
     assert read_ingested(spark, root + "/t2", limit=5000).count() == want
+
+
+def test_text_ids_survive(spark):
+    rows = [(1, 1, json.dumps([{"id": f"txn_{i}", "amount": 5, "date": "2024-01-02", "creator": {"id": "u1"}, "organization": {"id": "x"}} for i in range(5)]))]
+    got = IN.clean_ingest(IN.map_api_records(IN.read_transaction_pages(spark.createDataFrame(rows, "org_id long, page long, payload string")))).collect()
+    assert {r.transaction_id for r in got} == {f"txn_{i}" for i in range(5)}
+    assert {(r.user_id, r.organization_id) for r in got} == {("u1", 0)}
+
+
+def test_a_truncated_or_missing_payload_is_an_error_page(spark):
+    cut = page(1, 2, 100)[2][:-30]
+    rows = [page(1, 1, 100), (1, 2, cut), page(2, 1, 100), (2, 2, None), page(3, 1, 100), (3, 2, "")]
+    assert IN.read_transaction_pages(spark.createDataFrame(rows, "org_id long, page long, payload string")).count() == 0
+
+
+def test_a_page_landed_again_counts_once_and_newest(spark):
+    schema = "org_id long, page long, payload string"
+    old = spark.createDataFrame([page(1, 1, 100), page(1, 2, 100, 100), (2, 1, "{}")], schema)
+    new = spark.createDataFrame([page(1, 1, 100, 500), page(1, 3, 7, 300), page(2, 1, 3)], schema)
+    got = IN.read_transaction_pages(IN.union_pages(old, new)).select("org_id", "page", "rec.id").collect()
+    assert len(got) == 100 + 100 + 7 + 3
+    assert {int(r.id) for r in got if (r.org_id, r.page) == (1, 1)} == set(range(10_500, 10_600))
+
+
+def test_payloads_are_parsed_once(spark):
+    plan = IN.page_table(FX.api_pages(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -322,16 +322,16 @@ def _ph_sql(key: str) -> dict[str, str]:
 
 _PH = _ph_sql("id")
 _MAPPED_SQL = O.with_views("api_records") + f""",
-mapped AS (SELECT id AS transaction_id, coalesce(CAST(amount_cents AS DOUBLE), 0.0) / 100.0::DOUBLE AS amount,
-  date_text AS date, coalesce(creator_id, {_PH['user']}) AS user_id, org_id AS organization_id,
-  {_PH['product']} AS product_id, coalesce(merchant_id, {_PH['merchant']}) AS merchant_id,
+mapped AS (SELECT CAST(id AS VARCHAR) AS transaction_id, coalesce(CAST(amount_cents AS DOUBLE), 0.0) / 100.0::DOUBLE AS amount,
+  date_text AS date, CAST(coalesce(creator_id, {_PH['user']}) AS VARCHAR) AS user_id, org_id AS organization_id,
+  {_PH['product']} AS product_id, CAST(coalesce(merchant_id, {_PH['merchant']}) AS VARCHAR) AS merchant_id,
   coalesce(type, 'unknown') AS transaction_type, {_PH['device']} AS device_type,
   {_PH['country']} AS location_country, CAST(0 AS INT) AS is_fraud, org_id, page
   FROM api_records)"""
 
 
-def _all_records(spark, sf_dir, error_rule=False, limit=None):
-    pages = FX.api_pages(spark, sf_dir, error_rule=error_rule)
+def _all_records(spark, sf_dir, error_rule=False, limit=None, **kinds):
+    pages = FX.api_pages(spark, sf_dir, error_rule=error_rule, **kinds)
     return IN.read_transaction_pages(pages, limit=limit)
 
 
@@ -341,7 +341,7 @@ def q_map_api_records(spark, sf_dir):
 
 
 @query("hash_placeholders", O.with_views("api_records") + f"""
-SELECT id AS transaction_id, {_PH['user']} AS user_id, {_PH['product']} AS product_id,
+SELECT CAST(id AS VARCHAR) AS transaction_id, {_PH['user']} AS user_id, {_PH['product']} AS product_id,
   {_PH['merchant']} AS merchant_id, {_PH['device']} AS device_type, {_PH['country']} AS location_country
 FROM api_records""")
 def q_hash_placeholders(spark, sf_dir):
@@ -364,19 +364,47 @@ pr AS (SELECT *, (page = rn AND stops_before = 0 AND fetched_before < {limit}) A
 bad_orgs AS (SELECT DISTINCT org_id FROM pr WHERE reached AND bad),
 keep AS (SELECT org_id, page FROM pr WHERE reached AND NOT bad AND n > 0
          AND org_id NOT IN (SELECT org_id FROM bad_orgs))
-SELECT r.org_id, r.page, r.id AS transaction_id FROM api_records r JOIN keep k ON r.org_id = k.org_id AND r.page = k.page"""
+SELECT r.org_id, r.page, {prefix}CAST(r.id AS VARCHAR) AS transaction_id FROM api_records r JOIN keep k ON r.org_id = k.org_id AND r.page = k.page"""
 
 
-@query("ingest_page_cap", _PAGES_SQL.format(bad="false", max_page=3, limit=250))
+def _pages_sql(bad: str = "false", limit: int | None = None, prefix: str = "") -> str:
+    cap = 2**62 if limit is None else limit
+    return _PAGES_SQL.format(bad=bad, max_page=(cap - 1) // 100 + 1, limit=cap, prefix=prefix)
+
+
+def _read_pages(records):
+    return records.select("org_id", "page", F.col("rec.id").alias("transaction_id"))
+
+
+@query("ingest_page_cap", _pages_sql(limit=250))
 def q_page_cap(spark, sf_dir):
-    r = _all_records(spark, sf_dir, error_rule=False, limit=250)
-    return r.select("org_id", "page", F.col("rec.id").alias("transaction_id"))
+    return _read_pages(_all_records(spark, sf_dir, limit=250))
 
 
-@query("ingest_all_or_nothing", _PAGES_SQL.format(bad="(org_id % 7 = 3 AND page = 2)", max_page=50, limit=5000))
+@query("ingest_all_or_nothing", _pages_sql("(org_id % 7 = 3 AND page = 2)"))
 def q_all_or_nothing(spark, sf_dir):
-    r = _all_records(spark, sf_dir, error_rule=True, limit=5000)
-    return r.select("org_id", "page", F.col("rec.id").alias("transaction_id"))
+    return _read_pages(_all_records(spark, sf_dir, error_rule=True))
+
+
+@query("ingest_text_ids", _pages_sql(prefix="'txn_' || "))
+def q_text_ids(spark, sf_dir):
+    """Ids that are no numbers survive mapping and cleaning."""
+    clean = IN.clean_ingest(IN.map_api_records(recs := _all_records(spark, sf_dir, text_ids=True)).select("*"))
+    return _read_pages(recs.join(clean.select(F.col("transaction_id").alias("_id")), F.col("rec.id") == F.col("_id"), "left_semi"))
+
+
+@query("ingest_truncated_page", _pages_sql("(org_id % 5 = 2 AND page = 2)"))
+def q_truncated_page(spark, sf_dir):
+    """A page whose end is missing makes its organization unreadable."""
+    return _read_pages(_all_records(spark, sf_dir, cut_rule=True))
+
+
+@query("ingest_relanded_page", _pages_sql())
+def q_relanded_page(spark, sf_dir):
+    """Pages that landed before, some of them empty or broken then, count once, as they landed last."""
+    pages = FX.api_pages(spark, sf_dir, error_rule=False)
+    stale = pages.withColumn("payload", F.when(F.col("page") == 1, F.lit("[]")).when(F.col("page") == 2, F.lit("{}")).otherwise(F.col("payload")))
+    return _read_pages(IN.read_transaction_pages(IN.union_pages(stale, pages)))
 
 
 @query("union_pages", O.with_views("api_records") + """
@@ -384,8 +412,7 @@ SELECT org_id, page, count(*) AS n_records FROM api_records GROUP BY org_id, pag
 def q_union_pages(spark, sf_dir):
     pages = FX.api_pages(spark, sf_dir, error_rule=False)
     batches = IN.union_pages(pages.filter(F.col("org_id") < 10), pages.filter(F.col("org_id") >= 10))
-    t = IN.page_table(batches)
-    return t.select("org_id", "page", F.col("n").alias("n_records"))
+    return IN.page_table(batches).select("org_id", "page", F.col("n").alias("n_records"))
 
 
 # ===========================================================================

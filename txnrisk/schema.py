@@ -114,23 +114,11 @@ TXN_SCHEMA = T.StructType([
 
 # A landed API record (one element of a page array).
 API_RECORD_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), True),
+    T.StructField("id", T.StringType(), True),
     T.StructField("amount", T.StringType(), True),
     T.StructField("date", T.StringType(), True),
     T.StructField("type", T.StringType(), True),
-    T.StructField("creator", T.StructType([T.StructField("id", T.LongType(), True)]), True),
-    T.StructField("organization", T.StructType([T.StructField("id", T.LongType(), True)]), True),
-    T.StructField("merchant", T.StructType([T.StructField("id", T.LongType(), True)]), True),
+    T.StructField("creator", T.StructType([T.StructField("id", T.StringType(), True)]), True),
+    T.StructField("organization", T.StructType([T.StructField("id", T.StringType(), True)]), True),
+    T.StructField("merchant", T.StructType([T.StructField("id", T.StringType(), True)]), True),
 ])
-
-ORG_DIRECTORY_SCHEMA = T.StructType([
-    T.StructField("id", T.LongType(), True),
-    T.StructField("slug", T.StringType(), True),
-    T.StructField("name", T.StringType(), True),
-])
-
-
-def engineered_columns(keep_date: bool = False) -> list[str]:
-    """Column order of ``engineer_features`` output."""
-    base = [c for c in RAW_COLUMNS if keep_date or c != "date"]
-    return base + DERIVED_FEATURES

@@ -138,16 +138,19 @@ def api_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def api_pages(spark: SparkSession, sf_dir: str, error_rule: bool = True) -> DataFrame:
+def api_pages(spark: SparkSession, sf_dir: str, error_rule: bool = True, text_ids: bool = False,
+              cut_rule: bool = False) -> DataFrame:
     """Landed pages ``(org_id, page, payload)``: payload is the JSON text the API
     returned — an array of records, or an error object for a page the rule
     marks bad (page 2 of every organization with ``org_id % 7 = 3``).
+    ``text_ids`` makes record ids text (``txn_<id>``); ``cut_rule`` cuts off the
+    end of page 2 of every organization with ``org_id % 5 = 2``.
 
     A page holds at most 100 records, so building its array is bounded work.
     """
     r = api_records(spark, sf_dir)
     rec = F.struct(
-        F.col("id"),
+        (F.concat(F.lit("txn_"), F.col("id").cast(T.StringType())) if text_ids else F.col("id")).alias("id"),
         F.col("amount_cents").alias("amount"),
         F.col("date_text").alias("date"),
         F.col("type"),
@@ -161,4 +164,7 @@ def api_pages(spark: SparkSession, sf_dir: str, error_rule: bool = True) -> Data
     if error_rule:
         bad = (F.col("org_id") % 7 == 3) & (F.col("page") == 2)
         payload = F.when(bad, F.lit('{"message": "rate limited"}')).otherwise(payload)
+    if cut_rule:
+        cut = (F.col("org_id") % 5 == 2) & (F.col("page") == 2)
+        payload = F.when(cut, F.left(payload, F.length(payload) - F.lit(25))).otherwise(payload)
     return pages.select("org_id", "page", payload.alias("payload"))

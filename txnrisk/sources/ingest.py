@@ -4,10 +4,12 @@ The reference fetched pages over HTTP one by one. Here pages are *landed*
 documents (one JSON text per organization and page); the fetch loop's rules
 become set operations over the page table:
 
+* of a page that landed more than once, the newest batch's document counts;
 * a page is read only if every earlier page was present and full (100
-  records) and fewer than ``limit`` records were fetched before it;
-* an organization whose read pages include a non-array payload (an error
-  object) yields nothing at all (all-or-nothing);
+  records) and, with a ``limit``, fewer records were fetched before it;
+* an organization whose read pages include a payload that is no JSON array
+  (an error object, a truncated page) yields nothing at all (all-or-nothing);
+* record, user and merchant ids are any JSON scalar and stay text;
 * records are mapped from the nested JSON, defaults fill missing fields, and
   placeholder attributes are a deterministic hash of the record id (so a
   re-executed task produces the same rows);
@@ -16,16 +18,16 @@ become set operations over the page table:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.functions import scalars as S
 from txnrisk.schema import (
-    API_RECORD_SCHEMA, COUNTRIES, DEFAULT_FETCH_LIMIT, DEVICE_TYPES, PAGE_SIZE,
+    API_RECORD_SCHEMA, COUNTRIES, DEVICE_TYPES, PAGE_SIZE,
     PLACEHOLDER_ID_RANGE, PRODUCT_ID_RANGE, RAW_COLUMNS, REQUIRED_NOT_NULL, SEED,
 )
-from txnrisk.session import ensure_session_defaults
+from txnrisk.session import ensure_session_defaults, materialize
 
 PAGE_ARRAY = T.ArrayType(API_RECORD_SCHEMA)
 
@@ -58,66 +60,72 @@ def read_landed_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def union_pages(*pages: DataFrame) -> DataFrame:
-    """Bag union of page sets (e.g. several landing batches)."""
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.unionByName(p)
+    """Bag union of page sets in landing order (``batch`` counts up), of
+    which ``page_table`` keeps each page's newest document."""
+    out = None
+    for i, p in enumerate(pages):
+        p = p.select("org_id", "page", "payload", F.lit(i).cast(T.LongType()).alias("batch"))
+        out = p if out is None else out.unionByName(p)
     return out
 
 
 def page_table(pages: DataFrame) -> DataFrame:
-    """One narrow row per page: record count and the error flag.
+    """One parsed row per page: ``org_id, page, bad, n, records``.
 
-    A page is an error page when its payload is not a JSON array (first
-    non-blank character is not ``[``). Parsing an error object as an array
-    does *not* give NULL, so the test is on the text.
+    Of several documents of a page the one with the largest ``batch`` counts
+    (the larger text without or within a batch). A page is bad when its
+    payload is not a complete JSON array: the text must begin with ``[`` (an
+    error object would parse as an array of nulls) and parse. Each payload is
+    parsed once.
     """
-    bad = ~F.ltrim(F.col("payload")).startswith("[")
-    recs = F.from_json(F.col("payload"), PAGE_ARRAY)
-    return pages.select(
-        "org_id", "page",
-        bad.alias("bad"),
-        F.when(bad, F.lit(None)).otherwise(F.size(recs)).cast(T.LongType()).alias("n"),
-    )
+    batch = F.col("batch") if "batch" in pages.columns else F.lit(0)
+    newest = pages.groupBy("org_id", "page").agg(F.max_by("payload", F.struct(batch.alias("b"), F.col("payload").alias("p"))).alias("payload"))
+    array = F.coalesce(F.ltrim(F.col("payload")).startswith("["), F.lit(False))
+    parsed = newest.select("org_id", "page", F.when(array, F.from_json("payload", PAGE_ARRAY)).alias("records"))
+    return parsed.select("org_id", "page", F.col("records").isNull().alias("bad"),
+                         F.when(F.col("records").isNotNull(), F.size("records")).cast(T.LongType()).alias("n"), "records")
+
+
+def newest_pages(table: DataFrame, batch: str) -> DataFrame:
+    """``page_table`` rows of several batches → the newest of each page."""
+    return (table.groupBy("org_id", "page").agg(F.max_by(F.struct("bad", "n", "records"), batch).alias("r"))
+            .select("org_id", "page", "r.*"))
 
 
-def pages_to_read(pages: DataFrame, limit: int | None = DEFAULT_FETCH_LIMIT) -> DataFrame:
-    """S1 + S2 over the page table → ``(org_id, page)`` of the pages whose
-    records are kept.
+def pages_to_read(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """S1 + S2 over a page table (``org_id, page, bad, n``) → ``(org_id, page)``
+    of the pages whose records are kept. ``limit`` is the fetch cap, if any.
 
-    Only pages ``p ≤ ceil(limit/100)`` can ever be read (each earlier page held
-    100 records), so with a limit the per-organization window runs over a
-    bounded number of pages however large an organization is.
+    The fetch of an organization ends with the first page that is bad or not
+    full, or that has no successor; pages before it held 100 records each, so
+    a cap is a bound on the page number. Both ends are partial aggregates: no
+    task sees all pages of an organization.
     """
-    t = page_table(pages)
+    t = table.select("org_id", "page", "bad", F.coalesce("n", F.lit(0)).alias("n")).filter("page >= 1")
     if limit is not None:
         t = t.filter(F.col("page") <= F.lit((max(limit, 1) - 1) // PAGE_SIZE + 1))
-    w = Window.partitionBy("org_id").orderBy("page")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    stop = (F.col("bad") | (F.coalesce(F.col("n"), F.lit(0)) < PAGE_SIZE)).cast(T.IntegerType())
-    t = t.withColumns({
-        "_rn": F.row_number().over(w),
-        "_stops_before": F.coalesce(F.sum(stop).over(earlier), F.lit(0)),
-        "_fetched_before": F.coalesce(F.sum(F.coalesce(F.col("n"), F.lit(0))).over(earlier), F.lit(0)),
-    })
-    reached = (F.col("page") == F.col("_rn")) & (F.col("_stops_before") == 0)
-    if limit is not None:
-        reached = reached & (F.col("_fetched_before") < F.lit(limit))
-    t = t.withColumn("_reached", reached)
-    t = t.withColumn("_org_bad", F.max(F.col("_reached") & F.col("bad")).over(Window.partitionBy("org_id")))
-    keep = F.col("_reached") & ~F.col("bad") & (F.col("n") > 0) & ~F.col("_org_bad")
-    return t.filter(keep).select("org_id", "page")
-
-
-def read_transaction_pages(pages: DataFrame, limit: int | None = DEFAULT_FETCH_LIMIT) -> DataFrame:
-    """The records (one row each, parsed struct ``rec``) of the pages the
-    paginated fetch would have returned, with their ``org_id`` and ``page``."""
-    keep = pages_to_read(pages, limit)
-    kept = pages.join(keep, ["org_id", "page"], "left_semi")
-    return kept.select(
-        "org_id", "page",
-        F.explode(F.from_json(F.col("payload"), PAGE_ARRAY)).alias("rec"),
-    )
+    after = t.select("org_id", (F.col("page") - 1).alias("page"))
+    run_ends = t.join(after, ["org_id", "page"], "left_anti").select("org_id", "page", F.lit(False).alias("bad"), F.lit(False).alias("stop"))
+    stops = t.filter(F.col("bad") | (F.col("n") < PAGE_SIZE)).select("org_id", "page", "bad", F.lit(True).alias("stop"))
+    # the first end counts; where a stop and a run's end coincide, the stop tells if the page is bad
+    ends = stops.unionByName(run_ends).groupBy("org_id").agg(
+        F.min("page").alias("_last"), F.min_by("bad", F.struct("page", (~F.col("stop")).alias("r"))).alias("_bad"))
+    first = t.groupBy("org_id").agg(F.min("page").alias("_first")).filter("_first = 1").select("org_id")
+    reach = ends.filter(~F.col("_bad")).join(first, "org_id", "left_semi")
+    return t.join(reach, "org_id").filter((F.col("page") <= F.col("_last")) & (F.col("n") > 0)).select("org_id", "page")
+
+
+def read_page_table(table: DataFrame, limit: int | None = None) -> DataFrame:
+    """The records (``org_id, page, rec``) that the paginated fetch would have returned, from a stored page table."""
+    kept = table.join(pages_to_read(table, limit), ["org_id", "page"], "left_semi")
+    return kept.select("org_id", "page", F.explode("records").alias("rec"))
+
+
+def read_transaction_pages(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per record (parsed struct ``rec``) with its ``org_id`` and
+    ``page``. The parsed pages are written once; the page rules read only
+    their narrow columns."""
+    return read_page_table(materialize(page_table(pages)), limit)
 
 
 # ---------------------------------------------------------------------------
@@ -141,7 +149,7 @@ def map_api_records(records: DataFrame, rec: str = "rec") -> DataFrame:
     """S3: nested API record → the eleven flat columns (date still text).
 
     Missing ``creator``/``merchant`` (or their ids) fall back to placeholders,
-    a missing organization to 0, a missing type to ``'unknown'``; amounts are
+    a missing or non-numeric organization to 0, a missing type to ``'unknown'``; amounts are
     cents (missing or non-numeric → 0). Live records carry no label: 0.
     """
     r = F.col(rec)
@@ -151,10 +159,10 @@ def map_api_records(records: DataFrame, rec: str = "rec") -> DataFrame:
         tid.alias("transaction_id"),
         S.cents_to_dollars(r["amount"]).alias("amount"),
         r["date"].alias("date"),
-        F.coalesce(r["creator"]["id"], ph["user_id"]).alias("user_id"),
-        F.coalesce(r["organization"]["id"], F.lit(0).cast(T.LongType())).alias("organization_id"),
+        F.coalesce(r["creator"]["id"], ph["user_id"].cast(T.StringType())).alias("user_id"),
+        F.coalesce(r["organization"]["id"].try_cast(T.LongType()), F.lit(0).cast(T.LongType())).alias("organization_id"),
         ph["product_id"].alias("product_id"),
-        F.coalesce(r["merchant"]["id"], ph["merchant_id"]).alias("merchant_id"),
+        F.coalesce(r["merchant"]["id"], ph["merchant_id"].cast(T.StringType())).alias("merchant_id"),
         F.coalesce(r["type"], F.lit("unknown")).alias("transaction_type"),
         ph["device_type"].alias("device_type"),
         ph["location_country"].alias("location_country"),

@@ -20,8 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.schema import DEFAULT_FETCH_LIMIT
-from txnrisk.sources.ingest import PAGE_ARRAY, clean_ingest, map_api_records, pages_to_read, page_table
+from txnrisk.sources.ingest import clean_ingest, map_api_records, newest_pages, page_table, read_page_table
 from txnrisk.session import ensure_session_defaults
 
 LANDED_SCHEMA = T.StructType([
@@ -40,11 +39,8 @@ def landed_page_stream(spark: SparkSession, landing: str, max_files_per_trigger:
 
 
 def _batch_rows(pages: DataFrame, batch_id: int) -> DataFrame:
-    """One row per page (with its parsed records kept as an array)."""
-    t = page_table(pages).join(pages, ["org_id", "page"])
-    return t.select("org_id", "page", "bad", "n",
-                    F.when(~F.col("bad"), F.from_json("payload", PAGE_ARRAY)).alias("records"),
-                    F.lit(batch_id).alias("batch_id"))
+    """One parsed row per page, tagged with its batch."""
+    return page_table(pages).withColumn("batch_id", F.lit(batch_id))
 
 
 def write_batch(batch: DataFrame, batch_id: int, table: str) -> None:
@@ -70,13 +66,7 @@ def start_page_ingest(spark: SparkSession, landing: str, table: str, checkpoint:
     return writer.start()
 
 
-def read_ingested(spark: SparkSession, table: str, limit: int | None = DEFAULT_FETCH_LIMIT) -> DataFrame:
-    """Cleaned transactions of the ingested pages, after the page rules."""
+def read_ingested(spark: SparkSession, table: str, limit: int | None = None) -> DataFrame:
+    """Cleaned transactions of the ingested pages (each page's newest batch), after the page rules."""
     ensure_session_defaults(spark)
-    pages = spark.read.parquet(table)
-    # page_table only looks at the payload text; rebuild a payload flag view
-    as_pages = pages.select("org_id", "page", F.when(F.col("bad"), F.lit("{}"))
-                            .otherwise(F.to_json("records")).alias("payload"))
-    keep = pages_to_read(as_pages, limit)
-    recs = pages.join(keep, ["org_id", "page"], "left_semi").select(F.explode("records").alias("rec"))
-    return clean_ingest(map_api_records(recs))
+    return clean_ingest(map_api_records(read_page_table(newest_pages(spark.read.parquet(table), "batch_id"), limit)))
