@@ -10,6 +10,7 @@ from txnrisk.operators import metrics as M
 from txnrisk.operators import ml as ML
 from txnrisk.operators.features import engineer_features
 from txnrisk.sources.fixtures import txn_events
+from txnrisk.sources.ingest import clean_processor
 
 
 @pytest.fixture(scope="module")
@@ -143,3 +144,41 @@ def test_renumbering_spreads_a_hot_value(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("t"), (F.col("id") * 7 % 3001).alias("id"))
     got = renumber_by(df, "t", "id").collect()
     assert [r.row_number for r in sorted(got, key=lambda r: (r.t, r.id))] == list(range(3000))
+
+
+def test_many_levels_nulls_and_unseen_ids_train(spark):
+    """More than 10 000 users, rows without a user, and a user that training has not seen."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    f = engineer_features(txn_events(spark, SF_SMALL), amount_scale=2)
+    wide = f.crossJoin(spark.range(12).withColumnRenamed("id", "_copy")).withColumns({
+        "transaction_id": F.col("transaction_id") * 12 + F.col("_copy"),
+        "user_id": F.when(F.col("transaction_id") % 50 != 0, F.col("transaction_id") * 12 + F.col("_copy")),
+        "user_avg_amount": F.when(F.col("transaction_id") % 50 != 0, F.col("user_avg_amount"))}).drop("_copy")
+    model = ML.fit_model(wide, max_iter=3)
+    lr = model.stages[-1]
+    assert lr.numFeatures > 10_000 and np.isfinite(lr.coefficients.toArray()).all()
+    unseen = wide.limit(1).withColumn("user_id", F.lit(-5))
+    width = model.transform(unseen).first()["_user_id_vec"]
+    assert width.numNonzeros() == 0
+
+
+def test_a_model_whose_inputs_are_missing_is_unavailable(spark):
+    from txnrisk.operators import dashboard as D
+    clean = clean_processor(txn_events(spark, SF_SMALL))
+    bad = ML.FixedModel(0.0, {"no_such_feature": 1.0})
+    assert ML.score_latest(clean, bad).filter("fraud_probability is not null").count() == 0
+    raw = clean.withColumn("row_id", clean.transaction_id)
+    doc = D.dashboard_payload(raw, "x", engineered=engineer_features(raw), model=bad).first()[0]
+    assert '"available":false' in doc
+
+
+def test_payload_order_is_the_order_of_latest_rows(spark):
+    import json
+    from txnrisk.operators import dashboard as D
+    rows = [(1, 5.0, "2024-01-02", 1), (2, 5.0, "not-a-date", 1), (3, 5.0, "2024-01-02", 1)]
+    raw = spark.createDataFrame(rows, "transaction_id long, amount double, date string, organization_id long")
+    raw = raw.withColumn("row_id", raw.transaction_id)
+    doc = json.loads(D.dashboard_payload(raw, "x", engineered=engineer_features(clean_processor(raw))).first()[0])
+    assert [x["transaction_id"] for x in doc["latest_transactions"]] == [3, 1, 2] == [r.transaction_id for r in D.latest_transactions(raw).collect()]
+    assert doc["fraud_by_type"] == [{"transaction.type": "unknown", "is_fraud": 0}]

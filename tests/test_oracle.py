@@ -30,7 +30,7 @@ def test_every_query_is_registered_with_entry(spark):
 
 def test_sql_keys_are_queries():
     assert set(SQL) <= set(QUERIES)
-    assert len(SQL) >= 50
+    assert len(SQL) >= 60
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -98,10 +98,6 @@ def ratio_serving(amount: ColumnOrName, avg: ColumnOrName) -> Column:
     return F.coalesce(F.try_divide(_c(amount), guarded + F.lit(RATIO_EPS)), F.lit(0.0))
 
 
-def zero_if_null(col: ColumnOrName) -> Column:
-    return F.coalesce(_c(col), F.lit(0))
-
-
 def percent_2dp(part: ColumnOrName, whole: ColumnOrName) -> Column:
     """100·part/whole rounded half-even to 2 places; 0 when whole is 0."""
     w = _c(whole)

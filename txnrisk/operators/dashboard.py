@@ -8,13 +8,13 @@ per-type table) are folded into the JSON payload.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.functions import scalars as S
 from txnrisk.schema import (
-    DISPLAY_NAMES, FALLBACK_HEAD_N, LATEST_N, PSEUDO_ORG_MODULUS, RAW_COLUMNS,
+    DISPLAY_NAMES, FALLBACK_HEAD_N, LATEST_N, PSEUDO_ORG_MODULUS, REQUIRED_NOT_NULL,
 )
 
 
@@ -55,16 +55,20 @@ def fraud_by_type(df: DataFrame) -> DataFrame:
 
 # --- L2 / L5 / L7 -------------------------------------------------------------
 
+def _when(df: DataFrame) -> Column:
+    return S.coerce_timestamp("date", df.schema["date"].dataType)
+
+
 def latest_transactions(df: DataFrame, n: int = LATEST_N, seq: str = "transaction_id") -> DataFrame:
-    """L2: the ``n`` most recent rows (date descending, NULL dates last; ties by
-    ``seq`` descending). Planned as TakeOrderedAndProject: each task keeps
+    """L2: the ``n`` most recent rows (date descending, text dates as dates,
+    missing and unparsable ones last; ties by ``seq`` descending). Planned as TakeOrderedAndProject: each task keeps
     its own top ``n`` and only those reach the final merge."""
-    return df.orderBy(F.col("date").desc_nulls_last(), F.col(seq).desc_nulls_last()).limit(n)
+    return df.orderBy(_when(df).desc_nulls_last(), F.col(seq).desc_nulls_last()).limit(n)
 
 
 def head_by_date(df: DataFrame, n: int = FALLBACK_HEAD_N, seq: str = "transaction_id") -> DataFrame:
     """The first ``n`` rows in (date, seq) order."""
-    return df.orderBy(F.col("date").asc_nulls_last(), F.col(seq).asc_nulls_last()).limit(n)
+    return df.orderBy(_when(df).asc_nulls_last(), F.col(seq).asc_nulls_last()).limit(n)
 
 
 def top_risks(scored: DataFrame, k: int = LATEST_N, seq: str = "transaction_id") -> DataFrame:
@@ -123,13 +127,30 @@ def org_listing(directory: DataFrame) -> DataFrame:
 def display_join(raw: DataFrame, engineered: DataFrame, row_id: str = "row_id") -> DataFrame:
     """J1 + P7: raw ⟕ engineered on the row identity. Raw rows dropped by
     cleaning stay (with NULL features); for the core columns the raw value
-    wins and the engineered copy is dropped; engineered-only columns stay."""
-    core = set(RAW_COLUMNS)
-    feats = engineered.select(row_id, *[c for c in engineered.columns if c != row_id and c not in core
-                                        and c not in raw.columns])
+    wins and the engineered copy is dropped; engineered-only columns stay, the
+    defaults of core columns that ``raw`` lacks among them."""
+    feats = engineered.select(row_id, *[c for c in engineered.columns if c != row_id and c not in raw.columns])
     return raw.join(feats, row_id, "left")
 
 
+def display_frame(raw: DataFrame, **features) -> DataFrame:
+    """J1 + P7 from raw rows alone, without a join: the raw values travel
+    through cleaning and the feature windows, and rows that cleaning drops are
+    added with NULL features. ``features`` are options of ``engineer_features``.
+    """
+    from txnrisk.operators.features import engineer_features
+    from txnrisk.sources import ingest as IN
+
+    typed = IN.conform(raw.withColumn("_raw", F.struct(*raw.columns)))
+    whole = F.lit(True)
+    for c in REQUIRED_NOT_NULL:
+        whole = whole & F.col(c).isNotNull()
+    kept = engineer_features(typed.filter(whole), **features)
+    names = [c for c in kept.columns if c not in raw.columns and c != "_raw"]
+    dropped = typed.filter(~whole).select("_raw.*", *[F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in names])
+    return kept.select("_raw.*", *names).unionByName(dropped)
+
+
 # --- P9 ----------------------------------------------------------------------
 
 def _or_na(c: Column) -> Column:
@@ -168,38 +189,51 @@ def _records(df: DataFrame, key: list[Column], rename: dict[str, str]) -> Column
 
 
 def dashboard_payload(raw: DataFrame, context: str | Column, *, engineered: DataFrame | None = None,
-                      row_id: str = "row_id", latest: DataFrame | None = None,
-                      predictions_available: bool = False, risks: DataFrame | None = None) -> DataFrame:
+                      row_id: str = "row_id", latest: DataFrame | None = None, model=None) -> DataFrame:
     """One row, one column ``payload`` — the dashboard JSON document.
 
     The display frame is ``raw ⟕ engineered`` on a unique row id, so it has
     exactly the raw rows and raw values: summary, daily volume and fraud by
-    type are computed from ``raw`` directly (no join, no feature windows).
-    Only the latest rows carry features: the ``n`` latest row ids (a bounded,
-    broadcast set) select their engineered columns, so the feature pipeline
-    runs once. Every section is bounded (one row, one row per day/type,
-    top-k), so gathering each into an array is safe.
+    type are computed from ``raw`` directly (no join, no feature windows);
+    core columns that ``raw`` lacks have their defaults. Only the latest rows
+    carry features: the ``n`` latest row ids (a bounded, broadcast set) select
+    their engineered columns, so the feature pipeline runs once.
+
+    With a ``model`` whose inputs the engineered columns cover, the latest
+    rows are scored, ``ml_predictions.available`` is true and ``top_risks``
+    lists them by probability; otherwise it is false and the list empty. That
+    is decided from columns and types, before any row is read.
     """
+    from txnrisk.operators.ml import can_score, fraud_probability
+    from txnrisk.sources.ingest import with_required_columns
+
+    raw = with_required_columns(raw)
+    predictions_available = model is not None and engineered is not None and latest is None and can_score(model, engineered)
+    risks = None
     s = summary(raw)
     dv = daily_volume(raw)
     ft = fraud_by_type(raw)
     lt = latest if latest is not None else latest_transactions(raw)
+    # of at most n rows: the place in L2's order, which the array keeps
+    place = F.row_number().over(Window.orderBy(_when(lt).desc_nulls_last(), F.col("transaction_id").desc_nulls_last()))
+    lt = lt.withColumn("_k_place", place)
     if engineered is not None and latest is None:
         ids = lt.select(row_id)
         feats = engineered.join(F.broadcast(ids), row_id, "left_semi")
+        if predictions_available:
+            risks = top_risks(fraud_probability(model, feats))
         lt = display_join(lt, feats, row_id)
-    lt_date = S.coerce_timestamp("date", lt.schema["date"].dataType)
-    lt = lt.withColumns({"_k_t": -F.unix_micros(lt_date), "date": S.iso_timestamp(lt_date)})
+    lt = lt.withColumn("date", S.iso_timestamp(_when(lt)))
     names = dict(DISPLAY_NAMES)
     sec_daily = dv.agg(_records(dv, [F.col("date")], {}).alias("daily_volume"))
     sec_type = ft.agg(_records(ft, [F.col("transaction_type")], {"transaction_type": "transaction.type"})
                       .alias("fraud_by_type"))
     sec_latest = lt.agg(_records(lt.drop(row_id) if row_id in lt.columns and row_id != "transaction_id" else lt,
-                                 [F.col("_k_t")], names).alias("latest_transactions"))
+                                 [F.col("_k_place")], names).alias("latest_transactions"))
     risk_rows = F.array().cast(T.ArrayType(T.StringType()))
     if risks is not None:
         rk = risks.select("transaction_id", "fraud_probability", (-F.col("fraud_probability")).alias("_k_p"))
-        risk_rows = rk.agg(_records(rk, [F.col("_k_p")], {})).scalar()
+        risk_rows = rk.agg(_records(rk, [F.col("_k_p"), F.col("transaction_id")], {})).scalar()
     body = (s.select(F.struct("total_transactions", "total_fraud", "fraud_rate").alias("summary"))
             .select("summary", sec_daily.scalar().alias("daily_volume"),
                     sec_type.scalar().alias("fraud_by_type"),
@@ -213,8 +247,9 @@ def dashboard_payload(raw: DataFrame, context: str | Column, *, engineered: Data
 # --- §3.2: the organization dashboard, end to end ---------------------------------
 
 def organization_dashboard(directory: DataFrame, pages: DataFrame, fallback: DataFrame, name: str,
-                           limit: int | None = None) -> DataFrame:
-    """Payload for one organization, or the not-found answer.
+                           limit: int | None = None, model=None) -> DataFrame:
+    """Payload for one organization, or the not-found answer. All of its
+    records count unless ``limit`` caps the fetch; ``model`` as in ``dashboard_payload``.
 
     1. resolve ``name`` in the directory (case-insensitive slug);
     2. read that organization's landed pages (a filter on ``org_id``, pruned
@@ -231,11 +266,9 @@ def organization_dashboard(directory: DataFrame, pages: DataFrame, fallback: Dat
     resolve, and ``not_found`` carries the message and the available slugs.
     """
     from txnrisk.operators.features import engineer_features
-    from txnrisk.schema import ORG_FETCH_LIMIT
     from txnrisk.session import materialize
     from txnrisk.sources import ingest as IN
 
-    limit = ORG_FETCH_LIMIT if limit is None else limit
     hit = resolve_org(directory, name)
     org_id = hit.select("id").limit(1).scalar()
     org_pages = pages.filter(F.col("org_id") == org_id)
@@ -244,15 +277,14 @@ def organization_dashboard(directory: DataFrame, pages: DataFrame, fallback: Dat
     pseudo = fallback.filter(F.col("organization_id") == F.pmod(org_id, F.lit(PSEUDO_ORG_MODULUS)))
     synthetic = filter_or_head(pseudo, fallback).filter(live_empty)
     chosen = (live.filter(~live_empty).withColumn("_synthetic", F.lit(False))
-              .unionByName(synthetic.select(*live.columns).withColumn("_synthetic", F.lit(True))))
-    # one organization's rows (≤ the fetch limit, or one pseudo-organization):
-    # written once, then every section reads this small table
+              .unionByName(synthetic.select(*[F.col(f.name).cast(f.dataType) for f in live.schema]).withColumn("_synthetic", F.lit(True))))
+    # one organization's rows: written once, then every section reads this small table
     chosen = materialize(chosen)
     raw = chosen.drop("_synthetic").withColumn("row_id", F.col("transaction_id"))
     feats = engineer_features(IN.clean_processor(raw))
     synthetic_used = chosen.agg(F.max("_synthetic")).scalar()
     context = F.when(synthetic_used, F.lit(f"{name} (Synthetic)")).otherwise(F.lit(name))
-    payload = dashboard_payload(raw, context, engineered=feats)
+    payload = dashboard_payload(raw, context, engineered=feats, model=model)
     missing = org_not_found(directory, name).select(
         F.to_json(F.struct("message", "available_organizations")).alias("not_found"))
     return payload.select(F.when(org_id.isNotNull(), F.col("payload")).alias("payload"),

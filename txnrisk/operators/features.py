@@ -302,6 +302,16 @@ def engineer_features(
     return x.select(*passthrough, *[derived[c].alias(c) for c in DERIVED_FEATURES])
 
 
+def amount_stats(df: DataFrame, key: str, prefix: str, amount_scale: int | None = None) -> DataFrame:
+    """A4 / A5: every row with its key's mean and max amount: one partial
+    aggregate, joined back. A NULL key has none."""
+    units = money_units("amount", amount_scale)
+    stats = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+        F.sum(units).alias("_s"), F.count("amount").alias("_c"), F.max("amount").cast(T.DoubleType()).alias(f"{prefix}_max_amount"))
+    mean = F.when(F.col("_c") > 0, units_to_money(F.col("_s"), amount_scale) / F.col("_c"))
+    return df.join(stats.withColumn(f"{prefix}_avg_amount", mean).drop("_s", "_c"), F.col(key) == F.col("_key"), "left").drop("_key")
+
+
 def rolling_order_key(df: DataFrame, key: str, seq: str = "transaction_id") -> DataFrame:
     """The per-key ordinal (0-based position in ``(date, seq)`` order) and
     the strictly increasing order key ``epoch_µs·1000 + ordinal``; numbered

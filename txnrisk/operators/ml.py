@@ -4,14 +4,13 @@ The reference used a scikit-learn pipeline (standard scaling, one-hot
 encoding, class-balanced L2 logistic regression, liblinear). This is the
 same model as a Spark ML ``Pipeline``:
 
-* numeric features → ``VectorAssembler`` → ``StandardScaler`` (mean/std);
+* numeric features: NULL counts as 0 (a row without a user has no user
+  average), → ``VectorAssembler`` → ``StandardScaler`` (mean/std);
 * categorical features → ``StringIndexer(handleInvalid='keep')`` →
   ``OneHotEncoder(dropLast=True)``: the extra "unseen" index is the dropped
   slot, so an unseen category encodes as all zeros (like
-  ``handle_unknown='ignore'``);
-* categorical columns with more than ``max_levels`` distinct values (ids:
-  users, merchants) are hashed (``FeatureHasher``) instead, because an
-  indexer keeps every label on the driver;
+  ``handle_unknown='ignore'``). The same encoding at any number of levels; the
+  labels are as many as the model's coefficients, which the solver holds too;
 * ``LogisticRegression`` with per-row weights ``n / (2·n_class)`` and
   ``regParam = 1/Σw`` — the same objective as C=1 with balanced classes.
 
@@ -22,10 +21,12 @@ population one): the factor √((n-1)/n) only rescales the coefficients.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +36,6 @@ from txnrisk.operators.labels import hash_key60
 from txnrisk.operators.ranking import value_at_rank
 from txnrisk.schema import CATEGORICAL_FEATURES, NON_FEATURE_COLUMNS, NUMERIC_FEATURES, SEED, SPLIT_TEST_FRACTION
 
-MAX_LEVELS = 10_000
-HASH_FEATURES = 1 << 18
 # liblinear's defaults (the reference's solver): tolerance 1e-4, at most 100 iterations
 SOLVER_TOL = 1e-4
 SOLVER_MAX_ITER = 100
@@ -132,54 +131,30 @@ def standard_scale(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> D
     return df.withColumns(out)
 
 
-def category_levels(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Approximate distinct count per categorical column (one pass)."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    return {c: int(row[c]) for c in cols}
-
-
-def build_pipeline(numeric: list[str], categorical: list[str], levels: dict[str, int] | None = None,
-                   max_levels: int = MAX_LEVELS, label: str = "is_fraud", weight: str = "class_weight",
-                   reg_param: float = 0.0, max_iter: int = SOLVER_MAX_ITER,
-                   tol: float = SOLVER_TOL) -> Pipeline:
+def build_pipeline(numeric: list[str], categorical: list[str], label: str = "is_fraud", weight: str = "class_weight",
+                   reg_param: float = 0.0, max_iter: int = SOLVER_MAX_ITER, tol: float = SOLVER_TOL) -> Pipeline:
     """M2–M5 as one Spark ML pipeline."""
-    levels = levels or {}
-    low = [c for c in categorical if levels.get(c, 0) <= max_levels]
-    high = [c for c in categorical if levels.get(c, 0) > max_levels]
-    stages = [
-        VectorAssembler(inputCols=numeric, outputCol="_num", handleInvalid="keep"),
+    filled = ", ".join(f"coalesce(CAST(`{c}` AS DOUBLE), 0.0D) AS `_{c}_num`" for c in numeric)
+    idx, vec = [f"_{c}_idx" for c in categorical], [f"_{c}_vec" for c in categorical]
+    return Pipeline(stages=[
+        SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"),
+        VectorAssembler(inputCols=[f"_{c}_num" for c in numeric], outputCol="_num", handleInvalid="error"),
         StandardScaler(inputCol="_num", outputCol="_num_s", withMean=True, withStd=True),
-    ]
-    parts = ["_num_s"]
-    if low:
-        idx = [f"_{c}_idx" for c in low]
-        vec = [f"_{c}_vec" for c in low]
-        stages += [
-            StringIndexer(inputCols=low, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error"),
-        ]
-        parts += vec
-    if high:
-        stages.append(FeatureHasher(inputCols=high, categoricalCols=high, outputCol="_hashed",
-                                    numFeatures=HASH_FEATURES))
-        parts.append("_hashed")
-    stages += [
-        VectorAssembler(inputCols=parts, outputCol="features"),
+        StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error"),
+        VectorAssembler(inputCols=["_num_s", *vec], outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight,
                            regParam=reg_param, elasticNetParam=0.0, standardization=False,
                            maxIter=max_iter, tol=tol, family="binomial"),
-    ]
-    return Pipeline(stages=stages)
+    ])
 
 
-def fit_model(train: DataFrame, label: str = "is_fraud", max_levels: int = MAX_LEVELS,
-              max_iter: int = SOLVER_MAX_ITER) -> PipelineModel:
+def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_MAX_ITER) -> PipelineModel:
     """M5: fit the balanced, L2-regularised pipeline on engineered rows.
 
-    The weighted training set is read by several passes (levels, scaler,
-    indexers, every solver iteration): it is persisted once, in
-    ``defaultParallelism`` partitions at most and no fewer than
-    ``ROWS_PER_TASK`` rows each.
+    The weighted training set is read by several passes (scaler, indexers,
+    every solver iteration): it is persisted once, in as many partitions as
+    ``ROWS_PER_TASK`` rows each make.
     """
     from pyspark import StorageLevel
 
@@ -187,19 +162,42 @@ def fit_model(train: DataFrame, label: str = "is_fraud", max_levels: int = MAX_L
     numeric, categorical = contract["numeric"], contract["categorical"]
     weighted = with_class_weight(train, label).withColumn(label, F.col(label).cast(T.DoubleType()))
     n = weighted.count()
-    parts = max(1, min(train.sparkSession.sparkContext.defaultParallelism, math.ceil(n / ROWS_PER_TASK)))
-    data = weighted.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+    data = weighted.repartition(max(1, math.ceil(n / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        levels = category_levels(data, categorical)
-        pipe = build_pipeline(numeric, categorical, levels, max_levels, label,
-                              reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter)
-        return pipe.fit(data)
+        return build_pipeline(numeric, categorical, label, reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter).fit(data)
     finally:
         data.unpersist()
 
 
-def fraud_probability(model: PipelineModel, df: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class FixedModel:
+    """A logistic model given by its coefficients over numeric columns (NULL counts as 0)."""
+
+    intercept: float
+    weights: dict[str, float]
+
+
+def can_score(model, df: DataFrame) -> bool:
+    """Whether ``df`` has the columns that the model reads, numeric where it needs numbers."""
+    have = {f.name: f.dataType for f in df.schema}
+    if isinstance(model, FixedModel):
+        return all(isinstance(have.get(c), T.NumericType) for c in model.weights)
+    contract = feature_contract(df.columns)
+    if contract["extra"]:
+        return False
+    try:
+        model.transform(df)     # analysis only: columns and types
+    except AnalysisException:
+        return False
+    return all(isinstance(have[c], T.NumericType) for c in contract["numeric"])
+
+
+def fraud_probability(model: PipelineModel | FixedModel, df: DataFrame) -> DataFrame:
     """M6/M7: adds ``prediction`` (0/1) and ``fraud_probability`` (P(class 1))."""
+    if isinstance(model, FixedModel):
+        z = sum((F.lit(w) * F.coalesce(F.col(c).cast(T.DoubleType()), F.lit(0.0)) for c, w in model.weights.items()), F.lit(model.intercept))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return df.withColumns({"prediction": (p > 0.5).cast(T.IntegerType()), "fraud_probability": p})
     cols = df.columns
     out = model.transform(df)
     return out.select(*cols,
@@ -225,26 +223,30 @@ def load_model_or_none(path: str) -> PipelineModel | None:
 
 # --- M9 ------------------------------------------------------------------------------
 
-def score_latest(clean: DataFrame, model: PipelineModel | None, n: int = 10,
-                 context: str = "full") -> DataFrame:
+def score_latest(clean: DataFrame, model: PipelineModel | FixedModel | None, n: int = 10,
+                 context: str = "full", **features) -> DataFrame:
     """M9: the ``n`` latest transactions with their fraud probability.
 
-    ``context='full'`` computes features over all rows and then takes the
-    latest (windows keep their history); ``'latest'`` computes them from the
-    ``n`` rows alone, as the reference did. Probabilities stay attached to
-    their own row (no positional assignment). Without a model, or if scoring
-    fails, ``fraud_probability`` is NULL.
+    ``context='full'`` gives them the features they have among all rows: the
+    ``n`` rows are taken first, and the windows run over the rows of their (at
+    most n) users and organizations, a filter that reaches the scan.
+    ``'latest'`` computes features from the ``n`` rows alone, as the reference
+    did. Probabilities stay attached to their own row (no positional
+    assignment). Without a model, or with one whose inputs are not there,
+    ``fraud_probability`` is NULL.
     """
     from txnrisk.operators.dashboard import latest_transactions
     from txnrisk.operators.features import engineer_features
 
     if context == "full":
-        latest = latest_transactions(engineer_features(clean, keep_date=True), n)
+        top = latest_transactions(clean, n).select("user_id", "organization_id", "transaction_id").collect()   # n rows
+        related = F.lit(False)
+        for c in ("user_id", "organization_id", "transaction_id"):
+            values = sorted({r[c] for r in top if r[c] is not None})
+            related = related | F.coalesce(F.col(c).isin(values), F.lit(False)) if values else related
+        latest = latest_transactions(engineer_features(clean.filter(related), keep_date=True, **features), n)
     else:
-        latest = engineer_features(latest_transactions(clean, n), keep_date=True)
-    if model is None:
-        return latest.withColumn("fraud_probability", F.lit(None).cast(T.DoubleType()))
-    try:
-        return fraud_probability(model, latest).drop("prediction")
-    except Exception:  # noqa: BLE001 — the dashboard degrades to "unavailable"
+        latest = engineer_features(latest_transactions(clean, n), keep_date=True, **features)
+    if model is None or not can_score(model, latest):
         return latest.withColumn("fraud_probability", F.lit(None).cast(T.DoubleType()))
+    return fraud_probability(model, latest).drop("prediction")

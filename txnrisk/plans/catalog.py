@@ -88,10 +88,24 @@ _feature_subset("rolling_sum_24h_org", ["rolling_sum_24hr_org"])
 _feature_subset("rolling_max_24h_org", ["rolling_max_24hr_org"])
 _feature_subset("rolling_avg_24h_user", ["rolling_avg_24hr_user"])
 _feature_subset("rolling_count_24h_user", ["rolling_count_24hr_user"])
-_feature_subset("user_amount_stats", ["user_avg_amount", "user_max_amount"], "txn_events")
-_feature_subset("org_amount_stats", ["org_avg_amount", "org_max_amount"], "txn_events")
-_feature_subset("calendar_features", ["timestamp", "hour_of_day", "day_of_week", "month", "day_of_month"],
-                "txn_events")
+_CALENDAR = ["timestamp", "hour_of_day", "day_of_week", "month", "day_of_month"]
+
+
+@query("user_amount_stats", _feat_sql("txn_events", "transaction_id, user_avg_amount, user_max_amount"))
+def q_user_amount_stats(spark, sf_dir):
+    return FE.amount_stats(FX.txn_events(spark, sf_dir), "user_id", "user", MONEY).select("transaction_id", "user_avg_amount", "user_max_amount")
+
+
+@query("org_amount_stats", _feat_sql("txn_events", "transaction_id, org_avg_amount, org_max_amount"))
+def q_org_amount_stats(spark, sf_dir):
+    return FE.amount_stats(FX.txn_events(spark, sf_dir), "organization_id", "org", MONEY).select("transaction_id", "org_avg_amount", "org_max_amount")
+
+
+@query("calendar_features", _feat_sql("txn_events", "transaction_id, " + ", ".join(_CALENDAR)))
+def q_calendar_features(spark, sf_dir):
+    return FE.add_calendar_features(FX.txn_events(spark, sf_dir)).select("transaction_id", *_CALENDAR)
+
+
 _feature_subset("amount_ratio_serve", ["amount_to_user_avg_ratio"], "txn_events")
 
 
@@ -291,9 +305,7 @@ SELECT d.row_id, d.transaction_id, d.amount, d.date, d.organization_id, f.rollin
   f.time_since_last_user_txn, f.user_avg_amount, f.amount_to_user_avg_ratio
 FROM txn_dirty d LEFT JOIN featr f ON d.row_id = f.row_id""")
 def q_display_join(spark, sf_dir):
-    raw = FX.txn_dirty(spark, sf_dir)
-    feats = FE.engineer_features(IN.clean_processor(raw), amount_scale=MONEY)
-    j = D.display_join(raw, feats)
+    j = D.display_frame(FX.txn_dirty(spark, sf_dir), amount_scale=MONEY)
     return j.select("row_id", "transaction_id", "amount", "date", "organization_id", "rolling_sum_24hr_org",
                     "time_since_last_user_txn", "user_avg_amount", "amount_to_user_avg_ratio")
 
@@ -434,7 +446,9 @@ def q_fraud_cohort(spark, sf_dir):
 SELECT transaction_id, user_id FROM txn_events WHERE user_id IN (SELECT user_id FROM cohort)""")
 def q_cohort_semi(spark, sf_dir):
     t = FX.txn_events(spark, sf_dir)
-    return L.cohort_rows(t, L.fraud_cohort(t)).select("transaction_id", "user_id")
+    inside = L.cohort_predicate(t)     # None only if two hashes tie at the cut
+    rows = L.cohort_rows(t, L.fraud_cohort(t)) if inside is None else t.filter(inside)
+    return rows.select("transaction_id", "user_id")
 
 
 @query("amount_p95", O.with_views("txn_events") + """
@@ -607,7 +621,7 @@ _SCALE_COLS = ["amount", "rolling_sum_24hr_org", "time_since_last_user_txn"]
     f"round(CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 6)"
     f" AS {c}_scaled" for c in _SCALE_COLS)))
 def q_standard_scale(spark, sf_dir):
-    s = ML.standard_scale(_features(spark, sf_dir), _SCALE_COLS)
+    s = ML.standard_scale(materialize(_features(spark, sf_dir)), _SCALE_COLS)
     return s.select("transaction_id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in _SCALE_COLS])
 
 
@@ -647,7 +661,7 @@ def q_fraud_probability(spark, sf_dir):
 
 @query("evaluate_model")
 def q_evaluate_model(spark, sf_dir):
-    pred = q_fit_predict(spark, sf_dir)
+    pred = materialize(q_fit_predict(spark, sf_dir))     # scored once for the report and both curves
     scored = pred.select(F.col("is_fraud").alias("label"), F.col("fraud_probability").alias("score"),
                          "prediction")
     report = M.classification_report(scored)
@@ -670,6 +684,69 @@ def q_top_risks(spark, sf_dir):
     return D.top_risks(pred).select("transaction_id", "fraud_probability")
 
 
+#: Coefficients over three features, so that scores can be checked in SQL.
+FIXED = ML.FixedModel(-1.5, {"amount": 0.002, "rolling_count_24hr_user": 0.3, "amount_to_user_avg_ratio": -0.25})
+_FIXED_P = ("1.0::DOUBLE / (1.0::DOUBLE + exp(-(" + " + ".join([f"({FIXED.intercept}::DOUBLE)"] + [f"({w}::DOUBLE) * coalesce(CAST({c} AS DOUBLE), 0.0::DOUBLE)"
+            for c, w in FIXED.weights.items()]) + ")))")
+
+
+@query("score_fixed", _feat_sql("txn_events", f"transaction_id, CAST({_FIXED_P} > 0.5 AS INT) AS prediction, round({_FIXED_P}, 6) AS fraud_probability"))
+def q_score_fixed(spark, sf_dir):
+    """Hard prediction and probability of every row, by its own id."""
+    return ML.fraud_probability(FIXED, _features(spark, sf_dir)).select("transaction_id", "prediction", F.round("fraud_probability", 6).alias("fraud_probability"))
+
+
+@query("top_risks_fixed", _feat_sql("txn_events", f"transaction_id, round({_FIXED_P}, 6) AS fraud_probability") + f" ORDER BY {_FIXED_P} DESC, transaction_id LIMIT 10")
+def q_top_risks_fixed(spark, sf_dir):
+    return D.top_risks(ML.fraud_probability(FIXED, _features(spark, sf_dir))).select("transaction_id", F.round("fraud_probability", 6).alias("fraud_probability"))
+
+
+@query("score_latest_fixed", "SELECT transaction_id, fraud_probability FROM (" + _feat_sql("txn_events", f"transaction_id, round({_FIXED_P}, 6) AS fraud_probability")
+       + ") JOIN (" + O.with_views("txn_events") + " SELECT transaction_id FROM txn_events ORDER BY date DESC NULLS LAST, transaction_id DESC LIMIT 10) USING (transaction_id)")
+def q_score_latest_fixed(spark, sf_dir):
+    """M9: the ten latest rows with the features they have among all rows."""
+    latest = ML.score_latest(FX.txn_events(spark, sf_dir), FIXED, amount_scale=MONEY)
+    return latest.select("transaction_id", F.round("fraud_probability", 6).alias("fraud_probability"))
+
+
+@query("latest_dirty", O.with_views("txn_dirty") + """
+SELECT row_id, date FROM txn_dirty ORDER BY TRY_CAST(date AS TIMESTAMP) DESC NULLS LAST, transaction_id DESC NULLS LAST, row_id DESC LIMIT 10""")
+def q_latest_dirty(spark, sf_dir):
+    """L2 over text dates: what is no date comes last."""
+    return D.latest_transactions(FX.txn_dirty(spark, sf_dir), seq="row_id").select("row_id", "date")
+
+
+def _sections(payload):
+    """Payload JSON → (section, ordinal, item): what each section lists, in its order."""
+    doc = F.from_json("payload", "daily_volume array<struct<date string>>, fraud_by_type array<struct<`transaction.type` string, is_fraud long>>, "
+                      "latest_transactions array<struct<transaction_id string>>, ml_predictions struct<available boolean, top_risks array<struct<transaction_id string>>>, "
+                      "summary struct<total_transactions long, total_fraud long, fraud_rate double>")
+    d = payload.select(doc.alias("d"))
+    one = lambda name, items: d.select(F.lit(name).alias("section"), F.posexplode(items).alias("ordinal", "item"))
+    return (one("daily_volume", F.transform("d.daily_volume", lambda x: x["date"]))
+            .union(one("fraud_by_type", F.transform("d.fraud_by_type", lambda x: F.concat_ws(":", x["transaction.type"], x["is_fraud"]))))
+            .union(one("latest_transactions", F.transform("d.latest_transactions", lambda x: x["transaction_id"])))
+            .union(one("top_risks", F.transform("d.ml_predictions.top_risks", lambda x: x["transaction_id"])))
+            .union(one("summary", F.array(F.concat_ws(":", "d.summary.total_transactions", "d.summary.total_fraud", "d.ml_predictions.available")))))
+
+
+_LATEST = "(SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, transaction_id DESC) - 1 AS place FROM txn_events QUALIFY place < 10)"
+
+
+@query("payload_sections", O.with_views("txn_events") + ", fixed AS (" + _feat_sql("txn_events", f"transaction_id, {_FIXED_P} AS p") + f"""),
+top AS (SELECT l.transaction_id, row_number() OVER (ORDER BY p DESC, l.transaction_id) - 1 AS place FROM {_LATEST} l JOIN fixed USING (transaction_id))
+SELECT 'daily_volume' AS section, CAST(row_number() OVER (ORDER BY day) - 1 AS INT) AS ordinal, day AS item FROM (SELECT DISTINCT CAST(CAST(date AS DATE) AS VARCHAR) AS day FROM txn_events)
+UNION ALL SELECT 'fraud_by_type', CAST(row_number() OVER (ORDER BY transaction_type) - 1 AS INT), transaction_type || ':' || CAST(sum(is_fraud) AS BIGINT) FROM txn_events GROUP BY transaction_type
+UNION ALL SELECT 'latest_transactions', CAST(place AS INT), CAST(transaction_id AS VARCHAR) FROM {_LATEST}
+UNION ALL SELECT 'top_risks', CAST(place AS INT), CAST(transaction_id AS VARCHAR) FROM top
+UNION ALL SELECT 'summary', 0, count(*) || ':' || CAST(sum(is_fraud) AS BIGINT) || ':true' FROM txn_events""")
+def q_payload_sections(spark, sf_dir):
+    """S11 with a model: every section's items in order."""
+    raw = FX.txn_events(spark, sf_dir).withColumn("row_id", F.col("transaction_id"))
+    feats = FE.engineer_features(IN.clean_processor(raw), amount_scale=MONEY)
+    return _sections(D.dashboard_payload(raw, "Global", engineered=feats, model=FIXED))
+
+
 @query("dashboard_payload")
 def q_dashboard_payload(spark, sf_dir):
     raw = FX.txn_events(spark, sf_dir).withColumn("row_id", F.col("transaction_id"))

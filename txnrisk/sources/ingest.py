@@ -208,16 +208,20 @@ def with_required_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(add) if add else df
 
 
-def clean_processor(df: DataFrame) -> DataFrame:
-    """Processor clean — coerce amount/date (failures → NULL), add missing
-    columns, drop rows missing amount, date, id or organization."""
+def conform(df: DataFrame) -> DataFrame:
+    """Amount and date coerced (failures → NULL), missing columns added."""
     out = df
     if "amount" in out.columns:
         out = out.withColumn("amount", S.coerce_double("amount"))
     if "date" in out.columns:
         out = out.withColumn("date", _typed_date(out))
-    out = with_required_columns(out)
-    return out.na.drop(subset=REQUIRED_NOT_NULL)
+    return with_required_columns(out)
+
+
+def clean_processor(df: DataFrame) -> DataFrame:
+    """Processor clean — conform, then drop rows missing amount, date, id
+    or organization."""
+    return conform(df).na.drop(subset=REQUIRED_NOT_NULL)
 
 
 # ---------------------------------------------------------------------------
