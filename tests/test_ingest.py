@@ -40,9 +40,9 @@ def test_landed_files_roundtrip(spark):
     a = sorted(IN.read_transaction_pages(pages).select("rec.id").collect())
     b = sorted(IN.read_transaction_pages(back).select("rec.id").collect())
     assert a == b and len(a) > 0
-    # partition pruning on the organization directory
+    # a filter on the organization reaches the files' statistics
     plan = back.filter(F.col("org_id") == 3)._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan and "org_id" in plan
+    assert "PushedFilters: [IsNotNull(org_id), EqualTo(org_id,3)]" in plan
 
 
 def test_mapping_defaults_and_placeholders(spark):

@@ -314,11 +314,16 @@ def amount_stats(df: DataFrame, key: str, prefix: str, amount_scale: int | None
 
 def rolling_order_key(df: DataFrame, key: str, seq: str = "transaction_id") -> DataFrame:
     """The per-key ordinal (0-based position in ``(date, seq)`` order) and
-    the strictly increasing order key ``epoch_µs·1000 + ordinal``; numbered
-    per (key, UTC day) with day offsets, so no key is sorted in one task."""
-    from txnrisk.operators.ranking import keyed_row_number
-
-    x = df.withColumns({_US: F.unix_micros(F.col("date")), _SEQ: F.col(seq)})
-    x = keyed_row_number(x, key, [_US, _SEQ], _floor_div(_US, DAY_US), out="_rn")
-    ordinal = F.col("_rn") - F.lit(1)
-    return x.select(*df.columns, ordinal.alias("ordinal"), (F.col(_US) * F.lit(1000) + ordinal).alias("order_key_ns"))
+    the strictly increasing order key ``epoch_µs·1000 + ordinal``. Rows are
+    ranged by key, date and seq together, so a key of any size spreads over
+    ranges; a row's ordinal is its global place less its key's first place."""
+    from txnrisk.operators.ranking import in_ranges, range_starts
+
+    us = F.unix_micros(F.col("date"))
+    x = in_ranges(df.withColumn(_US, us), [F.col(key), F.col(_US), F.col(seq)], "_part", "_local")
+    starts = range_starts(x, "_part", {"n": F.count("*")}).drop("n_all")
+    x = x.join(F.broadcast(starts), "_part").withColumn("_place", F.col("n_before") + F.col("_local"))
+    first = x.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    ordinal = F.col("_place") - F.col("_first")
+    return x.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(
+        *df.columns, ordinal.alias("ordinal"), (F.col(_US) * F.lit(1000) + ordinal).alias("order_key_ns"))

@@ -1,12 +1,10 @@
 """Continuous ingest of landed API pages (Structured Streaming).
 
-Page documents land as files ``<landing>/org_id=<id>/page=<n>/…``. A file
-stream picks up new documents; each micro-batch keeps its page identity,
-parses the payload and appends ``(org_id, page, bad, n, record fields…)``
-to a parquet table partitioned by ``org_id``. Writes go through
-``foreachBatch`` with the batch id recorded in the rows, so a replayed batch
-(after a driver or executor failure) overwrites its own output instead of
-duplicating it.
+Page documents land as Parquet rows (organization, page, payload). A file
+stream picks up new files; each micro-batch parses its pages into the rows of
+a page table (``org_id, page, bad, n, records``), partitioned by ``batch_id``.
+Writes go through ``foreachBatch``: a replayed batch (after a driver or
+executor failure) overwrites its own partition instead of duplicating it.
 
 The page rules of the batch reader (read only up to the first short, empty
 or missing page and the fetch limit; drop an organization whose read pages
@@ -18,24 +16,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from txnrisk.sources.ingest import clean_ingest, map_api_records, newest_pages, page_table, read_page_table
 from txnrisk.session import ensure_session_defaults
-
-LANDED_SCHEMA = T.StructType([
-    T.StructField("value", T.StringType()),
-    T.StructField("org_id", T.LongType()),
-    T.StructField("page", T.LongType()),
-])
+from txnrisk.sources.ingest import LANDED_SCHEMA, clean_ingest, map_api_records, newest_pages, page_table, read_page_table
 
 
 def landed_page_stream(spark: SparkSession, landing: str, max_files_per_trigger: int = 1000) -> DataFrame:
     """Streaming source of ``(org_id, page, payload)`` documents."""
     ensure_session_defaults(spark)
-    return (spark.readStream.schema(LANDED_SCHEMA).option("wholetext", True)
-            .option("maxFilesPerTrigger", max_files_per_trigger).text(landing)
-            .select("org_id", "page", F.col("value").alias("payload")))
+    return spark.readStream.schema(LANDED_SCHEMA).option("maxFilesPerTrigger", max_files_per_trigger).parquet(landing)
 
 
 def _batch_rows(pages: DataFrame, batch_id: int) -> DataFrame:
