@@ -10,7 +10,7 @@ so the search has no false negatives; every candidate is then verified by
 exact containment of its shingles as text.
 
 Items are a stated query set: they go to the tasks in blocks of a bounded
-number of shingles, and all documents are read once for each block. Documents
+number of words, and all documents are read once for each block. Documents
 are never shuffled.
 
 Words are runs of letters and digits, lower-cased. Items with fewer words
@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -32,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.llm.common import add_columns, fresh, numbered
+from txnrisk.llm.common import add_columns, fresh, saved
 
 WORDS = 5
 CONTAINMENT = 0.8
-BLOCK_SHINGLES = 500_000   # shingles of items sent to the tasks at once
+BLOCK_WORDS = 500_000   # words of items sent to the tasks at once
 CHUNK = 1 << 15            # document shingles hashed at once
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -97,16 +99,23 @@ class Index:
         return out
 
 
-def item_blocks(items: DataFrame, words: int, containment: float, block: int) -> list[Index]:
-    """Indexes over blocks of items; the driver holds one row per item of one block at a time."""
-    rows = items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct() \
-        .withColumn("n", F.size(F.split("text", r"\s+")).cast("long"))
-    placed, total = numbered(rows, [F.col("item_id"), F.col("text")], "place", "items")
-    size = placed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(1))).first()
-    per_block = max(1, total if size[0] <= block else block // max(1, size[1]))
-    return [Index([tuple(r) for r in placed.filter((F.col("place") >= at) & (F.col("place") < at + per_block))
-                   .orderBy("place").select("item_id", "text").collect()], words, containment)
-            for at in range(0, total, per_block)]
+def item_blocks(items: DataFrame, words: int, containment: float, block: int) -> Iterator[Index]:
+    """Indexes over blocks of at most ``block`` words of items, or one longer item.
+
+    Items stream to the driver, which holds one block at a time. How they fall
+    into blocks does not change what is found.
+    """
+    rows = saved(items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct(), "items")
+    held, size = [], 0
+    for item_id, text in rows.toLocalIterator():
+        n = len(TOKEN.findall(text))
+        if held and size + n > block:
+            yield Index(held, words, containment)
+            held, size = [], 0
+        held.append((item_id, text))
+        size += n
+    if held:
+        yield Index(held, words, containment)
 
 
 def with_hits(docs: DataFrame, index: Index, name: str, id_type: T.DataType) -> DataFrame:
@@ -118,20 +127,28 @@ def with_hits(docs: DataFrame, index: Index, name: str, id_type: T.DataType) ->
     return add_columns(docs, "text", T.StructType([T.StructField(name, kind)]), search)
 
 
-def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, containment: float = CONTAINMENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, containment: float = CONTAINMENT, block: int = BLOCK_WORDS) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, n_shingles, n_shared, containment."""
     docs, id_type = docs.select("doc_id", "text"), items.schema["item_id"].dataType
-    out = None
-    for index in item_blocks(items, words, containment, block) or [Index([], words, containment)]:
-        part = with_hits(docs, index, "hits", id_type).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
-        out = part if out is None else out.union(part)
-    return out.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+
+    def found(index: Index) -> DataFrame:
+        return with_hits(docs, index, "hits", id_type).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")
+
+    out, blocks = [], item_blocks(items, words, containment, block)
+    current = found(next(blocks, None) or Index([], words, containment))
+    for index in blocks:
+        out.append(saved(current, "leaks"))   # so that a task holds one index at a time
+        current = found(index)
+    every = reduce(DataFrame.union, [*out, current])
+    return every.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, containment: float = CONTAINMENT, block: int = BLOCK_SHINGLES) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, containment: float = CONTAINMENT, block: int = BLOCK_WORDS) -> DataFrame:
     """The documents that hold no item, with all their columns."""
     name, id_type = fresh(docs, "_hits"), items.schema["item_id"].dataType
-    for index in item_blocks(items, words, containment, block):
+    for i, index in enumerate(item_blocks(items, words, containment, block)):
+        if i:
+            docs = saved(docs, "clean")   # so that a task holds one index at a time
         docs = with_hits(docs, index, name, id_type).filter(F.size(name) == 0).drop(name)
     return docs
 
