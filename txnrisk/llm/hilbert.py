@@ -28,6 +28,7 @@ from txnrisk.llm.common import as_array, fresh, numbered
 SHARDS = 16
 BITS = 8            # bits of a quantised dimension
 ACCURACY = 10_000   # of the quantile sketches that place the cell borders
+SKETCHES = 256      # groups of input partitions whose sketches are merged apart
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -69,17 +70,36 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
 
 
+def cell_borders(df: DataFrame, dimensions: list[Column], bits: int) -> list[np.ndarray]:
+    """Ascending cell borders of each dimension, at most 2 ** bits - 1 numbers.
+
+    Sketches are merged in groups of input partitions, so that no task takes
+    one from every partition. Each group gives the middles of equal shares of
+    its rows; weighted by rows, they are a table of constant size, whose
+    quantiles are the borders.
+    """
+    marks, shares = [i / (1 << bits) for i in range(1, 1 << bits)], 4 << bits
+    middles = [(i + 0.5) / shares for i in range(shares)]
+    values = df.select(*[c.cast("double").alias(f"d{i}") for i, c in enumerate(dimensions)],
+                       F.pmod(F.spark_partition_id(), F.lit(SKETCHES)).alias("g"))
+    sketches = values.groupBy("g").agg(*[x for i in range(len(dimensions)) for x in (
+        F.percentile_approx(f"d{i}", middles, ACCURACY).alias(f"b{i}"), F.count(f"d{i}").alias(f"n{i}"))])
+    listed = sketches.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"b{i}").alias("b"), F.col(f"n{i}").alias("n"))
+                                                 for i in range(len(dimensions))])).alias("x"))
+    found = (listed.select("x.i", F.explode("x.b").alias("border"), "x.n")
+             .groupBy("i").agg(F.percentile("border", marks, F.col("n")).alias("b")).collect())   # one row per dimension
+    by = {r["i"]: np.unique(np.array(r["b"], np.float64)) for r in found}
+    return [by.get(i, np.zeros(0)) for i in range(len(dimensions))]
+
+
 def with_shards(df: DataFrame, dimensions: list[Column], ties: list[Column], shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """``df`` with ``shard`` and gapless ``slot`` columns; ``dimensions`` are numeric expressions over ``df``.
 
-    The cell borders come from one pass of quantile sketches (at most
-    2 ** bits - 1 numbers per dimension). The rows are range-partitioned on
+    The cell borders come from one pass of quantile sketches. The rows are range-partitioned on
     the curve and written once.
     """
     d = len(dimensions)
-    marks = [i / (1 << bits) for i in range(1, 1 << bits)]
-    borders = df.agg(*[F.percentile_approx(c.cast("double"), marks, ACCURACY).alias(f"b{i}") for i, c in enumerate(dimensions)]).first()
-    edges = [np.unique(np.array(borders[i] if borders[i] is not None else [], np.float64)) for i in range(d)]
+    edges = cell_borders(df, dimensions, bits)
     packed = df.select(F.struct("*").alias("row"), F.array(*[F.coalesce(c.cast("double"), F.lit(float("-inf"))) for c in dimensions]).alias("at"),
                        F.struct(*[c.alias(f"t{i}") for i, c in enumerate(ties)]).alias("ties"))
     schema = T.StructType([*packed.schema.fields, T.StructField("curve", T.LongType())])
