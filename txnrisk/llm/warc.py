@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from txnrisk.llm.common import map_rows, saved, shared_path
 
 MIN_REVISIT = 1000            # bytes of payload from which repeats become revisits
-RECORDS_PER_ARCHIVE = 10_000
+RECORDS_PER_ARCHIVE = 1000    # an archive is read whole by one task
 #: Fixed values of the format.
 VERSION = "WARC/1.0"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
