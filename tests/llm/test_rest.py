@@ -110,6 +110,17 @@ def test_shards_of_the_whole_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 16
 
 
+def test_cell_borders_are_quantiles_of_all_rows(spark):
+    """Partitions of unlike sizes and values, nulls, and a dimension without values."""
+    low, high = spark.range(0, 9000, 1, 7).select((F.col("id") % 100).alias("v")), spark.range(0, 1000, 1, 3).select((F.col("id") + 1000).alias("v"))
+    df = low.union(high).union(spark.range(50).select(F.lit(None).cast("long").alias("v")))
+    got, none = hilbert.cell_borders(df, [F.col("v"), F.lit(None)], 4)
+    values = np.array([r.v for r in df.filter("v is not null").collect()])
+    want = np.quantile(values, [i / 16 for i in range(1, 16)])
+    share = lambda b: np.searchsorted(np.sort(values), b, "right") / values.size
+    assert none.size == 0 and got.size == 15 and np.abs(share(got) - share(want)).max() < 0.03
+
+
 def test_curve_shards_prune(spark):
     """A range on one dimension touches fewer shards than with rows dealt at random."""
     got = hilbert.shard_documents(read_table(spark, SF, "documents")).toPandas()
@@ -176,6 +187,14 @@ def test_leaks_against_brute_force(spark, block):
     assert sorted((r.text for r in clean.collect()), key=repr) == sorted((t for _, t in docs if t not in dirty), key=repr) and clean.columns == ["doc_id", "text", "_hits"]
 
 
+def test_item_blocks_are_bounded(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate([3, 40, 3, 3, 12, 7, 0, 1])]
+    blocks = list(decontaminate.item_blocks(spark.createDataFrame(items, "item_id long, text string"), 5, 0.8, 12))
+    n = dict((i, len(t.split())) for i, t in items)
+    sizes = [[n[i] for i, _ in b.items] for b in blocks]
+    assert all(sum(s) <= 12 or len(s) == 1 for s in sizes) and sorted(sum(sizes, [])) == [1, 3, 3, 3, 7, 12, 40]
+
+
 def test_empty_benchmark_and_documents(spark):
     d, b = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.leaks(d, b.limit(0)).count() == 0 and decontaminate.leaks(d.limit(0), b).count() == 0 and decontaminate.leaks(d, b).count() == 1
