@@ -771,11 +771,46 @@ def q_org_dashboard_fallback(spark, sf_dir):
     return _org_dashboard(spark, sf_dir, "nation-3")
 
 
-@query("org_dashboard_not_found")
+@query("org_dashboard_not_found", _DIR_SQL + """
+SELECT CAST(NULL AS VARCHAR) AS payload, '{"message":"Organization ''atlantis'' not found.","available_organizations":["'
+  || array_to_string(list_sort(list(slug)), '","') || '"]}' AS not_found
+FROM dir HAVING NOT bool_or(slug = 'atlantis')""")
 def q_org_dashboard_not_found(spark, sf_dir):
     return _org_dashboard(spark, sf_dir, "atlantis")
 
 
+def _org_sections_sql(src, context):
+    """Every section of one organization's payload; text ids, as landed records have them."""
+    return f"""
+SELECT 'daily_volume' AS section, CAST(row_number() OVER (ORDER BY day) - 1 AS INT) AS ordinal, day AS item
+FROM (SELECT DISTINCT CAST(CAST(date AS DATE) AS VARCHAR) AS day FROM {src})
+UNION ALL SELECT 'fraud_by_type', CAST(row_number() OVER (ORDER BY transaction_type) - 1 AS INT), transaction_type || ':' || CAST(sum(is_fraud) AS BIGINT)
+FROM {src} GROUP BY transaction_type
+UNION ALL SELECT 'latest_transactions', CAST(place AS INT), id FROM (SELECT CAST(transaction_id AS VARCHAR) AS id,
+  row_number() OVER (ORDER BY CAST(date AS TIMESTAMP) DESC, CAST(transaction_id AS VARCHAR) DESC) - 1 AS place FROM {src} QUALIFY place < 10)
+UNION ALL SELECT 'summary', 0, count(*) || ':' || CAST(sum(is_fraud) AS BIGINT) || ':false' FROM {src}
+UNION ALL SELECT 'organization_context', 0, '{context}'"""
+
+
+def _org_sections(answer):
+    context = answer.select(F.lit("organization_context").alias("section"), F.lit(0).alias("ordinal"),
+                            F.get_json_object("payload", "$.organization_context").alias("item"))
+    return _sections(answer).union(context)
+
+
+@query("org_live_sections", _MAPPED_SQL + ", live AS (SELECT * FROM mapped WHERE organization_id = 4)" + _org_sections_sql("live", "NATION-4"))
+def q_org_live_sections(spark, sf_dir):
+    """§3.2 of readable pages: every section's items in order."""
+    return _org_sections(_org_dashboard(spark, sf_dir, "NATION-4"))
+
+
+@query("org_fallback_sections", O.with_views("txn_events") + ", pseudo AS (SELECT * FROM txn_events WHERE organization_id = 3 % 100)"
+       + _org_sections_sql("pseudo", "nation-3 (Synthetic)"))
+def q_org_fallback_sections(spark, sf_dir):
+    """§3.2 with the synthetic fallback: every section's items in order."""
+    return _org_sections(_org_dashboard(spark, sf_dir, "nation-3"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {k: e.fn for k, e in REGISTRY.items()}
 
