@@ -789,7 +789,7 @@ FROM {src} GROUP BY transaction_type
 UNION ALL SELECT 'latest_transactions', CAST(place AS INT), id FROM (SELECT CAST(transaction_id AS VARCHAR) AS id,
   row_number() OVER (ORDER BY CAST(date AS TIMESTAMP) DESC, CAST(transaction_id AS VARCHAR) DESC) - 1 AS place FROM {src} QUALIFY place < 10)
 UNION ALL SELECT 'summary', 0, count(*) || ':' || CAST(sum(is_fraud) AS BIGINT) || ':false' FROM {src}
-UNION ALL SELECT 'organization_context', 0, '{context}'"""
+UNION ALL SELECT 'organization_context', 0, {context}"""
 
 
 def _org_sections(answer):
@@ -798,16 +798,19 @@ def _org_sections(answer):
     return _sections(answer).union(context)
 
 
-@query("org_live_sections", _MAPPED_SQL + ", live AS (SELECT * FROM mapped WHERE organization_id = 4)" + _org_sections_sql("live", "NATION-4"))
+@query("org_live_sections", _MAPPED_SQL + ", live AS (SELECT * FROM mapped WHERE organization_id = 4)" + _org_sections_sql("live", "'NATION-4'"))
 def q_org_live_sections(spark, sf_dir):
     """§3.2 of readable pages: every section's items in order."""
     return _org_sections(_org_dashboard(spark, sf_dir, "NATION-4"))
 
 
-@query("org_fallback_sections", O.with_views("txn_events") + ", pseudo AS (SELECT * FROM txn_events WHERE organization_id = 3 % 100)"
-       + _org_sections_sql("pseudo", "nation-3 (Synthetic)"))
+@query("org_fallback_sections", _MAPPED_SQL + """,
+broken AS (SELECT count(*) > 0 AS b FROM api_records WHERE org_id = 3 AND page = 2),
+chosen AS (SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, date, transaction_type, is_fraud FROM txn_events, broken WHERE b AND organization_id = 3 % 100
+  UNION ALL SELECT transaction_id, CAST(date AS TIMESTAMP), transaction_type, is_fraud FROM mapped, broken WHERE NOT b AND organization_id = 3)"""
+       + _org_sections_sql("chosen", "(SELECT CASE WHEN b THEN 'nation-3 (Synthetic)' ELSE 'nation-3' END FROM broken)"))
 def q_org_fallback_sections(spark, sf_dir):
-    """§3.2 with the synthetic fallback: every section's items in order."""
+    """§3.2 of an organization whose second page, if it has one, is an error page: the synthetic fallback then."""
     return _org_sections(_org_dashboard(spark, sf_dir, "nation-3"))
 
 
