@@ -184,12 +184,12 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = WORDS, split
 
 
 def components(rows: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
-    """(fp, root, component_id) of every fingerprint in ``rows`` (doc_id, fp); root is the component's own key."""
+    """(fp, low, root, component_id) of every fingerprint in ``rows`` (doc_id, fp); low is its smallest doc_id, root the component's own key."""
     prints = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     nodes = connected(links(prints.select("fp"), bits, split))
     rooted = prints.join(nodes, prints["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "root", "component_id")
+    return rooted.join(names, "root").select("fp", "low", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS, split: int = SPLIT) -> DataFrame:
@@ -199,8 +199,10 @@ def keep_one(docs: DataFrame, bits: int = BITS, words: int = WORDS, split: int =
     """
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"), F.col("doc_id").alias("doc_id"))
     rows = saved(with_fingerprint(packed, "fp", words=words).drop("text"), "simhash-rows")
-    first = rows.join(components(rows.select("doc_id", "fp"), bits, split), "fp") \
-        .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # by fingerprint and doc_id, so the copies of one text are no hot key
+    named = (components(rows.select("doc_id", "fp"), bits, split).filter(F.col("low").eqNullSafe(F.col("component_id")))
+             .select(F.col("fp").alias("named_fp"), "low", "root"))
+    first = rows.join(named, (F.col("fp") == F.col("named_fp")) & F.col("doc_id").eqNullSafe(F.col("low")))
     # mostly one row of a component is left by now; the aggregate picks the smallest text where ids repeat
     return (first.groupBy("root").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
             .select("row.*"))
