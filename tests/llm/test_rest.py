@@ -205,7 +205,8 @@ def test_empty_benchmark_and_documents(spark):
 
 def test_round_trip_of_odd_pages(spark):
     big = "<p>é</p>\r\n\r\nWARC/1.0\r\nContent-Length: 5\r\n\r\n" * 60
-    rows = [(1, "http://a/\r\nx", big), (5, "http://b", big), (None, "http://c", big), (2, None, None), (3, "u", ""), (4, "u", "x"), (6, "u", "x"), (7, "u", big + "!"), (7, "u", big + "!"), (8, "v", big + "?"), (8, "w", big + "?")]
+    rows = [(1, "http://a/\r\nx", big), (5, "http://b", big), (None, "http://c", big), (2, None, None), (3, "u", ""), (4, "u", "x"), (6, "u", "x"), (7, "u", big + "!"), (7, "u", big + "!"), (8, "v", big + "?"), (8, "w", big + "?"),
+            ((1 << 63) - 1, "z", "max"), (-(1 << 63), "z", "min")]
     got = rows_of(warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit(1))))
     want = []
     for p, u, h in rows:
@@ -217,6 +218,20 @@ def test_round_trip_of_odd_pages(spark):
     assert warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    sizes = [10, 3000, 50, 9000, 10, 10, 10, 10, 10, 4000]
+    pages = spark.createDataFrame([(i, "u", chr(97 + i) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    warc.write_archives(pages.coalesce(1), str(tmp_path / "a"), per_archive=4, max_bytes=6000)
+    files = list((tmp_path / "a").rglob("part-*"))
+    held = []
+    for f in files:
+        data = f.read_bytes()
+        found = [r for _, _, r, _ in warc.salvage(data)]
+        assert all(found) and len(found) <= 4 and (len(data) <= 6000 or len(found) == 1)
+        held.append([int(r["fields"]["page-id"]) for r in found])
+    assert sorted(sum(held, [])) == list(range(len(sizes))) and len(held) > 3
+
+
 def test_oracle_sql_of_whole_tables(spark):
     for t in ("documents", "benchmark", "pages"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")

@@ -11,7 +11,7 @@ record. A record is accepted if its version line, header, declared length,
 closing line breaks and payload digest all check. After a failed check the
 reader looks for the next version line (or gzip member), goes on there, and
 reports the skipped bytes as a gap. An archive is one task's work, so the
-writer bounds the records of an archive.
+writer bounds an archive's records and bytes.
 
 Defined results: null html is the empty payload. Rows that share a page_id
 are told apart by a record id of their own; among equal payloads with the
@@ -29,6 +29,8 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,7 @@ from txnrisk.llm.common import map_rows, saved, shared_path
 
 MIN_REVISIT = 1000            # bytes of payload from which repeats become revisits
 RECORDS_PER_ARCHIVE = 1000    # an archive is read whole by one task
+BYTES_PER_ARCHIVE = 1 << 26   # likewise; one longer record is an archive of its own
 #: Fixed values of the format.
 VERSION = "WARC/1.0"
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -80,9 +83,28 @@ def records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
         ("Content-Length", size.cast("string"))), body).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, per_archive: int = RECORDS_PER_ARCHIVE) -> None:
-    """Write the pages as archives of at most ``per_archive`` records under ``path``."""
-    (records(pages, min_revisit).write.option("lineSep", END).option("maxRecordsPerFile", per_archive).text(path))
+def in_archives(rows: DataFrame, per_archive: int, max_bytes: int) -> DataFrame:
+    """Records (value) with the number, within their task, of the archive that they go to; numbers ascend."""
+    def run(batches):
+        archive = n = used = 0
+        for b in batches:
+            numbers = []
+            for size in pc.binary_length(b.column(0)).to_pylist():
+                size += len(END)
+                if n == per_archive or n and used + size > max_bytes:
+                    archive, n, used = archive + 1, 0, 0
+                n, used = n + 1, used + size
+                numbers.append(archive)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(numbers, pa.int32())], names=["value", "archive"])
+
+    return rows.mapInArrow(run, "value string, archive int")
+
+
+def write_archives(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, per_archive: int = RECORDS_PER_ARCHIVE,
+                   max_bytes: int = BYTES_PER_ARCHIVE) -> None:
+    """Write the pages under ``path`` as archives of at most ``per_archive`` records and ``max_bytes`` bytes, or one longer record."""
+    rows = in_archives(records(pages, min_revisit), per_archive, max_bytes)
+    rows.write.partitionBy("archive").option("lineSep", END).text(path)
 
 
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -200,7 +222,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
 
 def number(x: str | None) -> int | None:
-    return int(x) if x and re.fullmatch("-?[0-9]{1,18}", x) else None
+    """A BIGINT, or null for anything else."""
+    return int(x) if x and re.fullmatch("-?[0-9]{1,19}", x) and -(1 << 63) <= int(x) < 1 << 63 else None
 
 
 def resolved(read: DataFrame) -> DataFrame:
