@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 from txnrisk.llm import decontaminate, hilbert, language_id, mixing, simhash
 from txnrisk.llm.common import fresh, read_table, saved
 
-MIN_COSINE = 0.0   # at or below it a text is unlike every learned language
-
 #: SQL has no XXH64, no hypervectors and no Hilbert index; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: rejected are those without a letter and those unlike every prototype."""
-    lang, score = fresh(docs, "_lang_pred"), fresh(docs, "_score")
-    labelled = language_id.predict(docs, language_id.fit(docs), lang_pred=lang, score=score)
-    return labelled.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) > MIN_COSINE)).drop(lang, score)
+    """Documents like a learned language; rejected are those without a letter and those unlike every one in letters or trigrams."""
+    lang, score, known = fresh(docs, "_lang_pred"), fresh(docs, "_score"), fresh(docs, "_known")
+    labelled = language_id.predict(docs, language_id.fit(docs), lang_pred=lang, score=score, known=known)
+    return labelled.filter(F.col(known)).drop(lang, score, known)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

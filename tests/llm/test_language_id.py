@@ -58,3 +58,19 @@ def test_too_many_languages_raise(spark):
     docs = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError):
         L.fit(docs, max_languages=3)
+
+
+def test_texts_in_no_learned_language_are_rejected(spark):
+    """Unlearned scripts at any length, and noise in learned letters from some 20 words on; all labelled documents stay."""
+    import random
+
+    import corpus_pipeline
+    rnd = random.Random(4)
+    noise = lambda letters, n: " ".join("".join(rnd.choices(letters, k=rnd.randint(2, 9))) for _ in range(n))
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    kinds = {"cyrillic": ("абвгдежзийклмнопрстуфхцчшщыьэюя", (1, 5, 200)), "greek": ("αβγδεζηθικλμνξοπρστυφχψω", (1, 5, 200)),
+             "han": ([chr(c) for c in range(0x4E00, 0x9000)], (1, 5, 200)), "noise": ("bcdfghjklmnpqrstvwxz", (25, 200))}
+    rows = [(-1, noise(letters, n), None) for letters, sizes in kinds.values() for n in sizes for _ in range(20)]
+    got = corpus_pipeline.identified(spark, docs.union(spark.createDataFrame(rows, docs.schema)), SF)
+    assert got.columns == docs.columns
+    assert got.filter("doc_id >= 0").count() == docs.count() and got.filter("doc_id = -1").count() == 0

@@ -10,6 +10,14 @@ Letters are lower-cased; a run of anything else is one blank, which is a
 symbol of its own, so trigrams also see how words begin and end. Texts are
 read whole, in blocks, so memory does not grow with a text.
 
+A text is unlike every learned language by either of two measures, both
+learned. Letters: fewer than half of its letters belong to an alphabet, the
+most frequent letters that make up ``COVER`` of a language's text. Trigrams:
+its cosine is below ``LEAST`` of the cosine that a text of its language and of
+its effective number of trigrams has on average, and that bound is above
+``NOISE`` standard deviations of an unrelated text's cosine, 1 / sqrt(DIM).
+Texts too short for such a bound are judged by their letters alone.
+
 Defined results: a text that is null or has no letter gets ``und`` with
 score 0; so does every text when nothing was learned. Rows with a null lang
 teach nothing. Equal cosines go to the smaller language value. Repeated rows
@@ -18,6 +26,8 @@ each count. Other columns are neither read nor renamed.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -33,14 +43,20 @@ BLOCK = 1 << 18        # symbols bundled at once
 MAX_LANGUAGES = 2000   # bound on prototypes, which travel to every task
 UNKNOWN = "und"
 DENSE = 1 << 22        # largest trigram code space counted without sorting
+COVER = 0.999          # of a language's letters that its alphabet makes up
+LEAST = 0.3            # of the expected cosine that a text in a learned language reaches
+NOISE = 3.0            # standard deviations of an unrelated text's cosine from which a bound on it can decide
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """Language values in ascending order and one unit prototype per row."""
+    """Language values in ascending order, one unit prototype per row, each one's expected cosine with a text of
+    one trigram, and the letters of all alphabets."""
 
     languages: tuple[str, ...]
     prototypes: np.ndarray
+    expected: np.ndarray
+    alphabet: np.ndarray
 
 
 @lru_cache(maxsize=1)
@@ -68,8 +84,8 @@ def symbols(text: str | None) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint32), codes]) if codes.size else codes
 
 
-def bundle(texts: list, owners: np.ndarray, n: int, dim: int = DIM) -> tuple[np.ndarray, np.ndarray]:
-    """Bundles of ``n`` owners over their texts' trigrams, and each owner's letters seen."""
+def bundle(texts: list, owners: np.ndarray, n: int, dim: int = DIM, see: Callable[[int, np.ndarray], None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bundles of ``n`` owners over their texts' trigrams, and each owner's letters seen; ``see`` gets each text's owner and symbols."""
     total, letters = np.zeros((n, dim)), np.zeros(n, np.int64)
     parts, held, size = [], [], 0
 
@@ -82,6 +98,8 @@ def bundle(texts: list, owners: np.ndarray, n: int, dim: int = DIM) -> tuple[np.
         if not s.size:
             continue
         letters[owner] += np.count_nonzero(s)
+        if see:
+            see(owner, s)
         for at in range(0, s.size - 2, BLOCK):
             piece = s[at:at + BLOCK + 2]
             parts.append(piece)
@@ -124,9 +142,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int =
         max_languages: int = MAX_LANGUAGES) -> Profiles:
     """Learn one prototype per non-null language from all rows.
 
-    Tasks return one partial bundle per language and batch, which Spark sums.
-    The driver gets one vector per language; more than ``max_languages``
-    values raise, they are never dropped.
+    Tasks return one partial bundle per language and batch, which Spark sums,
+    and with it the language's trigrams (place ``dim``) and letters (places
+    above). The driver gets one vector and one table of letters per language;
+    more than ``max_languages`` values raise, they are never dropped.
     """
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("place", T.IntegerType()),
                            T.StructField("value", T.LongType())])
@@ -134,10 +153,20 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int =
     def partial(batch: dict[str, list]) -> dict[str, list]:
         names = sorted(set(batch["lang"]))
         at = {x: i for i, x in enumerate(names)}
-        total, letters = bundle(batch["text"], np.array([at[x] for x in batch["lang"]], np.int64), len(names), dim)
-        kept = [i for i in range(len(names)) if letters[i]]
-        return {"lang": [names[i] for i in kept for _ in range(dim)], "place": list(range(dim)) * len(kept),
-                "value": np.rint(total[kept]).astype(np.int64).ravel().tolist()}
+        counts = [Counter() for _ in names]
+
+        def see(owner: int, s: np.ndarray) -> None:
+            seen = np.bincount(s)
+            codes = np.flatnonzero(seen[1:]) + 1
+            counts[owner].update({dim: s.size - 2} | dict(zip((dim + codes).tolist(), seen[codes].tolist(), strict=True)))
+
+        total, letters = bundle(batch["text"], np.array([at[x] for x in batch["lang"]], np.int64), len(names), dim, see)
+        out = {"lang": [], "place": [], "value": []}
+        for i in np.flatnonzero(letters):
+            out["lang"] += [names[i]] * (dim + len(counts[i]))
+            out["place"] += [*range(dim), *counts[i]]
+            out["value"] += [*np.rint(total[i]).astype(np.int64).tolist(), *counts[i].values()]
+        return out
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
     found = (map_rows(rows, schema, partial).groupBy("lang", "place").agg(F.sum("value").alias("value"))
@@ -146,24 +175,46 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", dim: int =
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     found.sort(key=lambda r: r["lang"])
-    vectors = np.array([[x["value"] for x in r["v"]] for r in found], np.float64).reshape(len(found), dim)
-    return Profiles(tuple(r["lang"] for r in found), vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9))
-
-
-def predict(df: DataFrame, profiles: Profiles, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """Every row of ``df`` with the predicted language and its cosine (0 to 1)."""
+    vectors = np.array([[x["value"] for x in r["v"][:dim]] for r in found], np.float64).reshape(len(found), dim)
+    norms = np.linalg.norm(vectors, axis=1)
+    grams = np.array([r["v"][dim]["value"] for r in found], np.float64)
+    # the chance that two of the language's trigrams are equal, over the prototype's norm per trigram
+    expected = np.maximum(norms ** 2 / dim - grams, 0) / np.maximum(grams - 1, 1) / np.maximum(norms / dim ** 0.5, 1e-9)
+    alphabet = np.zeros(0x110000, bool)
+    for r in found:
+        codes, seen = np.array([(x["place"] - dim, x["value"]) for x in r["v"][dim + 1:]], np.int64).T
+        order = np.argsort(-seen, kind="stable")
+        before = np.cumsum(seen[order]) - seen[order]
+        alphabet[codes[order][before < COVER * seen.sum()]] = True
+    return Profiles(tuple(r["lang"] for r in found), vectors / np.maximum(norms, 1e-9)[:, None], expected, alphabet)
+
+
+def predict(df: DataFrame, profiles: Profiles, text: str = "text", lang_pred: str = "lang_pred", score: str = "score",
+            known: str | None = None) -> DataFrame:
+    """Every row of ``df`` with the predicted language, its cosine (0 to 1) and, as ``known``, whether the text is like a learned language."""
     languages, prototypes = profiles.languages, profiles.prototypes
-    added = T.StructType([T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    added = T.StructType([T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()),
+                          *([T.StructField(known, T.BooleanType())] if known else [])])
 
     def label(texts: list) -> dict[str, list]:
         if not languages:
-            return {lang_pred: [UNKNOWN] * len(texts), score: [0.0] * len(texts)}
-        total, letters = bundle(texts, np.arange(len(texts)), len(texts), prototypes.shape[1])
-        cosine = total @ prototypes.T / np.maximum(np.linalg.norm(total, axis=1, keepdims=True), 1e-9)
+            return {lang_pred: [UNKNOWN] * len(texts), score: [0.0] * len(texts), known: [False] * len(texts)}
+        dim, grams, own = prototypes.shape[1], np.zeros(len(texts)), np.zeros(len(texts))
+
+        def see(owner: int, s: np.ndarray) -> None:
+            grams[owner] += s.size - 2
+            own[owner] += np.count_nonzero(profiles.alphabet[s])
+
+        total, letters = bundle(texts, np.arange(len(texts)), len(texts), dim, see if known else None)
+        norm = np.maximum(np.linalg.norm(total, axis=1), 1e-9)
+        cosine = total @ prototypes.T / norm[:, None]
         best = cosine.argmax(1)
         value = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0)
+        # a bundle of n different trigrams has the norm sqrt(n * dim), repeats make it longer
+        bound = LEAST * np.minimum(profiles.expected[best] * grams * dim ** 0.5 / norm, 1.0)
+        unlike = (2 * own < letters) | (value < bound) & (bound >= NOISE / dim ** 0.5)
         return {lang_pred: [languages[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)],
-                score: np.where(letters > 0, value, 0.0).tolist()}
+                score: np.where(letters > 0, value, 0.0).tolist(), known: ((letters > 0) & ~unlike).tolist()}
 
     return add_columns(df, text, added, label)
 
