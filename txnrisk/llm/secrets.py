@@ -45,7 +45,7 @@ WEAK = (
     ("id", re.compile(r"\b(?:ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{12,}\b")),
     ("id", re.compile(r"""(?ai:access_?key_?id|client_?id|user_?name|login|account_?id)["']?[ \t]{0,8}[:=][ \t]{0,8}["']?[A-Za-z0-9_.@-]{3,128}""")),
     ("secret", re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9+/_.=-]{4,7}(?![A-Za-z0-9+/_.=-])""")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])")),
     ("secret", re.compile(r"(?<![A-Za-z0-9])[0-9a-f]{16,31}(?![A-Za-z0-9])")),
     ("endpoint", re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{3,512}")),
     ("endpoint", re.compile(r"""(?ai:host|server|endpoint)["']?[ \t]{0,8}[:=][ \t]{0,8}["']?[A-Za-z0-9.-]{3,253}(?::[0-9]{2,5})?""")),
