@@ -113,6 +113,20 @@ def test_weak_secrets_after_equals_signs_and_long_ones(spark):
     assert len(long) > 300 and found == want
 
 
+def test_endpoints_are_complements(spark):
+    key = "9f8A7s6D5f4G3h2J1k0LqWeR"
+    far = " " * 300
+    rows = [("host=db.example.com\npassword: abc123", "secret:20:36", "endpoint:0:19"), (f"https://api.example.com/v1?sig={key}", "secret:31:55", "endpoint:0:31"),
+            (f"{key} at https://a.example.com", "secret:0:24", "endpoint:28:49"), (f"host=a.example.com{far}password: abc123", "", ""), ("password: abc123", "", ""),
+            ("https://a.example.com/x/2024-some-longer-title-b7 https://b.example.com", "", ""), (f"login: bob\n{key}" + far, "id:0:10,secret:11:35", ""),
+            (f"host=a.example.com {key} host=b.example.com", "secret:19:43", "endpoint:0:18"), ("login: bob host=a.example.com", "", ""),
+            ("https://localhost/2024-some-title-b7 password: abc123", "secret:37:53", "endpoint:0:36"),
+            (" " * 4080 + "host=a.example.com password: abc123", "secret:4099:4115", "endpoint:4080:4098")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.endpoints, r.n_with_endpoint) for r in secrets.find_secrets(docs).collect()}
+    assert got == {i: (s, e, int(e != "")) for i, (_, s, e) in enumerate(rows)}
+
+
 def test_interval_join_against_brute_force(spark):
     rnd = random.Random(3)
     parts = []
