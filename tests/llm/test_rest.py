@@ -57,6 +57,22 @@ def test_whole_table_is_calibrated(spark):
     assert abs((got["n_tokens"] * got["sampled"]).sum() / expected.sum() - 1) < 0.1
 
 
+@pytest.mark.parametrize("keep, lowered", [(0.6, False), (0.7, True)])
+def test_expected_draw_meets_the_targets_with_a_hot_source(spark, keep, lowered):
+    """A source with a third of all tokens, languages of unlike sizes; at 0.7 the smallest language has too few tokens for any fit."""
+    rows = [(f"s{i}", lang, f"t{t}", int(n * (10 if i == 0 else 1) * (1 + (i * 7 + t * 3 + n) % 5 / 5)), 0.5)
+            for i in range(21) for lang, n in (("en", 620), ("fr", 150), ("de", 140), ("es", 90)) for t in range(3)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n_tokens long, u double")
+    got = mixing.weighted(cells, keep=keep).toPandas()
+    drawn = got["n_tokens"] * got["probability"]
+    assert got["probability"].between(0, 1).all() and (got["probability"] > 0.999).any()
+    for d in mixing.DIMENSIONS:
+        goal = got["n_tokens"].groupby(got[d]).sum() ** mixing.TEMPER[d]
+        assert np.allclose(drawn.groupby(got[d]).sum() / drawn.sum(), goal / goal.sum(), atol=1e-5)
+    assert (got["kept_share"] < keep).all() == lowered and got["distance"].max() <= mixing.TOLERANCE
+    assert drawn.sum() / got["n_tokens"].sum() == pytest.approx(got["kept_share"][0], abs=1e-5)
+
+
 def test_draw_of_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "wonderful words here", "s", None, 1.0), (1, "wonderful words here", "s", None, 1.0), (None, "b", None, "en", 2.0), (3, None, "s", "en", 3.0), (4, "", "t", "en", 4.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight double")

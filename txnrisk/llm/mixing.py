@@ -2,10 +2,13 @@
 
 Documents are counted in cells of (source, language, topic). Raking scales
 the cells' token mass in turn to the target share of every source, language
-and topic until all three marginals fit. A cell's weight is its raked over its
-natural mass; a document is drawn with probability min(1, scale * weight of
-its cell), the scale being set so that the expected tokens drawn are ``keep``
-of all. No document is drawn twice, so a cell can't be raised above all of it.
+and topic until all three marginals fit. No document is drawn twice, so no
+cell can give more than its tokens: raking has that upper bound on each cell,
+and what a bound holds back is raked to the other cells. A cell's weight is
+its raked over its natural mass; a document is drawn with probability kept
+share * weight of its cell, so the expected draw itself fits the marginals.
+The kept share is ``keep`` or, where no draw of that size can fit, a smaller
+one that does; it and the distance reached are columns of the result.
 
 The draw is a hash of doc_id and text: a repeated run, a retried task and a
 repeated row all decide alike.
@@ -36,11 +39,14 @@ from txnrisk.llm.common import add_columns, discard, saved
 DIMENSIONS = ("source", "lang", "topic")
 #: Target share of a value: its natural share to this power, normalised.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 1.0}
-KEEP = 0.7          # expected share of the tokens drawn
+KEEP = 0.7          # expected share of the tokens drawn, at most
 TOPICS = 8          # buckets of derived topics
 LONG_WORD = 7       # letters of a word that can name a topic
 TOLERANCE = 1e-6    # largest difference of a marginal share from its target
 SWEEPS = 100
+BELOW = 0.98        # of the largest kept share that single marginals allow, tried where keep is above it
+LESS = 0.93         # factor of the kept share after a try that does not fit
+TRIES = 12
 WORD = re.compile(r"[^\W\d_]{%d,}" % LONG_WORD)
 
 
@@ -79,57 +85,87 @@ def normalised(cells: DataFrame, dimension: str, targets: DataFrame) -> DataFram
     return shares(here.join(targets, F.col("here").eqNullSafe(F.col("value"))).select("value", F.col("share").cast("double").alias("m")))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (dimensions, n) with the raked share ``x`` of each cell.
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS, kept: float | None = None) -> DataFrame:
+    """``cells`` (dimensions, n) with the raked share ``x`` of each cell."""
+    return raked_within(cells, targets, tolerance, sweeps, kept)[0]
 
-    Where the targets contradict the combinations that occur, raking stops as
-    soon as a sweep brings the marginals no nearer; the last dimension then
-    fits and the others as nearly as that sweep left them.
+
+def raked_within(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOLERANCE, sweeps: int = SWEEPS,
+                 kept: float | None = None) -> tuple[DataFrame, float]:
+    """``cells`` (dimensions, n) with the raked share ``x`` of each cell, and the largest difference of a marginal from its target.
+
+    With ``kept``, x is at most the cell's natural share over it. A value's
+    factor is then a Newton step to its target over its cells below their
+    bounds, which never overshoots.
+
+    Where the targets contradict the combinations that occur, or the bounds,
+    raking stops when sweeps bring the marginals no nearer; the last dimension
+    then fits and the others as nearly as that sweep left them.
     """
     total = cells.agg(F.sum("n")).first()[0] or 0
-    current = saved(cells.withColumn("x", F.col("n") / F.lit(float(max(total, 1)))), "cells")
+    natural = F.col("n") / F.lit(float(max(total, 1)))
+    bound = natural / F.lit(kept) if kept else F.lit(float("inf"))
+    current = saved(cells.withColumn("y", natural), "cells")
     if not total:
-        return current
-    nearest = float("inf")
+        return current.withColumnRenamed("y", "x"), 0.0
+    x, full = F.least("y", bound), F.col("y") >= bound
+    nearest, farthest, stuck = float("inf"), float("inf"), 0
     for _ in range(sweeps):
         raked = current
         for d, target in targets.items():
-            factor = raked.groupBy(F.col(d).alias("key")).agg(F.sum("x").alias("m")) \
+            share, m = F.coalesce("share", F.lit(0.0)), F.col("c") + F.col("u")
+            factor = raked.groupBy(F.col(d).alias("key")).agg(F.sum(F.when(full, x).otherwise(0.0)).alias("c"), F.sum(F.when(full, 0.0).otherwise(x)).alias("u")) \
                 .join(target, F.col("key").eqNullSafe(F.col("value")), "left") \
-                .select("key", F.when(F.col("m") > 0, F.coalesce("share", F.lit(0.0)) / F.col("m")).otherwise(0.0).alias("f"))
-            raked = raked.join(factor, F.col(d).eqNullSafe(F.col("key"))).withColumn("x", F.col("x") * F.col("f")).drop("key", "f")
+                .select("key", F.when(m > share, share / m).when(F.col("u") > 0, (share - F.col("c")) / F.col("u")).otherwise(1.0).alias("f"))
+            raked = raked.join(factor, F.col(d).eqNullSafe(F.col("key"))).withColumn("y", F.col("y") * F.col("f")).drop("key", "f")
         raked = saved(raked.select(current.columns), "cells")
         discard(current)
         current = raked
         off = None
         for d, target in targets.items():
-            one = current.groupBy(F.col(d).alias("key")).agg(F.sum("x").alias("m")) \
+            one = current.groupBy(F.col(d).alias("key")).agg(F.sum(x).alias("m")) \
                 .join(target, F.col("key").eqNullSafe(F.col("value")), "left").select(F.abs(F.col("m") - F.coalesce("share", F.lit(0.0))).alias("off"))
             off = one if off is None else off.union(one)
         farthest = off.agg(F.max("off")).first()[0]
-        if farthest <= tolerance or farthest > 0.999 * nearest:
+        stuck = stuck + 1 if farthest > 0.999 * nearest else 0
+        if farthest <= tolerance or stuck >= (3 if kept else 1):
             break
-        nearest = farthest
-    return current
+        nearest = min(nearest, farthest)
+    return current.withColumn("x", x).drop("y"), farthest
 
 
-def drawing_scale(cells: DataFrame, keep: float, rounds: int = 6, grid: int = 64) -> float:
-    """The scale at which the expected tokens drawn, sum of n * min(1, scale * weight), are ``keep`` of all.
+def largest_share(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
+    """The largest kept share at which every value by itself has tokens enough for its target."""
+    total = float(max(cells.agg(F.sum("n")).first()[0] or 0, 1))
+    return min((m for d, target in targets.items() if (m := cells.groupBy(F.col(d).alias("key")).agg(F.sum("n").alias("m"))
+                .join(target, F.col("key").eqNullSafe(F.col("value"))).filter("share > 0")
+                .agg(F.min(F.col("m") / (F.col("share") * total))).first()[0]) is not None), default=1.0)
 
-    Each round is one aggregate over a grid of scales between the two bounds.
+
+def raked_draw(cells: DataFrame, targets: dict[str, DataFrame], keep: float) -> tuple[DataFrame, float, float]:
+    """``cells`` with ``x``, the kept share and the distance: of ``keep`` or the next smaller share tried that fits the targets.
+
+    If even raking without bounds does not fit them, the targets contradict
+    each other and the first try stands.
     """
-    total, least, some = cells.agg(F.sum("n"), F.min(F.when(F.col("w") > 0, F.col("w"))), F.sum(F.when(F.col("w") > 0, F.col("n")))).first()
-    if not total or least is None:
-        return 0.0
-    low, high, goal = 0.0, 1.0 / least, keep * total
-    if goal >= some:
-        return high
-    for _ in range(rounds):
-        at = [low + (high - low) * (i + 1) / grid for i in range(grid)]
-        sums = cells.agg(*[F.sum(F.col("n") * F.least(F.lit(1.0), F.col("w") * s)).alias(f"s{i}") for i, s in enumerate(at)]).first()
-        over = next((i for i, x in enumerate(sums) if x >= goal), grid - 1)
-        low, high = (at[over - 1] if over else low), at[over]
-    return high
+    most = largest_share(cells, targets)
+    kept = min(keep, 1.0) if most >= keep else BELOW * most
+    first = raked, off = raked_within(cells, targets, kept=kept)
+    if off <= TOLERANCE:
+        return raked, kept, off
+    free, off = raked_within(cells, targets)
+    if off > TOLERANCE:
+        return first[0], kept, first[1]
+    total = cells.agg(F.sum("n")).first()[0]
+    unbounded = 1.0 / free.filter("n > 0").agg(F.max(F.col("x") * float(total) / F.col("n"))).first()[0]
+    for _ in range(TRIES):
+        kept *= LESS
+        if kept <= unbounded:
+            break
+        raked, near = raked_within(cells, targets, kept=kept)
+        if near <= TOLERANCE:
+            return raked, kept, near
+    return free, min(keep, unbounded), off
 
 
 def draw(doc_id: Column, text_hash: Column) -> Column:
@@ -138,26 +174,26 @@ def draw(doc_id: Column, text_hash: Column) -> Column:
 
 
 def weighted(rows: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] = TEMPER, keep: float = KEEP) -> DataFrame:
-    """``rows`` (source, lang, topic, n_tokens, u, ...) with weight, probability and sampled. ``rows`` is read more than once."""
+    """``rows`` (source, lang, topic, n_tokens, u, ...) with weight, probability, sampled, kept_share and distance. ``rows`` is read more than once."""
     cells = saved(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n")), "cells")
     goal = {d: saved(normalised(cells, d, targets[d]) if targets and d in targets else tempered(cells, d, temper[d]), f"target-{d}") for d in DIMENSIONS}
-    raked = rake(cells, goal)
+    raked, kept, distance = raked_draw(cells, goal, keep)
     total = cells.agg(F.sum("n")).first()[0] or 0
-    scaled = saved(raked.withColumn("w", F.when(F.col("n") > 0, F.col("x") * float(max(total, 1)) / F.col("n")).otherwise(0.0)), "weights")
-    scale = drawing_scale(scaled, keep)
-    table = scaled.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * scale).alias("probability"))
+    scaled = saved(raked.withColumn("weight", F.when(F.col("n") > 0, F.col("x") * float(max(total, 1)) / F.col("n")).otherwise(0.0)), "weights")
+    table = scaled.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "weight", F.least(F.lit(1.0), F.col("weight") * kept).alias("probability"),
+                          F.lit(kept).alias("kept_share"), F.lit(distance).alias("distance"))
     match = [F.col(d).eqNullSafe(F.col(f"_{d}")) for d in DIMENSIONS]
     return rows.join(table, match).drop(*[f"_{d}" for d in DIMENSIONS]).withColumn("sampled", F.col("u") < F.col("probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
-    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every document."""
+    """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every document; kept_share and distance are those of the whole draw."""
     rows = described(docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), "text",
                                  *([F.col("topic").alias("own_topic")] if "topic" in docs.columns else [])), "topic", "n_tokens")
     if "topic" in docs.columns:
         rows = rows.withColumn("topic", F.col("own_topic"))
     rows = saved(rows.select("doc_id", "source", "lang", "topic", "n_tokens", draw(F.col("doc_id"), F.col("h")).alias("u")), "mix-rows")
-    return weighted(rows, targets, keep=keep).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled")
+    return weighted(rows, targets, keep=keep).select("doc_id", *DIMENSIONS, "n_tokens", "weight", "probability", "sampled", "kept_share", "distance")
 
 
 def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP) -> DataFrame:
