@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from fixture_dirs import SF_SMALL
 from txnrisk.sources import fixtures as FX
 from txnrisk.sources import ingest as IN
 

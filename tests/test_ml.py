@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from fixture_dirs import SF_SMALL
 from txnrisk.operators import metrics as M
 from txnrisk.operators import ml as ML
 from txnrisk.operators.features import engineer_features

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from fixture_dirs import SF_SMALL
 from tools.oracle_check import TABLES, rows_of
 
 SQL = E.oracle_sql()

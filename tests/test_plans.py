@@ -3,7 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK, SF_SMALL
+from fixture_dirs import SF_CHECK, SF_SMALL
 from txnrisk.operators import dashboard as D
 from txnrisk.operators.features import engineer_features
 from txnrisk.plans import catalog

@@ -1,7 +1,7 @@
 """A hot key (a third of all rows in one organization) stays correct and split."""
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from fixture_dirs import SF_CHECK
 from txnrisk.operators.features import _US, HOUR_US, emitted, engineer_features
 from txnrisk.sources.fixtures import txn_events
 
