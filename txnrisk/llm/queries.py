@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnrisk.llm import decontaminate, hilbert, language_id, merkle, mixing, packing, pii, repeats, secrets, simhash, warc
+from txnrisk.llm import audits, decontaminate, hilbert, language_id, merkle, mixing, packing, pii, repeats, secrets, simhash, warc
 from txnrisk.llm.common import read_table
 
 
@@ -54,12 +54,17 @@ def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
 ORACLE_SQL: dict[str, str] = {
     "op10_warc_salvage": warc.SQL,
+    "op11_structure_repair": audits.SQL,
     "op9_decontamination": decontaminate.SQL,
 }
 
