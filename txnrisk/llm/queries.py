@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnrisk.llm import audits, decontaminate, hilbert, language_id, merkle, mixing, packing, pii, repeats, secrets, simhash, warc
+from txnrisk.llm import audits, decontaminate, hilbert, language_id, merkle, mixing, packing, pii, repeats, secrets, simhash, spelling, warc
 from txnrisk.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL: dict[str, str] = {
     "op10_warc_salvage": warc.SQL,
     "op11_structure_repair": audits.SQL,
+    "op12_spelling_variants": spelling.SQL,
     "op9_decontamination": decontaminate.SQL,
 }
 
