@@ -45,7 +45,7 @@ from txnrisk.llm.common import numbered, saved
 CAPACITY = 2048
 END = bytes(4)              # id 0 closes a document
 STRETCH = 1 << 20           # code points of a text tokenised at once
-KNOWN = 1 << 18             # entries of a worker's tables of known words
+KNOWN = 1 << 19             # entries of a worker's table of known words
 BATCH = 1 << 14             # output rows held before they are passed on
 
 BLANK = re.compile(r"[ \n]")
@@ -72,14 +72,13 @@ class Words:
         self.ends = np.zeros(self.whole.get_vocab_size(), bool)
         for word, i in self.whole.get_vocab(with_added_tokens=False).items():
             self.ends[i] = word.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.blank_free: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def encoded(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.words]
+        new = list(words.difference(self.known))
         if not new:
             return
         ids = self.encoded(" ".join(new))
@@ -88,23 +87,21 @@ class Words:
             raise ValueError("a word has not exactly one last token: this tokenizer is no BPE with word ends")
         data, at = ids.tobytes(), 0
         for word, end in zip(new, ends.tolist(), strict=True):
-            self.words[word] = data[at:end]
+            self.known[word] = data[at:end]
             at = end
 
     def ids(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text):
             return self.encoded(text).tobytes()
         parts = text.lower().split()
-        new = {p for p in parts if p not in self.blank_free}
-        if len(self.blank_free) + len(new) > KNOWN:
-            self.blank_free, new = {}, set(parts)
-        if len(self.words) > KNOWN:
-            self.words = {}
-        found = {p: WORD.findall(p) for p in new}
-        self.learn({w for words in found.values() for w in words})
-        for p, words in found.items():
-            self.blank_free[p] = b"".join([self.words[w] for w in words])
-        return b"".join(map(self.blank_free.__getitem__, parts))
+        new = set(parts).difference(self.known)
+        if len(self.known) + 2 * len(new) > KNOWN:
+            self.known, new = {}, set(parts)
+        mixed = {p: WORD.findall(p) for p in new if not p.isalpha()}
+        self.learn({p for p in new if p not in mixed}.union(*mixed.values()))
+        for p, words in mixed.items():
+            self.known[p] = b"".join([self.known[w] for w in words])
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
