@@ -14,7 +14,8 @@ The draw is a hash of doc_id and text: a repeated run, a retried task and a
 repeated row all decide alike.
 
 Only the cell table, one row per combination that occurs, is iterated; each
-sweep is written to the shared folder. The driver gets scalars.
+dimension's step is one small write to the shared folder. The driver gets
+scalars.
 
 Defined results: null source, language or topic is a value of its own, shown
 as null. A null text has no token. Cells without a token have weight and
@@ -28,9 +29,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import reduce
 from zlib import crc32
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,34 +106,55 @@ def raked_within(cells: DataFrame, targets: dict[str, DataFrame], tolerance: flo
     """
     total = cells.agg(F.sum("n")).first()[0] or 0
     natural = F.col("n") / F.lit(float(max(total, 1)))
-    bound = natural / F.lit(kept) if kept else F.lit(float("inf"))
-    current = saved(cells.withColumn("y", natural), "cells")
+    current = cells.withColumn("y", natural).withColumn("_bound", natural / F.lit(kept) if kept else F.lit(float("inf")))
     if not total:
-        return current.withColumnRenamed("y", "x"), 0.0
-    x, full = F.least("y", bound), F.col("y") >= bound
-    nearest, farthest, stuck = float("inf"), float("inf"), 0
+        return saved(current.withColumnRenamed("y", "x").drop("_bound"), "cells"), 0.0
+    for d, target in targets.items():  # a cell knows its targets from here on
+        wanted = target.select(F.col("value").alias("_value"), F.col("share").alias(f"_goal_{d}"))
+        current = current.join(wanted, F.col(d).eqNullSafe(F.col("_value")), "left").drop("_value").fillna(0.0, [f"_goal_{d}"])
+    current = saved(current, "cells")
+    nearest, stuck, farthest = float("inf"), 0, float("inf")
     for _ in range(sweeps):
-        raked = current
-        for d, target in targets.items():
-            share, m = F.coalesce("share", F.lit(0.0)), F.col("c") + F.col("u")
-            factor = raked.groupBy(F.col(d).alias("key")).agg(F.sum(F.when(full, x).otherwise(0.0)).alias("c"), F.sum(F.when(full, 0.0).otherwise(x)).alias("u")) \
-                .join(target, F.col("key").eqNullSafe(F.col("value")), "left") \
-                .select("key", F.when(m > share, share / m).when(F.col("u") > 0, (share - F.col("c")) / F.col("u")).otherwise(1.0).alias("f"))
-            raked = raked.join(factor, F.col(d).eqNullSafe(F.col("key"))).withColumn("y", F.col("y") * F.col("f")).drop("key", "f")
-        raked = saved(raked.select(current.columns), "cells")
-        discard(current)
-        current = raked
-        off = None
-        for d, target in targets.items():
-            one = current.groupBy(F.col(d).alias("key")).agg(F.sum(x).alias("m")) \
-                .join(target, F.col("key").eqNullSafe(F.col("value")), "left").select(F.abs(F.col("m") - F.coalesce("share", F.lit(0.0))).alias("off"))
-            off = one if off is None else off.union(one)
-        farthest = off.agg(F.max("off")).first()[0]
-        stuck = stuck + 1 if farthest > 0.999 * nearest else 0
-        if farthest <= tolerance or stuck >= (3 if kept else 1):
-            break
-        nearest = min(nearest, farthest)
-    return current.withColumn("x", x).drop("y"), farthest
+        seen = []
+        for d in targets:
+            current, off = fitted(current, d)
+            seen.append(off)
+        stuck = stuck + 1 if max(seen) > 0.999 * nearest else 0
+        nearest = min(nearest, max(seen))
+        if max(seen) <= tolerance or stuck >= 3:
+            farthest = distance(current, list(targets))
+            if farthest <= tolerance or stuck >= 3:
+                break
+    else:
+        farthest = distance(current, list(targets))
+    return current.withColumn("x", F.least("y", "_bound")).drop("y", "_bound", *[f"_goal_{d}" for d in targets]), farthest
+
+
+def marginals(current: DataFrame, d: str) -> DataFrame:
+    """Per value of ``d`` the share in cells at their bounds (c) and below (u), the target, and how far the sum is from it."""
+    x, full = F.least("y", "_bound"), F.col("y") >= F.col("_bound")
+    return current.groupBy(F.col(d).alias("_key")).agg(F.sum(F.when(full, x).otherwise(0.0)).alias("_c"), F.sum(F.when(full, 0.0).otherwise(x)).alias("_u"), F.first(f"_goal_{d}").alias("_t")) \
+        .withColumn("_off", F.abs(F.col("_c") + F.col("_u") - F.col("_t")))
+
+
+def fitted(current: DataFrame, d: str) -> tuple[DataFrame, float]:
+    """``current`` scaled to the targets of ``d``, and how far the farthest value was from its target before.
+
+    One small plan of one shape per step, and one write, which also observes
+    the distance.
+    """
+    m = F.col("_c") + F.col("_u")
+    factor = F.when(m > F.col("_t"), F.col("_t") / m).when(F.col("_u") > 0, (F.col("_t") - F.col("_c")) / F.col("_u")).otherwise(1.0)
+    step, seen = marginals(current, d).select("_key", "_off", factor.alias("_f")), Observation()
+    scaled = current.join(step, F.col(d).eqNullSafe(F.col("_key"))).withColumn("y", F.col("y") * F.col("_f")).observe(seen, F.max("_off").alias("off"))
+    following = saved(scaled.select(current.columns), "cells")
+    discard(current)
+    return following, seen.get["off"] or 0.0
+
+
+def distance(current: DataFrame, dimensions: list[str]) -> float:
+    """The largest difference of a marginal from its target."""
+    return reduce(DataFrame.union, [marginals(current, d).select("_off") for d in dimensions]).agg(F.max("_off")).first()[0]
 
 
 def largest_share(cells: DataFrame, targets: dict[str, DataFrame]) -> float:
