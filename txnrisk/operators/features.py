@@ -36,8 +36,11 @@ way for every key and every size:
 4. *O(n) frames.* Own head and tails are cumulative frames, ascending and
    descending, which Spark evaluates incrementally.
 
-No step collects a group or sorts a key in one task. ``strategy="window"`` is
-the direct per-key formulation, kept as an executable specification for tests.
+No step collects a group or sorts a key in one task, but a key's block is one.
+Where one key may hold a large share of *all* rows within a few hours,
+``strategy="ranked"`` (``operators/ranked.py``) has no unit that depends on a
+key or an hour, for more shuffles of narrow rows. ``strategy="window"`` is the
+direct per-key formulation, kept as an executable specification for tests.
 """
 
 from __future__ import annotations
@@ -48,6 +51,7 @@ from pyspark.sql import types as T
 
 from txnrisk.functions import scalars as S
 from txnrisk.schema import DAY_NS, DAY_US, DERIVED_FEATURES
+from txnrisk.session import materialize
 
 HOUR_US = DAY_US // 24
 
@@ -57,6 +61,7 @@ _US = "_f_us"
 _SEQ = "_f_seq"
 _NS = "_f_ns"
 _UNITS = "_f_units"
+_RID = "_f_rid"
 
 
 def _floor_div(name: str, d: int) -> Column:
@@ -246,8 +251,10 @@ def engineer_features(
 
     Extra input columns (e.g. a row id) pass through untouched. ``ratio`` is
     ``"serving"`` (zero/NULL average → 0) or ``"training"`` (amount/(avg+1e-6)).
-    ``strategy`` is ``"blocked"`` (skew-safe, default) or ``"window"``;
-    ``block_us`` is the blocks' width in µs, at most 8 h and a divisor of 24 h.
+    ``strategy`` is ``"blocked"`` (default), ``"ranked"`` (any skew within an
+    hour; needs ``amount_scale``, as its sums are differences; it writes
+    intermediate tables when called) or ``"window"``; ``block_us`` is the
+    blocks' width in µs, at most 8 h and a divisor of 24 h.
     """
     if DAY_US % block_us or DAY_US // block_us < 3:
         raise ValueError("engineer_features: block_us must divide 24 h and be at most 8 h")
@@ -265,6 +272,14 @@ def engineer_features(
         facts = [block_facts(x, key, "amount", _UNITS, "transaction_id", p, block_us) for key, p in keys]
         for (key, p), f in zip(keys, facts, strict=True):
             x = _key_features_blocked(x, key, "amount", _UNITS, "transaction_id", p, f, block_us)
+    elif strategy == "ranked":
+        from txnrisk.operators.ranked import key_features
+        if amount_scale is None:
+            raise ValueError("engineer_features: strategy 'ranked' needs an amount_scale")
+        x = written = materialize(x.withColumn(_RID, F.monotonically_increasing_id()))
+        for key, p in keys:
+            x = x.join(key_features(written.select(F.col(_RID).alias("rid"), F.col(key).alias("k"), F.col(_US).alias("us"), F.col(_SEQ).alias("seq"), F.col("amount").cast("double").alias("amount"),
+                                             F.col(_UNITS).alias("units"), F.col("transaction_id").isNotNull().cast("long").alias("has_tid")), p), F.col(_RID) == F.col("rid")).drop("rid")
     elif strategy == "window":
         for key, p in keys:
             x = _key_features_window(x, key, "amount", _UNITS, "transaction_id", p)

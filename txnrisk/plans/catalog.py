@@ -73,6 +73,12 @@ def q_engineer_features_orders(spark, sf_dir):
     return _features(spark, sf_dir, "txn_orders")
 
 
+@query("engineer_features_ranked", _feat_sql("txn_orders", O._PASS + ", " + O.FEATURE_COLUMNS))
+def q_engineer_features_ranked(spark, sf_dir):
+    """The same features by global rank, the strategy for any skew inside an hour."""
+    return _features(spark, sf_dir, "txn_orders", strategy="ranked")
+
+
 def _feature_subset(name: str, cols: list[str], view: str = "txn_orders"):
     sql = _feat_sql(view, "transaction_id, " + ", ".join(cols))
 
