@@ -1,8 +1,12 @@
 """A hot key (a third of all rows in one organization) stays correct and split."""
+import pytest
 from pyspark.sql import functions as F
 
 from fixture_dirs import SF_CHECK
+from txnrisk.operators import ranked
 from txnrisk.operators.features import _US, HOUR_US, emitted, engineer_features
+from txnrisk.operators.ranking import in_ranges
+from txnrisk.session import materialize
 from txnrisk.sources.fixtures import txn_events
 
 
@@ -21,6 +25,42 @@ def test_hot_key_results_equal_direct_windows(spark):
     assert a == b
 
 
+def within_one_hour(spark):
+    """90 % of the rows of organization 0, most of them of user 1, and all within one hour; ties, days before and after, nulls."""
+    n = F.col("id")
+    hot = n % 10 != 0
+    us = F.when(hot, n * 7919 % 3600 * F.lit(1_000_000) + F.when(n % 3 == 0, n % 1000).otherwise(F.lit(0))) \
+        .otherwise(n * 104_729 % 500_000 * F.lit(1_000_000) - F.lit(200_000_000_000))
+    return spark.range(4000).select(
+        F.when(n % 501 != 7, n).alias("transaction_id"), n.alias("row_id"),
+        F.when(n % 97 != 3, (n * 31 % 9973) / F.lit(100)).alias("amount"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + us).alias("date"),
+        F.when(n % 83 == 5, None).when(hot & (n % 4 != 0), F.lit(1)).otherwise(n % 13).alias("user_id"),
+        F.when(n % 89 == 6, None).when(hot, F.lit(0)).otherwise(n % 7).alias("organization_id"))
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_ranked_features_of_a_hot_hour_equal_direct_windows(spark, monkeypatch, block):
+    monkeypatch.setattr(ranked.key_features, "__defaults__", (block,))
+    src = materialize(within_one_hour(spark))
+    assert src.filter("organization_id = 0").count() / src.count() > 0.85
+    a = engineer_features(src, seq="row_id", amount_scale=2, strategy="ranked").orderBy("row_id").collect()
+    b = engineer_features(src, seq="row_id", amount_scale=2, strategy="window").orderBy("row_id").collect()
+    assert a == b
+    assert max(r["rolling_count_24hr_user"] for r in a) > 1000
+
+
+def test_ranked_units_are_bounded(spark):
+    rows = materialize(within_one_hour(spark).select(F.col("row_id").alias("rid"), F.col("organization_id").alias("k"), F.unix_micros("date").alias("us"), F.col("row_id").alias("seq"),
+                                                     "amount", F.round(F.col("amount") * 100).cast("long").alias("units"), F.lit(1).cast("long").alias("has_tid")))
+    n, parts = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = in_ranges(rows, [F.col(c) for c in ("k", "us", "seq", "rid")], "_part", "_local")
+    assert ranges.groupBy("_part", "k").count().agg(F.max("count")).first()[0] < 2 * n / parts
+    x = ranked.in_blocks(ranked.ordered_rows(rows), 64)
+    assert x.groupBy("k", "blk").count().agg(F.max("count")).first()[0] == 64
+    starts = ranked.frame_starts(x, 64)
+    assert starts.filter("blk - a_blk > 1").select("k", "a_blk", "blk").distinct().count() <= 2 * x.select("k", "blk").distinct().count()
+
+
 def units(src, width_us):
     """Emitted rows and the largest (key, block) unit for the organization key."""
     x = src.withColumn(_US, F.unix_micros("date")).select("organization_id", _US, "transaction_id")
@@ -57,7 +97,7 @@ def test_order_statistics_collect_a_bounded_number_of_rows(spark, monkeypatch):
         return rows
 
     monkeypatch.setattr(DataFrame, "collect", counted)
-    monkeypatch.setattr(ranking, "BINS", 16)
+    monkeypatch.setattr(ranking, "GROUPS", 3)
     df = spark.range(50_000).select((F.col("id") * 7919 % 50_021 / 7).alias("x"))
     values = sorted(i * 7919 % 50_021 / 7 for i in range(50_000))
     for k in (0, 1, 777, 49_999):
@@ -71,3 +111,52 @@ def test_order_statistics_of_repeated_and_extreme_values(spark):
     values = sorted([0.0] * 50 + [-1e300, 1e300, 5e-324, 1.5, 1.5] + [2.0] * 50)
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
     assert [value_at_rank(df, "x", k) for k in (0, 1, 50, 51, 52, 60, 104, 105)] == [values[0], values[1], values[50], values[51], values[52], values[60], values[104], None]
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 3.0, float("inf")], [1.0, 2.0, float("nan"), 3.0, None], [-1.7e308, 0.0, 1.0, 1.7e308], [float("-inf")] * 3 + [0.0] * 40 + [float("inf")] * 3,
+    [2.0 ** (i - 1000) for i in range(2000)], [7.0] * 3000 + [8.0], [float("nan"), None], [],
+], ids=["infinity", "nan", "huge", "masses", "powers", "point", "none", "empty"])
+def test_order_statistics_take_two_scans_of_any_column(spark, monkeypatch, values):
+    from txnrisk.operators import ranking
+    written, plain = [], ranking.materialize
+    monkeypatch.setattr(ranking, "materialize", lambda df: written.append(1) or plain(df))
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    real = sorted(v for v in values if v is not None and v == v)
+    for k in {0, len(real) // 2, len(real) - 1}:
+        written.clear()
+        assert ranking.value_at_rank(df, "x", k) == (real[k] if real else None)
+        assert len(written) <= 3     # the sketch, the bracket's counts, their ranges
+    if real:
+        at = (len(real) - 1) * 0.95
+        low, high, part = real[int(at)], real[min(int(at) + 1, len(real) - 1)], at - int(at)
+        assert ranking.exact_quantile(df, "x", 0.95) == (low if low == high or not part else low + (high - low) * part if high - low < float("inf") else low * (1 - part) + high * part)
+    else:
+        assert ranking.exact_quantile(df, "x", 0.95) is None
+
+
+def test_a_missed_bracket_is_noticed(spark, monkeypatch):
+    from txnrisk.operators import ranking
+    plain = ranking._bracket
+    df = spark.range(500).select((F.col("id") * 37 % 500).alias("x"))
+    for low, high in ((400.0, 450.0), (-5.0, 100.0), (250.0, 250.0)):
+        monkeypatch.setattr(ranking, "_bracket", lambda vals, k, q, low=low, high=high: (*plain(vals, k, q)[:2], low, high))
+        assert ranking.exact_quantile(df, "x", 0.501) == 0.501 * 499
+
+
+def test_the_cohort_shuffles_the_rows_once(spark, monkeypatch):
+    from txnrisk.operators import labels
+    from txnrisk.operators import ranking
+    df = spark.createDataFrame([(i % 400, i) for i in range(2000)] + [(None, 1)], "user_id long, transaction_id long")
+    sources, plain = [], labels.materialize
+
+    def counted(x):
+        sources.append(x._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return plain(x)
+
+    monkeypatch.setattr(labels, "materialize", counted)
+    predicate = labels.cohort_predicate(df, frac=0.1)
+    assert sources == [1]
+    users = {r[0] for r in df.filter(predicate).select("user_id").distinct().collect()}
+    assert len(users) == 40 == labels.fraud_cohort(df, frac=0.1).count()
+    assert ranking.smallest_k(labels.hashed_keys(df, "user_id", labels.SEED), "_h", 10_000, "user_id").count() == 400

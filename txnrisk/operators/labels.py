@@ -19,6 +19,7 @@ from txnrisk.schema import (
     BASE_FRAUD_RATE, COHORT_FRACTION, COHORT_RELABEL_P, SEED, TAIL_QUANTILE,
     TAIL_SAMPLE_FRACTION,
 )
+from txnrisk.session import materialize
 
 
 def hash_key60(seed: str, key: str | Column) -> Column:
@@ -45,15 +46,17 @@ def label_rate(df: DataFrame, label: str = "is_fraud") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast(T.DoubleType())).alias("fraud_rate"))
 
 
+def hashed_keys(df: DataFrame, key: str, seed: int) -> DataFrame:
+    """The distinct non-null keys with their cohort hash ``_h``, written once: the input is shuffled for them one time."""
+    return materialize(df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_h", hash_key60(f"{seed}:cohort", key)))
+
+
 def fraud_cohort(df: DataFrame, frac: float = COHORT_FRACTION, key: str = "user_id",
                  seed: int = SEED) -> DataFrame:
     """The ``int(frac · n_distinct)`` keys with the smallest
     ``md5(seed:cohort:key)`` — an exact-size, deterministic cohort."""
-    users = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    users = users.withColumn("_h", hash_key60(f"{seed}:cohort", key))
-    n = users.count()
-    m = int(n * frac)
-    return smallest_k(users, "_h", m, key, n=n).select(key)
+    users = hashed_keys(df, key, seed)
+    return smallest_k(users, "_h", int(users.count() * frac), key).select(key)
 
 
 def cohort_rows(df: DataFrame, cohort: DataFrame, key: str = "user_id") -> DataFrame:
@@ -86,11 +89,8 @@ def cohort_predicate(df: DataFrame, frac: float = COHORT_FRACTION, key: str = "u
     no join (no shuffle of the rows by key, so a hot key cannot skew it).
     Returns None in the practically impossible case of a hash tie at the cut,
     where the caller falls back to the cohort join."""
-    users = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    users = users.withColumn("_h", hash_key60(f"{seed}:cohort", key))
-    n = users.count()
-    m = int(n * frac)
-    v, exact = smallest_k_cutoff(users, "_h", m, n=n)
+    users = hashed_keys(df, key, seed)
+    v, exact = smallest_k_cutoff(users, "_h", int(users.count() * frac))
     if not exact:
         return None
     if v is None:

@@ -1,11 +1,15 @@
 """Exact order statistics without funnelling a column through one task.
 
 ``percentile``/``ORDER BY … LIMIT k`` would hold every value (or every
-candidate) in a single task. Instead the interval that holds the wanted rank
-is narrowed by fixed-size histograms: a grouped count over ``BINS`` equal
-ranges between its ends, of which the one that holds the rank becomes the
-next interval, until its ends meet. Every round is one partially aggregated
-pass and returns at most ``BINS`` rows, whatever the size of the column.
+candidate) in a single task. Here a mergeable quantile sketch of bounded size
+brackets the wanted rank, and one more pass counts the rows below the bracket
+and every distinct value inside it, with partial sums before the shuffle. The
+bracket's values are ranged and summed, so the column is scanned twice,
+whatever its values: point masses are one value, and powers of two, huge
+ranges or infinities change nothing. Should a sketch ever miss the rank,
+which the counts show, the second pass runs once more without a bracket.
+
+NULL and NaN are no values. Infinities are the least and the greatest one.
 """
 
 from __future__ import annotations
@@ -17,59 +21,86 @@ from pyspark.sql import functions as F
 
 from txnrisk.session import materialize
 
-BINS = 1024
-
-
-def _at_rank(vals: DataFrame, k: int):
-    """``(value, rows strictly below it, its multiplicity)`` at 0-based rank ``k`` of column ``v``."""
-    low, high = vals.agg(F.min("v"), F.max("v")).first()
-    below = 0
-    while low != high:
-        place = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.lit(low)) / (F.lit(high) - F.lit(low)) * BINS))
-        bins = (vals.filter((F.col("v") >= F.lit(low)) & (F.col("v") <= F.lit(high))).groupBy(place.alias("b"))
-                .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
-        for r in sorted(bins, key=lambda r: r["lo"]):
-            if below + r["n"] > k:
-                low, high = r["lo"], r["hi"]
-                break
-            below += r["n"]
-    return low, below, vals.filter(F.col("v") == F.lit(low)).count()
+GROUPS = 256           # groups of partitions in which sketches are merged first
+SKETCH_K = 4096        # size of a sketch: about 100 KB
+SKETCH_ERROR = 0.003   # rank error allowed for, several times that of a sketch of this size
+
+
+def _bracket(vals: DataFrame, k: int | None, q: float | None) -> tuple[int, int, float, float]:
+    """``(n, rank, low, high)``: the number of values, the wanted 0-based rank
+    (``k``, or that of quantile ``q``) and values as doubles between which it
+    and the next one lie, all but certainly. One scan."""
+    grouped = vals.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).groupBy("g").agg(
+        F.kll_sketch_agg_double(F.col("v").cast("double"), F.lit(SKETCH_K)).alias("s"), F.count("v").alias("n"))
+    whole = materialize(grouped.agg(F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"), F.sum("n").alias("n")))
+    n = whole.first()["n"] or 0
+    rank = math.floor((n - 1) * q) if k is None else k
+    if not 0 <= rank < n:
+        return n, rank, 0.0, 0.0
+    ends = (max(0.0, rank / n - SKETCH_ERROR), min(1.0, (rank + 2) / n + SKETCH_ERROR))
+    low, high = whole.select(*[F.kll_sketch_get_quantile_double("s", F.lit(e)) for e in ends]).first()
+    return n, rank, low if ends[0] > 0 else -math.inf, high if ends[1] < 1 else math.inf
+
+
+def _at_rank(vals: DataFrame, k: int | None = None, q: float | None = None):
+    """``(n, value, rows strictly below it, its multiplicity, the next rank's value)``
+    at 0-based rank ``k``, or at the rank below quantile ``q``, of column ``v``."""
+    n, k, low, high = _bracket(vals, k, q)
+    if not 0 <= k < n:
+        return n, None, 0, 0, None
+    as_double = F.col("v").cast("double")
+    while True:
+        inside = vals.filter(as_double <= F.lit(high)).withColumn("v", F.when(as_double >= F.lit(low), F.col("v")))
+        counts = materialize(inside.groupBy("v").agg(F.count("*").alias("n")))
+        ranged = in_ranges(counts.filter("v IS NOT NULL"), [F.col("v")], "part", "local")
+        below = counts.filter("v IS NULL").agg(F.sum("n")).first()[0] or 0
+        sums = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect())   # one row per range
+        found, start = {}, below
+        for part, m in sums:
+            for rank in (k, k + 1):
+                if start <= rank < start + m:
+                    found[rank] = (part, start)
+            start += m
+        if k in found and (k + 1 in found or k + 1 == n):
+            break
+        low, high = -math.inf, math.inf
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("local").rowsBetween(Window.unboundedPreceding, -1))
+    starts = {part: at for part, at in found.values()}
+    offset = F.coalesce(*[F.when(F.col("part") == p, F.lit(at)) for p, at in starts.items()])
+    rows = ranged.filter(F.col("part").isin(list(starts))).withColumn("before", offset + F.coalesce(running, F.lit(0)))
+    rows = rows.filter((F.col("before") <= max(found)) & (F.col("before") + F.col("n") > min(found))).select("v", "before", "n").collect()   # two at most
+    at = {r: next(x for x in rows if x["before"] <= r < x["before"] + x["n"]) for r in found}
+    return n, at[k]["v"], at[k]["before"], at[k]["n"], at[k + 1]["v"] if k + 1 in at else None
 
 
 def _values(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    kind = df.schema[col].dataType.typeName()
+    vals = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
+    return vals.filter(~F.isnan("v")) if kind in ("double", "float") else vals
 
 
-def value_at_rank(df: DataFrame, col: str, k: int, n: int | None = None):
+def value_at_rank(df: DataFrame, col: str, k: int):
     """The value at 0-based position ``k`` of ``col`` sorted ascending (NULLs
     ignored), or None when ``k`` is out of range. Exact."""
-    vals = _values(df, col)
-    if n is None:
-        n = vals.count()
-    if k < 0 or k >= n:
-        return None
-    return _at_rank(vals, k)[0]
+    return _at_rank(_values(df, col), k)[1]
 
 
 def exact_quantile(df: DataFrame, col: str, q: float):
     """Quantile with linear interpolation between closest ranks (the pandas /
     ``quantile_cont`` definition). Exact, None on empty input."""
-    vals = _values(df, col)
-    n = vals.count()
-    if n == 0:
-        return None
+    n, low, _, _, high = _at_rank(_values(df, col), q=q)
     pos = (n - 1) * q
-    lo_i, hi_i = math.floor(pos), math.ceil(pos)
-    lo, below, times = _at_rank(vals, lo_i)
-    # the next rank is the same value or the smallest one above it
-    hi = lo if hi_i < below + times else vals.filter(F.col("v") > F.lit(lo)).agg(F.min("v")).first()[0]
-    return lo + (hi - lo) * (pos - lo_i)
+    part = pos - math.floor(pos)
+    if n == 0 or part == 0 or low == high:
+        return low
+    step = high - low
+    return low + step * part if math.isfinite(step) else low * (1 - part) + high * part
 
 
-def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str, n: int | None = None) -> DataFrame:
+def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str) -> DataFrame:
     """The ``k`` rows with the smallest ``(key, tiebreak)``, exactly.
 
-    The k-th key value ``v`` is found by narrowing; rows below it
+    The k-th key value ``v`` is found first; rows below it
     are a filter. Only when ``v`` is shared by more rows than needed is its
     tie group ordered by ``tiebreak`` (its size is the multiplicity of one
     key value).
@@ -77,12 +108,9 @@ def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str, n: int | None = N
     if k <= 0:
         return df.limit(0)
     valid = df.filter(F.col(key).isNotNull())
-    vals = _values(df, key)
-    if n is None:
-        n = vals.count()
+    n, v, c_less, mult, _ = _at_rank(_values(df, key), k - 1)
     if k >= n:
         return valid
-    v, c_less, mult = _at_rank(vals, k - 1)
     if c_less + mult == k:
         return valid.filter(F.col(key) <= F.lit(v))
     ties = valid.filter(F.col(key) == F.lit(v)).orderBy(tiebreak).limit(k - c_less)
@@ -110,18 +138,16 @@ def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out
     return x.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_rb", "_rk", "_rbb", "_off")
 
 
-def smallest_k_cutoff(df: DataFrame, key: str, k: int, n: int | None = None):
+def smallest_k_cutoff(df: DataFrame, key: str, k: int):
     """``(v, exact)`` such that ``key <= v`` selects exactly the ``k`` smallest
     keys when ``exact`` is True (no tie straddles the cut). ``v`` is None when
     ``k <= 0`` (select nothing). When ``exact`` is False, use ``smallest_k``."""
     if k <= 0:
         return None, True
     vals = _values(df, key)
-    if n is None:
-        n = vals.count()
+    n, v, c_less, mult, _ = _at_rank(vals, k - 1)
     if k >= n:
         return (vals.agg(F.max("v")).first()[0], True)
-    v, c_less, mult = _at_rank(vals, k - 1)
     return v, c_less + mult == k
 
 
