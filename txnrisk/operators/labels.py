@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnrisk.functions import scalars as S
-from txnrisk.operators.ranking import exact_quantile, smallest_k, smallest_k_cutoff
+from txnrisk.operators.ranking import exact_quantile, smallest_k, smallest_share_cutoff
 from txnrisk.schema import (
     BASE_FRAUD_RATE, COHORT_FRACTION, COHORT_RELABEL_P, SEED, TAIL_QUANTILE,
     TAIL_SAMPLE_FRACTION,
@@ -90,7 +90,7 @@ def cohort_predicate(df: DataFrame, frac: float = COHORT_FRACTION, key: str = "u
     Returns None in the practically impossible case of a hash tie at the cut,
     where the caller falls back to the cohort join."""
     users = hashed_keys(df, key, seed)
-    v, exact = smallest_k_cutoff(users, "_h", int(users.count() * frac))
+    v, exact = smallest_share_cutoff(users, "_h", frac)
     if not exact:
         return None
     if v is None:

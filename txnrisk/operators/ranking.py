@@ -15,6 +15,7 @@ NULL and NaN are no values. Infinities are the least and the greatest one.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,41 +23,41 @@ from pyspark.sql import functions as F
 from txnrisk.session import materialize
 
 GROUPS = 256           # groups of partitions in which sketches are merged first
+STEPS = 1000           # quantiles read off a sketch
 SKETCH_K = 4096        # size of a sketch: about 100 KB
 SKETCH_ERROR = 0.003   # rank error allowed for, several times that of a sketch of this size
 
 
-def _bracket(vals: DataFrame, k: int | None, q: float | None) -> tuple[int, int, float, float]:
+def _bracket(vals: DataFrame, rank_of: Callable[[int], int]) -> tuple[int, int, float, float]:
     """``(n, rank, low, high)``: the number of values, the wanted 0-based rank
-    (``k``, or that of quantile ``q``) and values as doubles between which it
-    and the next one lie, all but certainly. One scan."""
+    of n and values as doubles between which it and the next one lie, all but
+    certainly. One scan; the sketch's quantiles at ``STEPS`` even ranks come back."""
     grouped = vals.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(GROUPS))).groupBy("g").agg(
         F.kll_sketch_agg_double(F.col("v").cast("double"), F.lit(SKETCH_K)).alias("s"), F.count("v").alias("n"))
-    whole = materialize(grouped.agg(F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"), F.sum("n").alias("n")))
-    n = whole.first()["n"] or 0
-    rank = math.floor((n - 1) * q) if k is None else k
+    ranks = F.array(*[F.lit(i / STEPS) for i in range(STEPS + 1)])
+    n, at = grouped.agg(F.sum("n").alias("n"), F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s")) \
+        .select("n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("s", ranks))).first()
+    n = n or 0
+    rank = rank_of(n)
     if not 0 <= rank < n:
         return n, rank, 0.0, 0.0
-    ends = (max(0.0, rank / n - SKETCH_ERROR), min(1.0, (rank + 2) / n + SKETCH_ERROR))
-    low, high = whole.select(*[F.kll_sketch_get_quantile_double("s", F.lit(e)) for e in ends]).first()
-    return n, rank, low if ends[0] > 0 else -math.inf, high if ends[1] < 1 else math.inf
+    first, last = math.floor((rank / n - SKETCH_ERROR) * STEPS), math.ceil(((rank + 2) / n + SKETCH_ERROR) * STEPS)
+    return n, rank, at[first] if first > 0 else -math.inf, at[last] if last < STEPS else math.inf
 
 
-def _at_rank(vals: DataFrame, k: int | None = None, q: float | None = None):
+def _at_rank(vals: DataFrame, rank_of: Callable[[int], int]):
     """``(n, value, rows strictly below it, its multiplicity, the next rank's value)``
-    at 0-based rank ``k``, or at the rank below quantile ``q``, of column ``v``."""
-    n, k, low, high = _bracket(vals, k, q)
+    at the 0-based rank that ``rank_of`` gives for n, of column ``v``."""
+    n, k, low, high = _bracket(vals, rank_of)
     if not 0 <= k < n:
         return n, None, 0, 0, None
-    as_double = F.col("v").cast("double")
+    as_double, inner = F.col("v").cast("double"), F.col("v").isNotNull()
     while True:
-        inside = vals.filter(as_double <= F.lit(high)).withColumn("v", F.when(as_double >= F.lit(low), F.col("v")))
-        counts = materialize(inside.groupBy("v").agg(F.count("*").alias("n")))
-        ranged = in_ranges(counts.filter("v IS NOT NULL"), [F.col("v")], "part", "local")
-        below = counts.filter("v IS NULL").agg(F.sum("n")).first()[0] or 0
-        sums = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n")).collect())   # one row per range
-        found, start = {}, below
-        for part, m in sums:
+        inside = vals.filter(as_double <= F.lit(high)).withColumn("v", F.when(as_double >= F.lit(low), F.col("v")))   # NULL: below the bracket
+        ranged = in_ranges(inside.groupBy("v").agg(F.count("*").alias("n")), [F.col("v")], "part", "local")
+        sums = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum(F.when(inner, F.col("n")).otherwise(0)), F.sum(F.when(inner, 0).otherwise(F.col("n")))).collect())   # one row per range
+        found, start = {}, sum(b for *_, b in sums)
+        for part, m, _ in sums:
             for rank in (k, k + 1):
                 if start <= rank < start + m:
                     found[rank] = (part, start)
@@ -64,6 +65,7 @@ def _at_rank(vals: DataFrame, k: int | None = None, q: float | None = None):
         if k in found and (k + 1 in found or k + 1 == n):
             break
         low, high = -math.inf, math.inf
+    ranged = ranged.filter(inner)
     running = F.sum("n").over(Window.partitionBy("part").orderBy("local").rowsBetween(Window.unboundedPreceding, -1))
     starts = {part: at for part, at in found.values()}
     offset = F.coalesce(*[F.when(F.col("part") == p, F.lit(at)) for p, at in starts.items()])
@@ -82,13 +84,13 @@ def _values(df: DataFrame, col: str) -> DataFrame:
 def value_at_rank(df: DataFrame, col: str, k: int):
     """The value at 0-based position ``k`` of ``col`` sorted ascending (NULLs
     ignored), or None when ``k`` is out of range. Exact."""
-    return _at_rank(_values(df, col), k)[1]
+    return _at_rank(_values(df, col), lambda n: k)[1]
 
 
 def exact_quantile(df: DataFrame, col: str, q: float):
     """Quantile with linear interpolation between closest ranks (the pandas /
     ``quantile_cont`` definition). Exact, None on empty input."""
-    n, low, _, _, high = _at_rank(_values(df, col), q=q)
+    n, low, _, _, high = _at_rank(_values(df, col), lambda n: math.floor((n - 1) * q))
     pos = (n - 1) * q
     part = pos - math.floor(pos)
     if n == 0 or part == 0 or low == high:
@@ -108,7 +110,7 @@ def smallest_k(df: DataFrame, key: str, k: int, tiebreak: str) -> DataFrame:
     if k <= 0:
         return df.limit(0)
     valid = df.filter(F.col(key).isNotNull())
-    n, v, c_less, mult, _ = _at_rank(_values(df, key), k - 1)
+    n, v, c_less, mult, _ = _at_rank(_values(df, key), lambda n: k - 1)
     if k >= n:
         return valid
     if c_less + mult == k:
@@ -138,17 +140,13 @@ def keyed_row_number(df: DataFrame, key: str, order_cols: list[str], bucket, out
     return x.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_rb", "_rk", "_rbb", "_off")
 
 
-def smallest_k_cutoff(df: DataFrame, key: str, k: int):
-    """``(v, exact)`` such that ``key <= v`` selects exactly the ``k`` smallest
-    keys when ``exact`` is True (no tie straddles the cut). ``v`` is None when
-    ``k <= 0`` (select nothing). When ``exact`` is False, use ``smallest_k``."""
-    if k <= 0:
-        return None, True
-    vals = _values(df, key)
-    n, v, c_less, mult, _ = _at_rank(vals, k - 1)
-    if k >= n:
-        return (vals.agg(F.max("v")).first()[0], True)
-    return v, c_less + mult == k
+def smallest_share_cutoff(df: DataFrame, key: str, share: float):
+    """``(v, exact)`` such that ``key <= v`` selects exactly the ``int(share * n)``
+    smallest of the n keys when ``exact`` is True (no tie straddles the cut).
+    ``v`` is None when that is no key. When ``exact`` is False, use
+    ``smallest_k``."""
+    n, v, c_less, mult, _ = _at_rank(_values(df, key), lambda n: int(n * share) - 1)
+    return v, v is None or c_less + mult == int(n * share)
 
 
 def in_ranges(df: DataFrame, order: list[Column], part: str, local: str) -> DataFrame:
