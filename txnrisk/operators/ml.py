@@ -21,6 +21,7 @@ population one): the factor √((n-1)/n) only rescales the coefficients.
 from __future__ import annotations
 
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -28,7 +29,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,15 +209,31 @@ def fraud_probability(model: PipelineModel | FixedModel, df: DataFrame) -> DataF
 # --- S10 -------------------------------------------------------------------------------
 
 def save_model(model: PipelineModel, path: str) -> str:
-    model.write().overwrite().save(path)
+    """Publish ``model`` under ``path``: its files go to a folder of their own,
+    and only then one row of the manifest names that folder. A reader gets the
+    model before or this one, never half of it; a save that is lost on the way
+    leaves a folder that nothing names."""
+    spark, version = SparkSession.active(), uuid.uuid4().hex
+    model.write().save(f"{path}/versions/{version}")
+    number = max((r["number"] for r in _published(path)), default=0) + 1
+    spark.createDataFrame([(number, version)], "number long, version string").coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return path
 
 
+def _published(path: str) -> list:
+    """The manifest's rows, newest first; one per save."""
+    try:
+        return SparkSession.active().read.schema("number long, version string").parquet(f"{path}/manifest") \
+            .orderBy(F.desc("number"), F.desc("version")).collect()
+    except AnalysisException:   # nothing published yet
+        return []
+
+
 def load_model_or_none(path: str) -> PipelineModel | None:
-    """The saved pipeline, or None when it is absent or unreadable
-    ("predictions unavailable")."""
+    """The newest published pipeline, or None when there is none or it is
+    unreadable ("predictions unavailable")."""
     try:
-        return PipelineModel.load(path)
+        return PipelineModel.load(f"{path}/versions/{_published(path)[0]['version']}")
     except Exception:  # noqa: BLE001 — any load failure means "no model"
         return None
 

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 
 from txnrisk.functions import scalars as S
 from txnrisk.operators import dashboard as D
+from txnrisk.operators import dictionary as DI
 from txnrisk.operators import features as FE
 from txnrisk.operators import labels as L
 from txnrisk.operators import metrics as M
 from txnrisk.operators import ml as ML
 from txnrisk.plans import oracle as O
-from txnrisk.schema import DERIVED_FEATURES, RAW_COLUMNS, SEED
+from txnrisk.schema import CATEGORICAL_FEATURES, DERIVED_FEATURES, RAW_COLUMNS, SEED
 from txnrisk.sources import fixtures as FX
 from txnrisk.sources import ingest as IN
 from txnrisk.session import materialize
@@ -642,6 +643,33 @@ def q_category_index(spark, sf_dir):
     return model.transform(t.select("transaction_type").distinct())
 
 
+_LEVELS = "\nUNION ALL ".join(
+    f"SELECT {i} AS o, '{c}' AS feature, CAST({c} AS VARCHAR) AS level FROM t" for i, c in enumerate(CATEGORICAL_FEATURES))
+_DICTIONARY_SQL = O.with_views("txn_events") + f""",
+t AS (SELECT *, hour(date) AS hour_of_day, isodow(date) - 1 AS day_of_week, month(date) AS month, day(date) AS day_of_month FROM txn_events),
+entries AS (SELECT DISTINCT * FROM ({_LEVELS}) u WHERE level IS NOT NULL),
+dictionary AS (SELECT feature, level, CAST(row_number() OVER (PARTITION BY o ORDER BY level) - 1 AS BIGINT) AS index,
+                      CAST(row_number() OVER (ORDER BY o, level) - 1 AS BIGINT) AS place FROM entries)
+"""
+
+
+def _dictionary(spark, sf_dir):
+    t = FE.add_calendar_features(FX.txn_events(spark, sf_dir))
+    return t, DI.build_dictionary(t, CATEGORICAL_FEATURES)
+
+
+@query("category_dictionary", _DICTIONARY_SQL + "SELECT feature, level, index, place FROM dictionary")
+def q_category_dictionary(spark, sf_dir):
+    return _dictionary(spark, sf_dir)[1].levels
+
+
+@query("one_hot_places", _DICTIONARY_SQL + "SELECT transaction_id, array_to_string(list_sort(list(place)), ',') AS places FROM (\n" + "\nUNION ALL ".join(
+    f"SELECT t.transaction_id, d.place FROM t JOIN dictionary d ON d.feature = '{c}' AND d.level = CAST(t.{c} AS VARCHAR)" for c in CATEGORICAL_FEATURES) + ") e GROUP BY transaction_id")
+def q_one_hot_places(spark, sf_dir):
+    t, dictionary = _dictionary(spark, sf_dir)
+    return DI.with_places(t, dictionary, "hot").select("transaction_id", F.array_join(F.col("hot").cast("array<string>"), ",").alias("places"))
+
+
 def _train_test(spark, sf_dir):
     # the windowed features and the final split are each read by several passes
     # (quantile, cohort, class cut-offs, every solver iteration): write them once
