@@ -160,3 +160,22 @@ def test_the_cohort_shuffles_the_rows_once(spark, monkeypatch):
     users = {r[0] for r in df.filter(predicate).select("user_id").distinct().collect()}
     assert len(users) == 40 == labels.fraud_cohort(df, frac=0.1).count()
     assert ranking.smallest_k(labels.hashed_keys(df, "user_id", labels.SEED), "_h", 10_000, "user_id").count() == 400
+
+
+def test_rows_of_hot_keys_are_spread_for_the_join_with_their_facts(spark):
+    from txnrisk.operators import features
+    src = spark.range(8000).select(F.col("id").alias("transaction_id"), F.when(F.col("id") % 10 < 6, F.lit(1)).when(F.col("id") % 10 < 9, F.lit(2)).when(F.col("id") % 7 > 0, F.col("id")).alias("user_id"),
+                                   (F.col("id") % 50 / 2).alias("amount"))
+    facts = src.filter("user_id IS NOT NULL").groupBy(F.col("user_id").alias("_key")).agg(F.count("*").alias("_n"), F.max("amount").alias("m"))
+    hot = features.hot_keys(facts, "_key", "_n")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["_hot"] for r in hot.collect()} == {1, 2} and hot.count() < parts
+    units = [r["count"] for r in features.salted(src, "user_id", hot).groupBy("user_id", "_salt").count().collect() if r["user_id"] is not None]
+    assert max(units) <= 1.25 * 8000 / parts and sum(units) == src.filter("user_id IS NOT NULL").count()
+    got = features.amount_stats(src, "user_id", "user", 2).orderBy("transaction_id").collect()
+    rows = src.orderBy("transaction_id").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["user_id"], []).append(r["amount"])
+    assert [(r["transaction_id"], r["user_max_amount"], r["user_avg_amount"]) for r in got] == [
+        (r["transaction_id"], *((max(by[r["user_id"]]), sum(by[r["user_id"]]) / len(by[r["user_id"]])) if r["user_id"] is not None else (None, None))) for r in rows]

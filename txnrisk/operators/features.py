@@ -317,28 +317,53 @@ def engineer_features(
     return x.select(*passthrough, *[derived[c].alias(c) for c in DERIVED_FEATURES])
 
 
+def hot_keys(facts: DataFrame, key: str, rows: str) -> DataFrame:
+    """``(_hot, _salts)``: the keys with more rows than a shuffle partition's
+    share, which are fewer than the partitions, and how many shares they hold."""
+    parts = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = facts.select(F.sum(rows)).scalar()
+    shares = F.col(rows) * F.lit(parts) / total
+    return facts.filter(shares > 1).select(F.col(key).alias("_hot"), F.ceil(shares).cast("int").alias("_salts"))
+
+
+def salted(df: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """``df`` with ``_salt``: a hot key's rows are dealt to its shares by a hash of the row, the others have 0."""
+    content = F.xxhash64(*[F.col(f.name) for f in df.schema if f.dataType.typeName() not in ("map", "variant")])
+    return df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left") \
+        .withColumn("_salt", F.coalesce(F.pmod(content, F.col("_salts")), F.lit(0))).drop("_hot", "_salts")
+
+
+def join_facts(df: DataFrame, facts: DataFrame, key: str, rows: str) -> DataFrame:
+    """``df`` left-joined to ``facts`` (``_key``, ``rows`` and more; one row per key).
+
+    A hot key's facts are copied once per share, so its rows spread over as
+    many tasks as they fill. The hot keys are fewer than the shuffle
+    partitions, which bounds what is broadcast.
+    """
+    hot = hot_keys(facts, "_key", rows)
+    copies = facts.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left") \
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts", rows)
+    return salted(df, key, hot).join(copies, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_copy")), "left").drop("_key", "_salt", "_copy")
+
+
 def amount_stats(df: DataFrame, key: str, prefix: str, amount_scale: int | None = None) -> DataFrame:
     """A4 / A5: every row with its key's mean and max amount: one partial
-    aggregate, joined back. A NULL key has none."""
+    aggregate, joined back with the rows of hot keys spread. A NULL key has none."""
     units = money_units("amount", amount_scale)
     stats = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
-        F.sum(units).alias("_s"), F.count("amount").alias("_c"), F.max("amount").cast(T.DoubleType()).alias(f"{prefix}_max_amount"))
+        F.sum(units).alias("_s"), F.count("amount").alias("_c"), F.max("amount").cast(T.DoubleType()).alias(f"{prefix}_max_amount"), F.count("*").alias("_n"))
     mean = F.when(F.col("_c") > 0, units_to_money(F.col("_s"), amount_scale) / F.col("_c"))
-    return df.join(stats.withColumn(f"{prefix}_avg_amount", mean).drop("_s", "_c"), F.col(key) == F.col("_key"), "left").drop("_key")
+    return join_facts(df, stats.withColumn(f"{prefix}_avg_amount", mean).drop("_s", "_c"), key, "_n")
 
 
 def rolling_order_key(df: DataFrame, key: str, seq: str = "transaction_id") -> DataFrame:
     """The per-key ordinal (0-based position in ``(date, seq)`` order) and
     the strictly increasing order key ``epoch_µs·1000 + ordinal``. Rows are
     ranged by key, date and seq together, so a key of any size spreads over
-    ranges; a row's ordinal is its global place less its key's first place."""
-    from txnrisk.operators.ranking import in_ranges, range_starts
-
-    us = F.unix_micros(F.col("date"))
-    x = in_ranges(df.withColumn(_US, us), [F.col(key), F.col(_US), F.col(seq)], "_part", "_local")
-    starts = range_starts(x, "_part", {"n": F.count("*")}).drop("n_all")
-    x = x.join(F.broadcast(starts), "_part").withColumn("_place", F.col("n_before") + F.col("_local"))
-    first = x.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
-    ordinal = F.col("_place") - F.col("_first")
-    return x.join(first, F.col(key).eqNullSafe(F.col("_key"))).select(
-        *df.columns, ordinal.alias("ordinal"), (F.col(_US) * F.lit(1000) + ordinal).alias("order_key_ns"))
+    ranges; its rows in earlier ranges come from one row per key and range."""
+    from txnrisk.operators.ranked import before
+    from txnrisk.operators.ranking import in_ranges
+
+    x = df.select(F.struct(*df.columns).alias("row"), F.col(key).alias("k"), F.unix_micros("date").alias("us"), F.col(seq).alias("seq"))
+    x = before(in_ranges(x, [F.col("k"), F.col("us"), F.col("seq")], "_part", "_local"), {"ordinal": F.lit(1)})
+    return x.select("row.*", "ordinal", (F.col("us") * F.lit(1000) + F.col("ordinal")).alias("order_key_ns"))

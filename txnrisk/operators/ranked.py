@@ -39,7 +39,7 @@ from txnrisk.session import materialize
 BLOCK = 1024     # rows of a key whose frames are searched row by row
 
 
-def _before(table: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def before(table: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """``table`` (ranged: k, _part, _local) with the totals of ``sums`` over the key's rows before each row.
 
     A piece's offset comes from one row per piece; inside, sums run along the
@@ -68,7 +68,7 @@ def ordered_rows(rows: DataFrame) -> DataFrame:
     here = Window.partitionBy("_part", "k").orderBy("_local")
     x = _with_pieces(r, facts).withColumn("_prev", F.coalesce(F.lag("us").over(here), F.col("_last")))
     x = x.withColumn("since", F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise((F.col("us") - F.col("_prev")) / F.lit(1_000_000.0)))
-    x = _before(x.select(*r.columns, "since", "ksum", "kcnt", "kmax"),
+    x = before(x.select(*r.columns, "since", "ksum", "kcnt", "kmax"),
                 {"ordinal": F.lit(1), "ps": F.coalesce("units", F.lit(0)), "pc": F.col("amount").isNotNull().cast("long"), "pt": F.col("has_tid")})
     return materialize(x.withColumn("ns", F.col("us") * F.lit(1000) + F.col("ordinal")).drop("_part", "_local", "seq"))
 
@@ -99,7 +99,7 @@ def frame_starts(x: DataFrame, block: int) -> DataFrame:
     ahead = first.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.last("_first", ignorenulls=True).over(later).alias("_ahead"))
     here = Window.partitionBy("_part", "k").orderBy(F.col("_local").desc()).rowsBetween(Window.unboundedPreceding, 0)
     e2 = _with_pieces(e, ahead).withColumn("_next", F.coalesce(F.last(F.when(is_row, F.struct("next_max")), ignorenulls=True).over(here), F.col("_ahead")))
-    e2 = _before(e2.select(*e.columns, "_next"), {"a": F.col("kind").cast("long"), "as": F.col("_units"), "ac": F.col("_has"), "at": F.col("_tid")})
+    e2 = before(e2.select(*e.columns, "_next"), {"a": F.col("kind").cast("long"), "as": F.col("_units"), "ac": F.col("_has"), "at": F.col("_tid")})
     return e2.filter(~is_row).select("k", "q.*", "a", "as", "ac", "at", F.col("_next.next_max").alias("a_rest"), F.floor(F.col("a") / block).alias("a_blk"))
 
 
