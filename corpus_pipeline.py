@@ -18,10 +18,10 @@ ORACLE_SQL = None
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents like a learned language; rejected are those without a letter and those unlike every one in letters or trigrams."""
+    """Documents like a learned language, a null ``lang`` filled with it; rejected are those without a letter and those unlike every one in letters or trigrams."""
     lang, score, known = fresh(docs, "_lang_pred"), fresh(docs, "_score"), fresh(docs, "_known")
     labelled = language_id.predict(docs, language_id.fit(docs), lang_pred=lang, score=score, known=known)
-    return labelled.filter(F.col(known)).drop(lang, score, known)
+    return labelled.filter(F.col(known)).withColumn("lang", F.coalesce("lang", lang)).drop(lang, score, known)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
