@@ -130,3 +130,23 @@ def test_a_page_landed_again_counts_once_and_newest(spark):
 def test_payloads_are_parsed_once(spark):
     plan = IN.page_table(FX.api_pages(spark, SF_SMALL))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_payloads_are_shuffled_only_where_a_page_repeats(spark):
+    schema = "org_id long, page long, payload string"
+    rows = [page(1, 1, 100), page(1, 2, 7, 100), page(2, 1, 3), (None, 1, "[]"), (3, None, None)]
+    once = IN.page_table(spark.createDataFrame(rows, schema))
+    assert "Exchange" not in plan_of(once)
+    assert once.count() == len(rows)
+    more = spark.createDataFrame([*rows, page(1, 1, 100, 500), (None, 1, "[]"), (3, None, "{}")], schema)
+    assert "Exchange" in plan_of(IN.page_table(more))
+    got = IN.page_table(more).collect()
+    assert sorted((r.org_id or 0, r.page or 0, r.bad, r.n) for r in got) == sorted(
+        [(1, 1, False, 100), (1, 2, False, 7), (2, 1, False, 3), (0, 1, False, 0), (3, 0, True, None)], key=str)
+    assert next(r.records for r in got if (r.org_id, r.page) == (1, 1)) == max(
+        (r.records for r in IN.page_table(spark.createDataFrame([page(1, 1, 100)], schema)).union(IN.page_table(spark.createDataFrame([page(1, 1, 100, 500)], schema))).collect()),
+        key=lambda rs: int(rs[0]["id"]))

@@ -67,6 +67,22 @@ def union_pages(*pages: DataFrame) -> DataFrame:
     return out
 
 
+def newest_rows(rows: DataFrame, order: Column, columns: list[str]) -> DataFrame:
+    """``org_id, page`` and ``columns`` of each page's row with the largest ``order``.
+
+    The pages that landed more than once are found by their numbers alone and
+    written; only their rows are shuffled and compared, all others pass
+    straight from the scan. Reads ``rows`` when called, and once more when used.
+    """
+    narrow = rows.groupBy(F.col("org_id").alias("_org"), F.col("page").alias("_page")).count().filter("count > 1").drop("count")
+    again = materialize(narrow)
+    if again.isEmpty():
+        return rows.select("org_id", "page", *columns)
+    same = F.col("org_id").eqNullSafe(F.col("_org")) & F.col("page").eqNullSafe(F.col("_page"))
+    best = rows.join(again, same, "left_semi").groupBy("org_id", "page").agg(F.max_by(F.struct(*columns), order).alias("r"))
+    return rows.join(again, same, "left_anti").select("org_id", "page", *columns).unionByName(best.select("org_id", "page", "r.*"))
+
+
 def page_table(pages: DataFrame) -> DataFrame:
     """One parsed row per page: ``org_id, page, bad, n, records``.
 
@@ -74,10 +90,10 @@ def page_table(pages: DataFrame) -> DataFrame:
     (the larger text without or within a batch). A page is bad when its
     payload is not a complete JSON array: the text must begin with ``[`` (an
     error object would parse as an array of nulls) and parse. Each payload is
-    parsed once.
+    parsed once, and shuffled only where its page landed more than once.
     """
     batch = F.col("batch") if "batch" in pages.columns else F.lit(0)
-    newest = pages.groupBy("org_id", "page").agg(F.max_by("payload", F.struct(batch.alias("b"), F.col("payload").alias("p"))).alias("payload"))
+    newest = newest_rows(pages, F.struct(batch.alias("b"), F.col("payload").alias("p")), ["payload"])
     array = F.coalesce(F.ltrim(F.col("payload")).startswith("["), F.lit(False))
     parsed = newest.select("org_id", "page", F.when(array, F.from_json("payload", PAGE_ARRAY)).alias("records"))
     return parsed.select("org_id", "page", F.col("records").isNull().alias("bad"),
@@ -86,8 +102,7 @@ def page_table(pages: DataFrame) -> DataFrame:
 
 def newest_pages(table: DataFrame, batch: str) -> DataFrame:
     """``page_table`` rows of several batches → the newest of each page."""
-    return (table.groupBy("org_id", "page").agg(F.max_by(F.struct("bad", "n", "records"), batch).alias("r"))
-            .select("org_id", "page", "r.*"))
+    return newest_rows(table, F.col(batch), ["bad", "n", "records"])
 
 
 def pages_to_read(table: DataFrame, limit: int | None = None) -> DataFrame:
