@@ -87,3 +87,27 @@ def test_chain_is_one_component(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0 and S.keep_one(docs).count() == 0
+
+
+@pytest.mark.parametrize("bits", [2, 3, 4, 7])
+def test_pieces_lie_outside_their_segment(bits):
+    for (low, width), masks in zip(S.segments(bits // 2 + 1), S.pieces(bits), strict=True):
+        own = ((1 << width) - 1) << low
+        assert len(masks) == bits + 1 and all(masks)
+        assert sum(masks) == (1 << 64) - 1 - own and sum(m.bit_count() for m in masks) == 64 - width     # disjoint, whole, none inside
+
+
+def test_no_piece_keeps_a_hot_group_whole(spark):
+    rnd = random.Random(8)
+    (low, width), segment = S.segments(3)[0], 0
+    own = ((1 << width) - 1) << low
+    prints = [rnd.getrandbits(64) & ~own for _ in range(2000)]            # all share every variant of the first segment
+    for mask in S.pieces()[segment]:
+        sizes = {}
+        for p in prints:
+            sizes[p & mask] = sizes.get(p & mask, 0) + 1
+        assert max(sizes.values()) < 60
+    near = prints[:50] + [p ^ (1 << rnd.randrange(low + width, 64)) for p in prints[:50]]
+    df = spark.createDataFrame([(S.signed(p),) for p in sorted({*prints, *near})], "fp long")
+    got = {frozenset(r) for r in S.links(df, 4, 100).collect()}
+    assert {frozenset((S.signed(a), S.signed(b))) for a, b in zip(near[:50], near[50:], strict=True)} <= got

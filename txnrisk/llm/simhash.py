@@ -76,20 +76,29 @@ def segments(n: int, total: int = 64) -> list[tuple[int, int]]:
 
 
 def variants(prints: DataFrame, bits: int = BITS) -> DataFrame:
-    """One row per fingerprint and one-wildcard variant: the variant's key and the fingerprint.
+    """One row per fingerprint and one-wildcard variant: the variant's key, the fingerprint and the segment's number.
 
     A key is the masked segment with the wildcard's number in the bits that
     the mask leaves free at the top or, for the top segment, at the bottom.
     """
     rows = []
-    for low, width in segments(bits // 2 + 1):
+    for seg, (low, width) in enumerate(segments(bits // 2 + 1)):
         for j in range(low, low + width):
             mask = ((1 << width) - 1) << low & ~(1 << j)
             tag = j << (0 if low >= 16 else 40)
-            rows.append((signed(mask), signed(tag)))
-    pairs = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(t).alias("tag")) for m, t in rows])
+            rows.append((signed(mask), signed(tag), seg))
+    pairs = F.array(*[F.struct(F.lit(m).alias("mask"), F.lit(t).alias("tag"), F.lit(s).alias("seg")) for m, t, s in rows])
     return (prints.select("fp", F.explode(pairs).alias("v"))
-            .select(F.col("fp").bitwiseAND(F.col("v.mask")).bitwiseOR(F.col("v.tag")).alias("key"), "fp"))
+            .select(F.col("fp").bitwiseAND(F.col("v.mask")).bitwiseOR(F.col("v.tag")).alias("key"), "fp", F.col("v.seg").alias("seg")))
+
+
+def pieces(bits: int = BITS) -> list[list[int]]:
+    """Per segment ``bits + 1`` masks that cut all bits outside it, of which two fingerprints at most ``bits`` apart agree on one."""
+    out = []
+    for low, width in segments(bits // 2 + 1):
+        outside = [b for b in range(64) if not low <= b < low + width]
+        out.append([sum(1 << b for b in outside[at:at + w]) for at, w in segments(bits + 1, len(outside))])
+    return out
 
 
 def signed(x: int) -> int:
@@ -167,10 +176,9 @@ def links(prints: DataFrame, bits: int = BITS, split: int = SPLIT) -> DataFrame:
         found = compare_groups(index, ["key"], bits)
     else:
         found = compare_groups(index.join(large, "key", "left_anti"), ["key"], bits)
-        pieces = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(signed(((1 << w) - 1) << low)).alias("mask"))
-                           for i, (low, w) in enumerate(segments(bits + 1))])
-        hot = (index.join(large, "key", "left_semi").select("key", "fp", F.explode(pieces).alias("p"))
-               .select("key", F.col("p.i").alias("piece"), F.col("fp").bitwiseAND(F.col("p.mask")).alias("part"), "fp"))
+        masks = F.array(*[F.array(*[F.lit(signed(m)) for m in own]) for own in pieces(bits)])
+        hot = (index.join(large, "key", "left_semi").select("key", "fp", F.posexplode(F.get(masks, F.col("seg"))).alias("piece", "mask"))
+               .select("key", F.col("piece").cast("long").alias("piece"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp"))
         found = found.union(compare_groups(hot, ["key", "piece", "part"], bits))
     return found.distinct()
 
