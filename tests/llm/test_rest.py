@@ -137,6 +137,20 @@ def test_cell_borders_are_quantiles_of_all_rows(spark):
     assert none.size == 0 and got.size == 15 and np.abs(share(got) - share(want)).max() < 0.03
 
 
+def test_cells_of_sources_with_a_common_prefix(spark):
+    """Equal-frequency cells in the order of the whole text, one hot source, nulls."""
+    names = [f"https://example.org/corpus/{i:04d}é" for i in range(400)]
+    rows = [(n,) for n in names for _ in range(3)] + [(names[200],)] * 600 + [(None,)] * 5
+    df = spark.createDataFrame(rows, "source string").repartition(4)
+    cells = {r.source: r.c for r in df.withColumn("c", hilbert.text_cells(df, "source", 4)).distinct().collect()}
+    assert cells.pop(None) == 0 and [cells[n] for n in names] == sorted(cells.values())
+    at = {n: sum(1 for r in rows if r[0] is not None and r[0] < n) * 16 // 1800 for n in names}
+    place = {c: i for i, c in enumerate(sorted(set(at.values())))}
+    assert cells == {n: place[c] for n, c in at.items()} and len(place) > 10
+    none = spark.createDataFrame([(None,)], "source string")
+    assert none.select(hilbert.text_cells(none, "source").alias("c")).first().c == 0
+
+
 def test_curve_shards_prune(spark):
     """A range on one dimension touches fewer shards than with rows dealt at random."""
     got = hilbert.shard_documents(read_table(spark, SF, "documents")).toPandas()

@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Metadata dimensions (text size, source, doc_id) are quantised to equal-
+Metadata dimensions (text size, source by its whole value, doc_id) are quantised to equal-
 frequency cells, the cells' Hilbert index orders the rows, and runs of that
 order become shards. Rows that are near in all dimensions share a shard, so
 each file's statistics cover a small box and filters on any of the dimensions
@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnrisk.llm.common import as_array, fresh, numbered
+from txnrisk.llm.common import as_array, discard, fresh, numbered, saved, tasks
 
 SHARDS = 16
 BITS = 8            # bits of a quantised dimension
@@ -60,9 +60,29 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def leading_number(x: Column) -> Column:
-    """An order-preserving number of a string's first six UTF-8 bytes."""
-    return F.conv(F.rpad(F.hex(F.substring(x.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+def text_cells(df: DataFrame, name: str, bits: int = BITS) -> Column:
+    """The equal-frequency cell, 0 to 2 ** bits - 1, of the whole text in column ``name``; null is in the lowest.
+
+    The distinct texts are counted and ranged, and the smallest of each cell
+    is its border: at most 2 ** bits texts reach the driver.
+    """
+    counts = df.groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n")).filter("v IS NOT NULL")
+    table = saved(counts.repartitionByRange(tasks(df.sparkSession), "v").sortWithinPartitions("v").withColumn("part", F.spark_partition_id()), "texts")
+    sums = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.sum("n").alias("n")).collect())   # one row per range
+    total = sum(n for _, n in sums)
+    if not total:
+        return F.lit(0)
+    starts, before = [], 0
+    for part, n in sums:
+        starts.append((part, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, "part int, start long")
+    earlier = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1))
+    placed = table.withColumn("before", F.coalesce(earlier, F.lit(0))).join(F.broadcast(offsets), "part")
+    cell = F.floor((F.col("start") + F.col("before")) / F.lit(total) * (1 << bits))
+    borders = sorted(r["v"] for r in placed.groupBy(cell.alias("cell")).agg(F.min("v").alias("v")).collect())
+    discard(table)
+    return F.coalesce(F.size(F.filter(F.array(*[F.lit(v) for v in borders[1:]]), lambda v: v <= F.col(name))), F.lit(0)) if borders[1:] else F.lit(0)
 
 
 def text_size(text: Column) -> Column:
@@ -124,7 +144,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     shard, slot = fresh(docs, "shard"), fresh(docs, "slot")
     packed = docs.select(F.struct("*").alias("doc"), text_size(F.col("text")).alias("size"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"),
                          F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    rows = with_shards(packed, [F.col("size"), leading_number(F.col("source")), F.col("doc_id")],
+    source = text_cells(packed, "source")
+    rows = with_shards(packed, [F.col("size"), source, F.col("doc_id")],
                        [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards)
     return rows.select("doc.*", F.col("shard").alias(shard), F.col("slot").alias(slot))
 
@@ -133,7 +154,8 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     rows = docs.select("doc_id", text_size(F.col("text")).alias("size"),
                        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.col("source").alias("source"))
-    rows = with_shards(rows, [F.col("size"), leading_number(F.col("source")), F.col("doc_id")],
+    source = text_cells(rows, "source")
+    rows = with_shards(rows, [F.col("size"), source, F.col("doc_id")],
                        [F.col("doc_id"), F.col("text_crc32"), F.col("size")], shards)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
