@@ -20,6 +20,7 @@ from txnrisk.operators import dashboard as D
 from txnrisk.operators import dictionary as DI
 from txnrisk.operators import features as FE
 from txnrisk.operators import labels as L
+from txnrisk.operators import logistic as LG
 from txnrisk.operators import metrics as M
 from txnrisk.operators import ml as ML
 from txnrisk.plans import oracle as O
@@ -670,6 +671,17 @@ def q_one_hot_places(spark, sf_dir):
     return DI.with_places(t, dictionary, "hot").select("transaction_id", F.array_join(F.col("hot").cast("array<string>"), ",").alias("places"))
 
 
+@query("table_model_gradient", _DICTIONARY_SQL + """
+SELECT feature, count(*) AS levels, 0.0::DOUBLE AS gradient FROM dictionary WHERE feature IN ('user_id', 'transaction_type', 'device_type') GROUP BY feature
+UNION ALL SELECT 'amount', 1, 0.0::DOUBLE FROM (SELECT 1 FROM t LIMIT 1) x
+UNION ALL SELECT '(intercept)', 1, 0.0::DOUBLE FROM (SELECT 1 FROM t LIMIT 1) x""")
+def q_table_model_gradient(spark, sf_dir):
+    """M5 with its coefficients as a table: per feature the coefficients fitted and the largest gradient left at the optimum (of the mean loss, to 3 places)."""
+    t = FX.txn_events(spark, sf_dir)
+    model = LG.fit_table_model(t, numeric=["amount"], categorical=["user_id", "transaction_type", "device_type"], tolerance=3e-4)
+    return model.named().groupBy("feature").agg(F.count("*").alias("levels"), F.round(F.max(F.abs("gradient")) / t.select(F.count("*")).scalar(), 3).alias("gradient"))
+
+
 def _train_test(spark, sf_dir):
     # the windowed features and the final split are each read by several passes
     # (quantile, cohort, class cut-offs, every solver iteration): write them once
