@@ -58,7 +58,7 @@ def test_whole_table(spark, query, plain, kinds):
 
 
 def test_long_texts_are_linear():
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "@" * 300_000, "password " * 30_000, "a.b@c" * 60_000):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "@" * 300_000, "a b " * 75_000 + "1.2.3.4", "1.2.3.4|" * 40_000 + "\n" + "1.2.3.4|" * 40_000, "\t\n" * 150_000 + "a@b.c", "x (at) " * 40_000, "1 (2) " * 50_000, "password " * 30_000, "a.b@c" * 60_000):
         pii.scan([text])
         secrets.scan([text])
 
@@ -93,6 +93,66 @@ def test_pattern_scores(spark):
     assert got == pytest.approx(graph_by_hand(edges, 3))
 
 
+def patterns_by_definition(text, kind, s, e):
+    """Patterns of the span from the whole lines, without any index."""
+    first = text.rfind("\n", 0, s) + 1
+    line = text[first:(text + "\n").index("\n", e)]
+    tokens = [(m.start() + first, m.end() + first, "#" if m[0].isdecimal() else m[0].lower()) for m in re.finditer(r"[^\W\d_]+|\d+", line)]
+    last_two = lambda names: (["^", "^"] + names)[-2:]
+    found = [("<", *last_two([n for _, end, n in tokens if end <= s]))]
+    lines, at = text.split("\n"), text.count("\n", 0, s)
+    shape = lambda x: re.sub(r"[^\t|]", "", x)
+    head = at
+    while head and shape(line) and shape(lines[head - 1]) == shape(line):
+        head -= 1
+    if head < at:
+        cell = re.split(r"[\t|]", lines[head])[len(shape(text[first:s]))]
+        found.append(("/", *last_two(["#" if t.isdecimal() else t.lower() for t in re.findall(r"[^\W\d_]+|\d+", cell)])))
+    found = [f"{kind} {place} {a} {b}" for place, a, b in found if a.isalpha() or b.isalpha()]
+    after = [n for start, _, n in tokens if start >= e][:1]
+    return found + [f"{kind} > {n}" for n in after if n.isalpha()]
+
+
+def bootstrap_by_hand(texts, rounds, min_score, min_seeds):
+    """Spans that the method adds to each text."""
+    nodes = []
+    for d, t in enumerate(texts):
+        base = pii.base_spans(t)
+        nodes += [(p, f"{k} {t[s:e].lower()}", (k, s, e) in base, d, f"{k}:{s}:{e}") for k, s, e in base + pii.alike_spans(t, base) for p in patterns_by_definition(t, k, s, e)]
+    seeds = {n[1] for n in nodes if n[2]}
+    held = {}
+    for n in nodes:
+        held.setdefault(n[0], set()).add(n[1])
+    edges = sorted({(n[0], n[1], any(m[:3] == (n[0], n[1], True) for m in nodes) if n[1] in seeds else False) for n in nodes if len(held[n[0]]) > 1})
+    score = graph_by_hand(edges, rounds)
+    good = {p for p, x in score.items() if x >= min_score and sum(e[0] == p and e[2] for e in edges) >= min_seeds}
+    return [sorted({n[4] for n in nodes if n[3] == d and n[0] in good and not n[2]}) for d in range(len(texts))]
+
+
+FORMS = [f"Name: Ann{chr(97 + i)}\nTel.: +1 (743) 555-38{i:02d}\nPhone 2: +44 20 7946 09{i:02d}\nmail ann{i}@host{i}.org privately\n" for i in range(12)]
+FORMS += ["Tel.: 743 555 9911\nPhone 7: (20) 7946-0123\n", "Tel.: n/a\nInvoice: 2024-01-05 22 10", "write joe(at)host(dot)org privately", "see joe(at)host(dot)org publicly", "Phone 3:" + " " * 200 + "743 555 1234"]
+FORMS += ["no|kind of|home phone|since\n" + "\n".join(f"{i}|x|+1 (512) 555-{4000 + i}|{1900 + i}-01-02" for i in range(9)) + "\n10|y|512 555 7788|1950-01-02\n", "a|b\n1|512 555 7789\n"]
+
+
+def test_labels_forms_and_tables_discover(spark):
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(FORMS)), "doc_id long, text string")).collect()}
+    base = {i: {f"{k}:{s}:{e}" for k, s, e in base_pii(t)} for i, t in enumerate(FORMS)}
+    added = {i: [FORMS[i][int(s):int(e)] for k, s, e in (x.split(":") for x in r.spans.split(",") if x and x not in base[i])] for i, r in got.items()}
+    assert {i: x for i, x in added.items() if x} == {12: ["743 555 9911", "(20) 7946-0123"], 14: ["joe(at)host(dot)org"], 16: ["743 555 1234"], 17: ["512 555 7788"]}
+
+
+@pytest.mark.parametrize("rounds, min_score, min_seeds", [(3, 0.8, 3), (2, 0.3, 1), (0, 0.5, 2)])
+def test_bootstrap_against_brute_force(spark, rounds, min_score, min_seeds):
+    rnd = random.Random(7)
+    words = ["Tel", "call", "at", "the", "9", "|", "|", "\t", "\n", "\n", ": ", " ", " ", "+1 (743) 555-3824", "+1 (743) 555-3825", "743 555 9911", "512 555 7788", "a.b@c.de", "x(at)y", "1.2.3.4", "1.2.3.400", "é"]
+    texts = FORMS + ["".join(rnd.choices(words, k=rnd.randint(0, 40))) for _ in range(150)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), rounds, min_score, min_seeds).collect()}
+    base = [{f"{k}:{s}:{e}" for k, s, e in pii.base_spans(t)} for t in texts]
+    want = bootstrap_by_hand(texts, rounds, min_score, min_seeds)
+    assert any(want) and [sorted(x for x in got[i].spans.split(",") if x and x not in base[i]) for i in range(len(texts))] == want
+    assert [got[i].n_discovered for i in range(len(texts))] == [len(x) for x in want]
+
+
 def test_weak_parts_need_their_complement(spark):
     key = "9f8A7s6D5f4G3h2J1k0LqWeR"
     rows = [(1, f"login: bob\nkey {key}\nhost=db.example.com", "id:0:10,secret:15:39"), (2, f"x {key} alone", ""), (3, None, ""),
