@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -45,13 +47,47 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert M.edited_fingerprints(docs.limit(0)).count() == 0
 
 
+def located(spark, pairs):
+    """For every pair of texts: the places of differing paragraphs on either side."""
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair long, a string, b string")
+    df = M.with_tree(M.with_tree(df, "a", "_a", "fa"), "b", "_b", "fb").select("pair", F.col("fa").alias("a"), F.col("fb").alias("b"))
+    found = [{"a": [], "b": []} for _ in pairs]
+    for r in M.locate_edits(df).collect():
+        found[r.pair][r.side].append((r.section, r.paragraph))
+    return [(sorted(f["a"]), sorted(f["b"])) for f in found]
+
+
 def test_edits_are_located(spark):
     a = "First line of a.\nSecond line.\n\nNew section, one.\nIts end."
-    b = a.replace("Second", "Changed")
-    df = spark.createDataFrame([(a, b), (a, a), ("", a)], "a string, b string")
-    df = M.with_tree(M.with_tree(df, "a", "ta", "fa"), "b", "tb", "fb")
-    found = [r.e for r in df.select(M.locate_edits(F.col("fa"), F.col("fb")).alias("e")).collect()]
-    assert [(x.section, x.paragraph) for x in found[0]] == [(0, 1)] and found[1] == []
+    lines = "one\ntwo\nthree\ntwo\nfour"
+    pairs = [(a, a.replace("Second", "Changed")), (a, a), ("", a), ("", ""), (None, a),
+             (lines, "one\nthree\ntwo\ntwo\nfour"), (lines, "one\ntwo\nthree\nfour"), (lines, lines.replace("four", "two\nfour")),
+             ("s\n\nt\n\nu", "t\n\ns\n\nu"), ("s\n\nt\n\nu", "s\n\nu"), ("x\n" * 500, "x\n" * 499),
+             ("x\n\n\nfoo\n\n", "\nfoo\n\nx\n\n")]
+    want = [([(0, 1)], [(0, 1)]), ([], []), ([], [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]), ([], []), ([], [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1)]),
+            ([(0, 1), (0, 2)], [(0, 1), (0, 2)]), ([(0, 3)], []), ([], [(0, 4)])]
+    got = located(spark, pairs)
+    assert got[:8] == want
+    assert all(p[0] in (0, 1) for side in got[8] for p in side) and got[8][0] and got[8][1]
+    assert {p[0] for p in got[9][0]} == {1} and got[9][1] == [] and got[10] == ([(0, 499)], []) and got[11][0] and got[11][1]
+
+
+def test_what_is_not_located_is_common(spark):
+    """Random edits: without the located paragraphs both texts hold the same ones; equal texts, and only those, have none."""
+    rnd = random.Random(4)
+    pairs = []
+    for _ in range(150):
+        a = rnd.choices(["p\n", "q\n", "r\n", "s.\n", "\n"], k=rnd.randint(0, 12))
+        b = list(a)
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randint(0, len(b))
+            b[i:i + rnd.randint(0, 2)] = rnd.choices(["p\n", "z\n", "\n"], k=rnd.randint(0, 2))
+        pairs.append(("".join(a), "".join(b)))
+    tree = lambda t: {(i, j): p for i, s in enumerate(re.split(r"(?<=\n\n)", t)) for j, p in enumerate(re.split(r"(?<=\n)", s))}
+    for (a, b), (in_a, in_b) in zip(pairs, located(spark, pairs), strict=True):
+        assert (a == b) == (not in_a and not in_b), (a, b)
+        left = [sorted(p for place, p in tree(t).items() if p and place not in out) for t, out in ((a, in_a), (b, in_b))]
+        assert left[0] == left[1], (a, b)
 
 
 def test_pieces_lose_nothing(spark):

@@ -18,7 +18,7 @@ is its own next. Other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txnrisk.llm.common import numbered, saved
@@ -86,18 +86,44 @@ def parse(mark: Column) -> Column:
             F.substring_index(p, "=", 1).alias("hash"), F.substring_index(p, "=", -1).alias("leaves")))))
 
 
-def locate_edits(mark_a: Column, mark_b: Column) -> Column:
-    """Branches of ``mark_a`` that ``mark_b`` has nowhere: array of (section, paragraph, hash).
+def differing(nodes: DataFrame) -> DataFrame:
+    """Nodes (pair, side, place, hash, ...) that are not the same in both sides' order.
 
-    Equal roots end the comparison at once; sections that both have are not
-    followed further.
+    The k-th node of a hash on one side belongs to the k-th of that hash on the
+    other. Nodes without such a partner differ, and so do partners that are not
+    equally far along among the nodes with one. One side's nodes of one pair
+    are ordered together: the parts of one text.
     """
-    a, b = parse(mark_a), parse(mark_b)
-    same_section = F.transform(b, lambda x: x["section_hash"])
-    same_paragraph = F.transform(b, lambda x: x["hash"])
-    changed = F.filter(a, lambda x: ~F.array_contains(same_section, x["section_hash"]) & ~F.array_contains(same_paragraph, x["hash"]))
-    places = F.transform(changed, lambda x: F.struct(x["section"], x["paragraph"], x["hash"]))
-    return F.when(F.substring_index(mark_a, ":", 1) == F.substring_index(mark_b, ":", 1), F.slice(places, 1, 0)).otherwise(places)
+    one, both = ["pair", "hash", "_k"], ["pair", "side", "_paired"]
+    nodes = nodes.withColumn("_k", F.row_number().over(Window.partitionBy("pair", "side", "hash").orderBy("place")))
+    nodes = nodes.withColumn("_paired", F.count("*").over(Window.partitionBy(*one)) == 2)
+    nodes = nodes.withColumn("_at", F.row_number().over(Window.partitionBy(*both).orderBy("place")))
+    apart = F.min("_at").over(Window.partitionBy(*one)) != F.max("_at").over(Window.partitionBy(*one))
+    return nodes.withColumn("_apart", apart).filter("not _paired or _apart").drop("_k", "_paired", "_at", "_apart")
+
+
+def locate_edits(pairs: DataFrame) -> DataFrame:
+    """Where two texts differ, from (pair, a, b): their fingerprints under a pair's id, each id once.
+
+    Returns (pair, side, section, paragraph, hash), a row per paragraph of side
+    ``a`` or ``b`` that differs from the other in order and multiplicity:
+    swapped, moved, added and removed paragraphs, repeats included. Only
+    differing branches are followed: pairs of equal roots end at once, then
+    sections are compared, then the paragraphs of sections that differ; where
+    only the sections' order tells two texts apart, all of these. A null
+    fingerprint has no paragraph, and one without text differs from nothing.
+    """
+    root = lambda mark: F.substring_index(mark, ":", 1)
+    pairs = pairs.filter(~root(F.col("a")).eqNullSafe(root(F.col("b"))))
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), parse(F.col(x)).alias("paragraphs")) for x in ("a", "b")])).alias("s")
+    paragraphs = pairs.select("pair", sides).select("pair", "s.side", F.explode("s.paragraphs").alias("p")).filter("p.leaves <> ''") \
+        .select("pair", "side", "p.section", "p.paragraph", "p.hash", "p.section_hash")
+    sections = paragraphs.filter("paragraph = 0").select("pair", "side", F.col("section").alias("place"), F.col("section_hash").alias("hash"))
+    followed = differing(sections).select("pair", "side", F.col("place").alias("section"))
+    below = paragraphs.join(followed, ["pair", "side", "section"]).withColumn("place", F.struct("section", "paragraph"))
+    found = differing(below)
+    moved = below.join(found.select("pair").distinct(), "pair", "left_anti")
+    return found.unionByName(moved).select("pair", "side", "section", "paragraph", "hash")
 
 
 def next_ids(docs: DataFrame) -> DataFrame:
