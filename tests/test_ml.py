@@ -182,3 +182,16 @@ def test_payload_order_is_the_order_of_latest_rows(spark):
     doc = json.loads(D.dashboard_payload(raw, "x", engineered=engineer_features(clean_processor(raw))).first()[0])
     assert [x["transaction_id"] for x in doc["latest_transactions"]] == [3, 1, 2] == [r.transaction_id for r in D.latest_transactions(raw).collect()]
     assert doc["fraud_by_type"] == [{"transaction.type": "unknown", "is_fraud": 0}]
+
+
+def test_a_model_scores_in_a_session_that_observed_a_metric(spark):
+    import datetime as dt
+
+    from pyspark.sql import Observation
+    from txnrisk.schema import TXN_SCHEMA
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    rows = [(i, 900.0 if i % 4 == 0 else 10.0 + i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 5, i % 3, 1, 1, "purchase", "mobile", "USA", int(i % 4 == 0)) for i in range(40)]
+    f = engineer_features(spark.createDataFrame(rows, TXN_SCHEMA), amount_scale=2)
+    assert len(ML.fraud_probability(ML.fit_model(f, max_iter=3), f).collect()) == 40

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from txnrisk.operators.labels import hash_key60
 from txnrisk.operators.ranking import value_at_rank
 from txnrisk.schema import CATEGORICAL_FEATURES, NON_FEATURE_COLUMNS, NUMERIC_FEATURES, SEED, SPLIT_TEST_FRACTION
+from txnrisk.session import checkpoint_dir
 
 # liblinear's defaults (the reference's solver): tolerance 1e-4, at most 100 iterations
 SOLVER_TOL = 1e-4
@@ -155,7 +156,8 @@ def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_
 
     The weighted training set is read by several passes (scaler, indexers,
     every solver iteration): it is persisted once, in as many partitions as
-    ``ROWS_PER_TASK`` rows each make.
+    ``ROWS_PER_TASK`` rows each make. The model comes back without its training
+    summary (see ``without_summary``).
     """
     from pyspark import StorageLevel
 
@@ -165,11 +167,20 @@ def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_
     n = weighted.count()
     data = weighted.repartition(max(1, math.ceil(n / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build_pipeline(numeric, categorical, label, reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter).fit(data)
+        return without_summary(build_pipeline(numeric, categorical, label, reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter).fit(data))
     finally:
         data.unpersist()
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """``model`` with its last stage written and read back, which leaves out the
+    training summary. The summary holds the session, which Spark sends with
+    the scoring function, and a session that has observed a metric once can't be sent."""
+    path = f"{checkpoint_dir(SparkSession.active()).rstrip('/')}/model-{uuid.uuid4().hex}"
+    model.stages[-1].write().save(path)
+    return PipelineModel([*model.stages[:-1], LogisticRegressionModel.load(path)])
+
+
 @dataclass(frozen=True)
 class FixedModel:
     """A logistic model given by its coefficients over numeric columns (NULL counts as 0)."""
