@@ -179,3 +179,15 @@ def test_rows_of_hot_keys_are_spread_for_the_join_with_their_facts(spark):
         by.setdefault(r["user_id"], []).append(r["amount"])
     assert [(r["transaction_id"], r["user_max_amount"], r["user_avg_amount"]) for r in got] == [
         (r["transaction_id"], *((max(by[r["user_id"]]), sum(by[r["user_id"]]) / len(by[r["user_id"]])) if r["user_id"] is not None else (None, None))) for r in rows]
+
+
+def test_a_unit_gets_its_facts_without_a_join(spark, capsys):
+    """A join would sort the emitted rows once more, and a task holds every order of its rows."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        engineer_features(hot(spark), amount_scale=2).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    plan = capsys.readouterr().out
+    assert "Window" in plan and "Join" not in plan

@@ -145,52 +145,69 @@ def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid:
     """Adds ``{p}since``, ``{p}rsum``, ``{p}rcnt``, ``{p}rcnt_amt``, ``{p}rmax``,
     ``{p}ksum``, ``{p}kcnt``, ``{p}max`` for one key, with one shuffle of the rows.
 
-    In a unit the copies of block b-n come first, then those of b-(n-1), then
-    the owners. Numbered together, a copy's ordinal relative to the block's
-    first owner is ``number - rows_n`` and an owner's ``number - (rows_n -
-    rows_mid)``, rows_n and rows_mid being the rows in the n and n-2 blocks
-    before.
+    A unit's facts are one more row of it, which has no time and so comes
+    first: a join would sort the emitted rows once more. The copies of block
+    b-n follow, then those of b-(n-1), then the owners. Numbered together from
+    0, a copy's ordinal relative to the block's first owner is ``number + 1 -
+    rows_n`` and an owner's ``number + 1 - (rows_n - rows_mid)``, rows_n and
+    rows_mid being the rows in the n and n-2 blocks before. What only owners
+    need travels to the second order in a struct that is NULL on copies.
     """
-    blk, own, payload = f"{p}blk", f"{p}own", f"{p}payload"
+    blk, own, payload, fact = f"{p}blk", f"{p}own", f"{p}payload", f"{p}fact"
     narrow = [key, _US, _SEQ, amount, units, tid]
     wide = [c for c in df.columns if c not in narrow]
-    # a unit without owner has no facts: its copies go before any window
-    x = emitted(df, key, narrow, p, width_us).join(facts, on=[key, blk], how="left")
-    is_own = F.col(own)
-    x = x.filter(is_own | F.col(f"{p}rows_n").isNotNull())
-    a_own, u_own, t_own = (F.when(is_own, F.col(c)) for c in (amount, units, tid))
-    a_cp, u_cp, t_cp = (F.when(~is_own, F.col(c)) for c in (amount, units, tid))
+    found = F.struct(*[c for c in facts.columns if c not in (key, blk)])
+    e = emitted(df, key, narrow, p, width_us).filter(F.col(own) | (F.col(key).isNotNull() & F.col(blk).isNotNull()))
+    heads = facts.filter(F.col(key).isNotNull() & F.col(blk).isNotNull()).select(key, blk, found.alias(fact))
+    x = e.unionByName(heads, allowMissingColumns=True)
     w = Window.partitionBy(key, blk).orderBy(_US, _SEQ)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    number = F.row_number().over(w)
-    tails = F.col(f"{p}rows_n") - F.col(f"{p}rows_mid")
+    is_own = F.col(own)
+    a_own, u_own, t_own = (F.when(is_own, F.col(c)) for c in (amount, units, tid))
     x = x.withColumns({
-        "_rn": number,
+        "_f": F.first(fact).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_rn": F.count(own).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "_prev": F.lag(F.when(is_own, F.col(_US))).over(w),
         "_os": F.sum(u_own).over(before), "_oc": F.count(a_own).over(before),
         "_ot": F.count(t_own).over(before), "_om": F.max(a_own).over(before),
     })
-    x = x.withColumn(_NS, F.col(_US) * F.lit(1000) + F.coalesce(F.col("_rn") - F.when(is_own, tails).otherwise(F.col(f"{p}rows_n")), F.lit(0)))
+    # a unit without owner has no facts: its copies go
+    x = x.filter(is_own | (F.col(own).isNotNull() & F.col("_f").isNotNull()))
+    f = {c: F.col(f"_f.{p}{c}") for c in ("prev_last", "ms", "mc", "mt", "mm", "rows_n", "rows_mid", "ksum", "kcnt", "max")}
+    prev = F.coalesce(F.col("_prev"), f["prev_last"])
+    kept = {
+        **{c: F.col(c) for c in (_US, _SEQ, amount, units, tid, payload)},
+        "since": F.when(prev.isNull(), F.lit(0.0)).otherwise((F.col(_US) - prev) / F.lit(1_000_000.0)),
+        "s": _total([F.col("_os"), f["ms"]]), "c": F.col("_oc") + f["mc"], "t": F.col("_ot") + f["mt"], "m": F.greatest("_om", f["mm"]),
+        "ksum": f["ksum"], "kcnt": f["kcnt"], "max": f["max"],
+    }
+    ns = F.col(_US) * F.lit(1000) + F.coalesce(F.col("_rn") - F.when(is_own, f["rows_n"] - f["rows_mid"]).otherwise(f["rows_n"]), F.lit(0))
+    a_cp, u_cp, t_cp = (F.when(~is_own, F.col(c)) for c in (amount, units, tid))
+    x = x.select(key, blk, own, ns.alias(_NS), u_cp.alias("_u"), a_cp.alias("_a"), t_cp.isNotNull().alias("_t"),
+                 F.when(is_own, F.struct(*[c.alias(n) for n, c in kept.items()])).alias("_k"))
     desc = Window.partitionBy(key, blk).orderBy(F.col(_NS).desc()).rangeBetween(Window.unboundedPreceding, DAY_NS)
     x = x.withColumns({
-        "_cs": F.sum(u_cp).over(desc), "_cc": F.count(a_cp).over(desc),
-        "_ct": F.count(t_cp).over(desc), "_cm": F.max(a_cp).over(desc),
+        "_cs": F.sum("_u").over(desc), "_cc": F.count("_a").over(desc),
+        "_ct": F.count(F.when(F.col("_t"), 1)).over(desc), "_cm": F.max("_a").over(desc),
     }).filter(is_own)
-    parts = [F.col("_os"), F.col(f"{p}ms"), F.col("_cs")]
-    rsum = F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0))))
-    prev = F.coalesce(F.col("_prev"), F.col(f"{p}prev_last"))
+    k = {n: F.col(f"_k.{n}") for n in kept}
     return x.select(
-        *narrow,
-        *[F.col(f"{payload}.{c}").alias(c) for c in wide],
-        F.when(prev.isNull(), F.lit(0.0)).otherwise((F.col(_US) - prev) / F.lit(1_000_000.0)).alias(f"{p}since"),
-        rsum.alias(f"{p}rsum"),
-        (F.col("_oc") + F.col(f"{p}mc") + F.col("_cc")).alias(f"{p}rcnt_amt"),
-        (F.col("_ot") + F.col(f"{p}mt") + F.col("_ct")).alias(f"{p}rcnt"),
-        F.greatest("_om", f"{p}mm", "_cm").alias(f"{p}rmax"),
-        F.col(f"{p}ksum"), F.col(f"{p}kcnt"), F.col(f"{p}max"),
+        key, *[k[c].alias(c) for c in narrow[1:]],
+        *[F.col(f"_k.{payload}.{c}").alias(c) for c in wide],
+        k["since"].alias(f"{p}since"),
+        _total([k["s"], F.col("_cs")]).alias(f"{p}rsum"),
+        (k["c"] + F.col("_cc")).alias(f"{p}rcnt_amt"),
+        (k["t"] + F.col("_ct")).alias(f"{p}rcnt"),
+        F.greatest(k["m"], F.col("_cm")).alias(f"{p}rmax"),
+        k["ksum"].alias(f"{p}ksum"), k["kcnt"].alias(f"{p}kcnt"), k["max"].alias(f"{p}max"),
     )
 
 
+def _total(parts: list[Column]) -> Column:
+    """The sum of the parts that are not NULL; NULL when all are."""
+    return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(c, F.lit(0)) for c in parts[1:]), F.coalesce(parts[0], F.lit(0))))
+
+
 # ---------------------------------------------------------------------------
 # One key, direct window strategy (specification)
 # ---------------------------------------------------------------------------
