@@ -191,3 +191,18 @@ def test_a_unit_gets_its_facts_without_a_join(spark, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     plan = capsys.readouterr().out
     assert "Window" in plan and "Join" not in plan
+
+
+def test_what_pieces_need_of_other_ranges_is_two_rows_per_range(spark):
+    rows = materialize(spark.range(4000).select((F.col("id") % 700).alias("k"), (F.col("id") * 31 % 977).alias("us"), F.col("id").alias("rid"))
+                       .withColumn("k", F.when(F.col("rid") % 3 != 0, F.lit(350)).otherwise(F.when(F.col("k") != 5, F.col("k")))))
+    ranges = in_ranges(rows, [F.col(c) for c in ("k", "us", "rid")], "_part", "_local")
+    found = ranked.edges(ranges, [F.count("*").alias("n")])
+    assert found.count() <= 2 * ranges.select("_part").distinct().count()
+    got = {r.rid: r.ordinal for r in ranked.before(ranges, {"ordinal": F.lit(1)}).collect()}
+    order = sorted(rows.collect(), key=lambda r: (r.k is not None, r.k or 0, r.us, r.rid))
+    seen, want = {}, {}
+    for r in order:
+        want[r.rid] = seen.get(r.k, 0)
+        seen[r.k] = want[r.rid] + 1
+    assert got == want

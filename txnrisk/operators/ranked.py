@@ -2,9 +2,9 @@
 
 The blocked strategy gives a (key, hour) to one task. Here rows are ranged by
 (key, date, seq) together, so a task holds a range of rows whatever key or
-hour they are of; one key's rows in one range are a *piece*. What a piece
-needs of the ranges before it is in a table with one row per piece, of which
-a key has at most one per range. Every step works on pieces, or on blocks of
+hour they are of; one key's rows in one range are a *piece*. Only the first
+and last key of a range can have pieces in others, so what a piece needs of
+other ranges is in a table with at most two rows per range. Every step works on pieces, or on blocks of
 at most ``block`` rows of a key:
 
 1. *Order key.* A row's ordinal is the rows of its key in earlier ranges plus
@@ -39,38 +39,50 @@ from txnrisk.session import materialize
 BLOCK = 1024     # rows of a key whose frames are searched row by row
 
 
-def before(table: DataFrame, sums: dict[str, Column]) -> DataFrame:
+def edges(table: DataFrame, aggregates: list[Column]) -> DataFrame:
+    """Pieces (_p, _k and ``aggregates``) of the first and last key of every range of ``table`` (ranged: k, _part, _local).
+
+    Ranges ascend in the key first, so no other piece has a second one of its
+    key: two rows per range tell all that pieces need of other ranges."""
+    key = F.struct("k")
+    ends = table.groupBy("_part").agg(F.min_by(key, "_local").alias("_first"), F.max_by(key, "_local").alias("_end"))
+    held = table.join(F.broadcast(ends), "_part").filter(key.eqNullSafe(F.col("_first")) | key.eqNullSafe(F.col("_end")))
+    return held.groupBy(F.col("_part").alias("_p"), F.col("k").alias("_k")).agg(*aggregates)
+
+
+def before(table: DataFrame, sums: dict[str, Column], ranged: DataFrame | None = None) -> DataFrame:
     """``table`` (ranged: k, _part, _local) with the totals of ``sums`` over the key's rows before each row.
 
-    A piece's offset comes from one row per piece; inside, sums run along the
-    range's order.
+    What the ranges before hold of a key comes from the edges of ``ranged``, the written table that ``table`` adds
+    columns to (itself if not given); inside, sums run along the range's order.
     """
-    pieces = table.groupBy("_part", "k").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
-    earlier = Window.partitionBy("k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = pieces.select(F.col("_part").alias("_p"), F.col("k").alias("_k"),
-                            *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = edges(table if ranged is None else ranged, [F.sum(c).alias(f"_{n}") for n, c in sums.items()]).select("_p", "_k", *[F.sum(f"_{n}").over(earlier).alias(f"_{n}") for n in sums])
     here = Window.partitionBy("_part", "k").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
-    return _with_pieces(table, offsets).select(
-        *table.columns, *[(F.col(f"_{n}") + F.coalesce(F.sum(c).over(here), F.lit(0))).alias(n) for n, c in sums.items()])
+    zero = F.lit(0)
+    return _with_edges(table, offsets).select(
+        *table.columns, *[(F.coalesce(F.col(f"_{n}"), zero) + F.coalesce(F.sum(c).over(here), zero)).alias(n) for n, c in sums.items()])
 
 
-def _with_pieces(table: DataFrame, pieces: DataFrame) -> DataFrame:
-    return table.join(pieces, (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")))
+def _with_edges(table: DataFrame, found: DataFrame) -> DataFrame:
+    return table.join(F.broadcast(found), (F.col("_part") == F.col("_p")) & F.col("k").eqNullSafe(F.col("_k")), "left")   # two rows per range
 
 
 def ordered_rows(rows: DataFrame) -> DataFrame:
-    """``rows`` (rid, k, us, seq, amount, units, has_tid) with ordinal, ns, since, prefix sums and the key's totals; written once."""
+    """``rows`` (rid, k, us, seq, amount, units, has_tid) with ordinal, ns, since, prefix sums and the key's totals."""
     r = in_ranges(rows, [F.col("k"), F.col("us"), F.col("seq"), F.col("rid")], "_part", "_local")
-    pieces = r.groupBy("_part", "k").agg(F.max("us").alias("_last"), F.sum("units").alias("_s"), F.count("amount").alias("_c"), F.max("amount").alias("_m"))
-    by_key = Window.partitionBy("k")
-    facts = pieces.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.lag("_last").over(by_key.orderBy("_part")).alias("_last"),
-                          F.sum("_s").over(by_key).alias("ksum"), F.sum("_c").over(by_key).alias("kcnt"), F.max("_m").over(by_key).alias("kmax"))
-    here = Window.partitionBy("_part", "k").orderBy("_local")
-    x = _with_pieces(r, facts).withColumn("_prev", F.coalesce(F.lag("us").over(here), F.col("_last")))
+    totals = {"ksum": F.sum("units"), "kcnt": F.count("amount"), "kmax": F.max("amount")}
+    pieces = edges(r, [F.max("us").alias("_last"), F.sum("units").alias("_s"), F.count("amount").alias("_c"), F.max("amount").alias("_m")])
+    by_key = Window.partitionBy("_k")
+    facts = pieces.select("_p", "_k", F.lag("_last").over(by_key.orderBy("_p")).alias("_last"),
+                          F.sum("_s").over(by_key).alias("_ksum"), F.sum("_c").over(by_key).alias("_kcnt"), F.max("_m").over(by_key).alias("_kmax"))
+    piece = Window.partitionBy("_part", "k")
+    x = _with_edges(r, facts).withColumn("_prev", F.coalesce(F.lag("us").over(piece.orderBy("_local")), F.col("_last")))
     x = x.withColumn("since", F.when(F.col("_prev").isNull(), F.lit(0.0)).otherwise((F.col("us") - F.col("_prev")) / F.lit(1_000_000.0)))
-    x = before(x.select(*r.columns, "since", "ksum", "kcnt", "kmax"),
-                {"ordinal": F.lit(1), "ps": F.coalesce("units", F.lit(0)), "pc": F.col("amount").isNotNull().cast("long"), "pt": F.col("has_tid")})
-    return materialize(x.withColumn("ns", F.col("us") * F.lit(1000) + F.col("ordinal")).drop("_part", "_local", "seq"))
+    x = x.withColumns({c: F.when(F.col("_p").isNotNull(), F.col(f"_{c}")).otherwise(v.over(piece)) for c, v in totals.items()})
+    sums = {"ordinal": F.lit(1), "ps": F.coalesce("units", F.lit(0)), "pc": F.col("amount").isNotNull().cast("long"), "pt": F.col("has_tid")}
+    x = before(x.select(*r.columns, "since", *totals), sums, r)
+    return x.withColumn("ns", F.col("us") * F.lit(1000) + F.col("ordinal")).drop("_part", "_local", "seq", "us")
 
 
 def in_blocks(x: DataFrame, block: int) -> DataFrame:
@@ -79,14 +91,14 @@ def in_blocks(x: DataFrame, block: int) -> DataFrame:
     return x.withColumn("blk", F.floor(F.col("ordinal") / block)).withColumns({
         "own_max": F.max("amount").over(unit.orderBy("ns").rangeBetween(-DAY_NS, -1)),
         "rest_max": F.max("amount").over(unit.orderBy(F.col("ns").desc()).rowsBetween(Window.unboundedPreceding, 0)),
-    })
+    }).drop("ordinal")
 
 
 def frame_starts(x: DataFrame, block: int) -> DataFrame:
     """Every row with its frame's first ordinal ``a``, the prefix sums there and ``a_rest``, the maximum from a to its block's end."""
-    carried = F.struct(*[c for c in x.columns if c not in ("k", "ns")])
+    carried = F.struct("since", "ps", "pc", "pt", "ksum", "kcnt", "kmax", "own_max", "blk")
     shape = x.select(carried.alias("q")).schema["q"].dataType
-    rows = x.select("k", F.col("ns").alias("t"), F.lit(1).alias("kind"), "rid", F.col("rest_max").alias("next_max"), F.lit(None).cast(shape).alias("q"),
+    rows = x.select("k", F.col("ns").alias("t"), F.lit(1).alias("kind"), F.when(F.col("ns").isNull(), F.col("rid")).alias("rid"), F.col("rest_max").alias("next_max"), F.lit(None).cast(shape).alias("q"),
                     F.coalesce("units", F.lit(0)).alias("_units"), F.col("amount").isNotNull().cast("long").alias("_has"), F.col("has_tid").alias("_tid"))
     zero = F.lit(0).cast("long")
     asked = x.select("k", (F.col("ns") - F.lit(DAY_NS)).alias("t"), F.lit(0).alias("kind"), "rid", F.lit(None).cast("double").alias("next_max"), carried.alias("q"),
@@ -94,13 +106,13 @@ def frame_starts(x: DataFrame, block: int) -> DataFrame:
     e = in_ranges(rows.unionByName(asked), [F.col("k"), F.col("t"), F.col("kind"), F.col("rid")], "_part", "_local")
     # the row after a question is the next one in its piece, or the first one of the key's next piece with a row
     is_row = F.col("kind") == 1
-    first = e.groupBy("_part", "k").agg(F.min_by(F.when(is_row, F.struct("next_max")), F.when(is_row, F.col("_local"))).alias("_first"))
-    later = Window.partitionBy("k").orderBy(F.col("_part").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = first.select(F.col("_part").alias("_p"), F.col("k").alias("_k"), F.last("_first", ignorenulls=True).over(later).alias("_ahead"))
+    first = edges(e, [F.min_by(F.when(is_row, F.struct("next_max")), F.when(is_row, F.col("_local"))).alias("_first")])
+    later = Window.partitionBy("_k").orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = first.select("_p", "_k", F.last("_first", ignorenulls=True).over(later).alias("_ahead"))
     here = Window.partitionBy("_part", "k").orderBy(F.col("_local").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    e2 = _with_pieces(e, ahead).withColumn("_next", F.coalesce(F.last(F.when(is_row, F.struct("next_max")), ignorenulls=True).over(here), F.col("_ahead")))
-    e2 = before(e2.select(*e.columns, "_next"), {"a": F.col("kind").cast("long"), "as": F.col("_units"), "ac": F.col("_has"), "at": F.col("_tid")})
-    return e2.filter(~is_row).select("k", "q.*", "a", "as", "ac", "at", F.col("_next.next_max").alias("a_rest"), F.floor(F.col("a") / block).alias("a_blk"))
+    e2 = _with_edges(e, ahead).withColumn("_next", F.coalesce(F.last(F.when(is_row, F.struct("next_max")), ignorenulls=True).over(here), F.col("_ahead")))
+    e2 = before(e2.select(*e.columns, "_next"), {"a": F.col("kind").cast("long"), "as": F.col("_units"), "ac": F.col("_has"), "at": F.col("_tid")}, e)
+    return e2.filter(~is_row).select("k", "rid", "q.*", "a", "as", "ac", "at", F.col("_next.next_max").alias("a_rest"), F.floor(F.col("a") / block).alias("a_blk"))
 
 
 def between_maxima(x: DataFrame, starts: DataFrame) -> DataFrame:
