@@ -78,3 +78,13 @@ def test_no_rows_and_one_class(spark):
     assert {r["fraud_probability"] for r in LG.table_probability(empty, df).collect()} == {0.5}
     odd = LG.fit_table_model(df.withColumn("is_fraud", F.when(F.col("id") % 2 == 0, F.lit(1))), numeric=NUMERIC, categorical=CATEGORICAL, max_iter=2)
     assert all(r["fraud_probability"] > 0.5 for r in LG.table_probability(odd, df).collect())
+
+
+def test_rows_meet_their_residual_in_one_row_each(spark):
+    from txnrisk.operators import logistic as LG
+    from txnrisk.operators.dictionary import build_dictionary
+    df = spark.createDataFrame([(0, "a", 2.0), (1, "b", 4.0), (2, None, None)], "_row long, kind string, x double")
+    packed = LG._packed(df, build_dictionary(df, ["kind"]), {"x": (2.0, 2.0)})
+    assert packed.count() == 3
+    entries = sorted(tuple(r) for r in LG._entries(packed).select("row", "place", "value").collect())
+    assert entries == [(0, 0, 1.0), (0, 3, 1.0), (1, 1, 1.0), (1, 2, 1.0), (1, 3, 1.0), (2, 2, -1.0), (2, 3, 1.0)]

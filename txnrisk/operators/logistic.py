@@ -10,7 +10,7 @@ Hessian's bound. An iteration is
 
 * the step's margins: entries joined to the direction by place, partial sums by row;
 * the losses of all tried steps, one aggregate of the margins;
-* the new gradient: residuals joined to the entries by row, partial sums by place;
+* the new gradient: residuals joined by row to the features, packed in a row's arrays, partial sums by place;
 * the products with the three new vectors, one aggregate of the coefficients.
 
 Places in more rows than a shuffle partition's share are flagged once. There are at most as many as partitions times
@@ -74,13 +74,19 @@ def _scales(df: DataFrame, numeric: list[str]) -> dict[str, tuple[float, float]]
     return {c: (r[f"m{i}"] or 0.0, r[f"d{i}"] or 0.0) for i, c in enumerate(numeric)}
 
 
-def _entries(df: DataFrame, dictionary: Dictionary, scale: dict[str, tuple[float, float]]) -> DataFrame:
-    """(row, place, value) of every non-zero feature of ``df``, which has a ``_row``."""
+def _packed(df: DataFrame, dictionary: Dictionary, scale: dict[str, tuple[float, float]]) -> DataFrame:
+    """(row, places, values): every row of ``df``, which has a ``_row``, with its features in two arrays."""
     values = [(_number(c) - mean) / std if std else F.lit(0.0) for c, (mean, std) in scale.items()] + [F.lit(1.0)]
-    dense = [F.struct(F.lit(dictionary.width + i).cast("long").alias("place"), v.cast("double").alias("value")) for i, v in enumerate(values)]
-    levels = F.transform("_hot", lambda p: F.struct(p.cast("long").alias("place"), F.lit(1.0).alias("value")))
+    places = F.array(*[F.lit(dictionary.width + i).cast("long") for i in range(len(values))])
     hot = with_places(df, dictionary, "_hot")
-    return hot.select(F.col("_row").alias("row"), F.inline(F.concat(levels, F.array(*dense)))).filter("value <> 0")
+    return hot.select(F.col("_row").alias("row"), F.concat(F.col("_hot").cast("array<long>"), places).alias("places"),
+                      F.concat(F.transform("_hot", lambda p: F.lit(1.0)), F.array(*[v.cast("double") for v in values])).alias("values"))
+
+
+def _entries(packed: DataFrame) -> DataFrame:
+    """(place, value, and the columns beside the arrays) of every non-zero feature."""
+    kept = [c for c in packed.columns if c not in ("places", "values")]
+    return packed.select(*kept, F.inline(F.arrays_zip("places", "values")).alias("place", "value")).filter("value <> 0")
 
 
 def _times(entries: DataFrame, coefficients: DataFrame, weight: Column, out: str) -> DataFrame:
@@ -99,10 +105,10 @@ def _sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def _gradient(entries: DataFrame, margins: DataFrame, z: Column) -> DataFrame:
-    """(place, sum): the log-loss's gradient, partial sums by place."""
+def _gradient(packed: DataFrame, margins: DataFrame, z: Column) -> DataFrame:
+    """(place, sum): the log-loss's gradient, partial sums by place. Rows meet their residual before their features are laid out."""
     residual = margins.select("row", (F.col("s") * (_sigmoid(z) - F.col("y"))).alias("residual"))
-    return entries.join(residual, "row").groupBy("place").agg(F.sum(F.col("value") * F.col("residual")).alias("sum"))
+    return _entries(packed.join(residual, "row")).groupBy("place").agg(F.sum(F.col("value") * F.col("residual")).alias("sum"))
 
 
 def _products(coefficients: DataFrame, new: list[int]) -> tuple[dict, float]:
@@ -138,7 +144,8 @@ def fit_table_model(train: DataFrame, label: str = "is_fraud", max_iter: int = M
     rows = materialize(weighted.select(*numeric, *[c for c in categorical if c not in numeric], F.col(label).cast("double").alias("_y"), "_s",
                                        F.monotonically_increasing_id().alias("_row")))
     dictionary, scale = build_dictionary(rows, categorical), _scales(rows, numeric)
-    plain = materialize(_entries(rows, dictionary, scale))
+    packed = materialize(_packed(rows, dictionary, scale))
+    plain = _entries(packed)
     margins = materialize(rows.select(F.col("_row").alias("row"), F.col("_y").alias("y"), F.col("_s").alias("s"), F.lit(0.0).alias("z")))
 
     share = max(1, rows.count() // int(train.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -147,9 +154,8 @@ def fit_table_model(train: DataFrame, label: str = "is_fraud", max_iter: int = M
     stats = materialize(bound.select("place", penalty.alias("penalty"), (F.lit(1.0) / F.sqrt(penalty + F.col("q") / 4)).alias("root"), (F.col("n") > share).alias("frequent")))
     hot = stats.filter("frequent").select("place", "frequent")
     entries = materialize(plain.join(F.broadcast(hot), "place", "left").select("row", "place", "value", F.coalesce("frequent", F.lit(False)).alias("frequent")))
-    discard(plain)
 
-    first = stats.join(_gradient(entries, margins, F.col("z")), "place")
+    first = stats.join(_gradient(packed, margins, F.col("z")), "place")
     coefficients = materialize(first.select("place", "penalty", "root", "frequent", F.lit(0.0).alias("w"),
                                             *[F.lit(0.0).alias(c) for c in SLOTS[:G]], (F.col("sum") * F.col("root")).alias("g")))
     table, order, done = np.zeros((len(SLOTS), len(SLOTS))), [], 0
@@ -175,7 +181,7 @@ def fit_table_model(train: DataFrame, label: str = "is_fraud", max_iter: int = M
             break
         length, slot = list(at)[best], done % MEMORY
         moved_margins = stepped.select("row", "y", "s", (F.col("z") + length * F.col("dz")).alias("z"))
-        updated = coefficients.join(_gradient(entries, moved_margins, F.col("z")), "place", "left")
+        updated = coefficients.join(_gradient(packed, moved_margins, F.col("z")), "place", "left")
         weight = F.col("w") + length * moved
         gradient = F.col("root") * (F.coalesce("sum", F.lit(0.0)) + F.col("penalty") * weight)
         new = {"w": weight, SLOTS[slot]: length * step, SLOTS[MEMORY + slot]: gradient - F.col("g"), "g": gradient}
@@ -185,7 +191,7 @@ def fit_table_model(train: DataFrame, label: str = "is_fraud", max_iter: int = M
         coefficients, margins, done = following, moved_margins, done + 1
         order = [i for i in order if i != slot] + [slot]
         found, norm = _products(coefficients, [slot, MEMORY + slot, G])
-    for old in (margins, entries):
+    for old in (margins, entries, packed):
         discard(old)
     kept = coefficients.select("place", F.col("w").alias("weight"), (F.col("g") / F.col("root")).alias("gradient"), "frequent")
     return TableModel(dictionary, scale, kept, norm, done)
@@ -195,7 +201,7 @@ def table_probability(model: TableModel, df: DataFrame) -> DataFrame:
     """M6/M7: ``df`` with ``prediction`` (0/1) and ``fraud_probability``; writes the rows once, numbered, when called."""
     rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
     hot = model.coefficients.filter("frequent").select("place", "frequent")
-    entries = (_entries(rows, model.dictionary, model.scale).join(F.broadcast(hot), "place", "left")
+    entries = (_entries(_packed(rows, model.dictionary, model.scale)).join(F.broadcast(hot), "place", "left")
                .withColumn("frequent", F.coalesce("frequent", F.lit(False))))
     z = _times(entries, model.coefficients, F.col("weight"), "_z").withColumnRenamed("row", "_row")
     p = _sigmoid(F.coalesce("_z", F.lit(0.0)))
