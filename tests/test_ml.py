@@ -195,3 +195,10 @@ def test_a_model_scores_in_a_session_that_observed_a_metric(spark):
     rows = [(i, 900.0 if i % 4 == 0 else 10.0 + i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), i % 5, i % 3, 1, 1, "purchase", "mobile", "USA", int(i % 4 == 0)) for i in range(40)]
     f = engineer_features(spark.createDataFrame(rows, TXN_SCHEMA), amount_scale=2)
     assert len(ML.fraud_probability(ML.fit_model(f, max_iter=3), f).collect()) == 40
+
+
+def test_the_solvers_tasks_do_not_grow_with_the_rows():
+    """Each task's gradient is as long as the coefficients, which grow with the rows too."""
+    assert ML.solver_tasks(0, 8) == 1 and ML.solver_tasks(200_000, 8) == 4
+    assert ML.solver_tasks(4_200_000, 12) == ML.solver_tasks(25_200_000, 12) == 24
+    assert ML.solver_tasks(100_000_000, 12) * ML.MOST_ROWS_PER_TASK >= 100_000_000

@@ -41,8 +41,11 @@ from txnrisk.session import checkpoint_dir
 # liblinear's defaults (the reference's solver): tolerance 1e-4, at most 100 iterations
 SOLVER_TOL = 1e-4
 SOLVER_MAX_ITER = 100
-# an iterative solver pays a per-task cost every pass: no task gets fewer rows
+# An iterative solver pays a per-task cost every pass: no task gets fewer rows. A task's gradient is as long as
+# the coefficients, which grow with the rows, so tasks stay at a few per core until one would hold MOST_ROWS_PER_TASK.
 ROWS_PER_TASK = 50_000
+MOST_ROWS_PER_TASK = 2_000_000
+TASKS_PER_CORE = 2
 
 
 # --- P2 / P8 ----------------------------------------------------------------------
@@ -151,12 +154,16 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "is_
     ])
 
 
+def solver_tasks(rows: int, cores: int) -> int:
+    """The solver's partitions: their number does not grow with the rows between the two bounds on a task's rows."""
+    return max(1, min(math.ceil(rows / ROWS_PER_TASK), max(TASKS_PER_CORE * cores, math.ceil(rows / MOST_ROWS_PER_TASK))))
+
+
 def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_MAX_ITER) -> PipelineModel:
     """M5: fit the balanced, L2-regularised pipeline on engineered rows.
 
     The weighted training set is read by several passes (scaler, indexers,
-    every solver iteration): it is persisted once, in as many partitions as
-    ``ROWS_PER_TASK`` rows each make. The model comes back without its training
+    every solver iteration): it is persisted once, in ``solver_tasks`` partitions. The model comes back without its training
     summary (see ``without_summary``).
     """
     from pyspark import StorageLevel
@@ -165,7 +172,7 @@ def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_
     numeric, categorical = contract["numeric"], contract["categorical"]
     weighted = with_class_weight(train, label).withColumn(label, F.col(label).cast(T.DoubleType()))
     n = weighted.count()
-    data = weighted.repartition(max(1, math.ceil(n / ROWS_PER_TASK))).persist(StorageLevel.MEMORY_AND_DISK)
+    data = weighted.repartition(solver_tasks(n, train.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return without_summary(build_pipeline(numeric, categorical, label, reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter).fit(data))
     finally:
