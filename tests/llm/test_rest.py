@@ -263,7 +263,7 @@ def test_archives_are_bounded(spark, tmp_path):
 
 
 def test_oracle_sql_of_whole_tables(spark):
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         df = queries.queries()[name](spark, SF)

@@ -159,7 +159,8 @@ def _key_features_blocked(df: DataFrame, key: str, amount: str, units: str, tid:
     found = F.struct(*[c for c in facts.columns if c not in (key, blk)])
     e = emitted(df, key, narrow, p, width_us).filter(F.col(own) | (F.col(key).isNotNull() & F.col(blk).isNotNull()))
     heads = facts.filter(F.col(key).isNotNull() & F.col(blk).isNotNull()).select(key, blk, found.alias(fact))
-    x = e.unionByName(heads, allowMissingColumns=True)
+    # both sides are dealt by unit, and Spark's union of equally dealt tables stays dealt so
+    x = e.repartition(key, blk).unionByName(heads.repartition(key, blk), allowMissingColumns=True)
     w = Window.partitionBy(key, blk).orderBy(_US, _SEQ)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     is_own = F.col(own)

@@ -136,6 +136,18 @@ def standard_scale(df: DataFrame, cols: list[str], suffix: str = "_scaled") -> D
     return df.withColumns(out)
 
 
+class PlainLogisticRegression(LogisticRegression):
+    """Spark's solver; the model is written and read back, which leaves out the training summary.
+
+    The summary holds the session, which Spark sends with the scoring function,
+    and a session that has observed a metric once can't be sent."""
+
+    def _fit(self, dataset: DataFrame) -> LogisticRegressionModel:
+        path = f"{checkpoint_dir(dataset.sparkSession).rstrip('/')}/model-{uuid.uuid4().hex}"
+        super()._fit(dataset).write().save(path)
+        return LogisticRegressionModel.load(path)
+
+
 def build_pipeline(numeric: list[str], categorical: list[str], label: str = "is_fraud", weight: str = "class_weight",
                    reg_param: float = 0.0, max_iter: int = SOLVER_MAX_ITER, tol: float = SOLVER_TOL) -> Pipeline:
     """M2–M5 as one Spark ML pipeline."""
@@ -148,9 +160,9 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "is_
         StringIndexer(inputCols=categorical, outputCols=idx, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=idx, outputCols=vec, dropLast=True, handleInvalid="error"),
         VectorAssembler(inputCols=["_num_s", *vec], outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight,
-                           regParam=reg_param, elasticNetParam=0.0, standardization=False,
-                           maxIter=max_iter, tol=tol, family="binomial"),
+        PlainLogisticRegression(featuresCol="features", labelCol=label, weightCol=weight,
+                                regParam=reg_param, elasticNetParam=0.0, standardization=False,
+                                maxIter=max_iter, tol=tol, family="binomial"),
     ])
 
 
@@ -163,8 +175,7 @@ def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_
     """M5: fit the balanced, L2-regularised pipeline on engineered rows.
 
     The weighted training set is read by several passes (scaler, indexers,
-    every solver iteration): it is persisted once, in ``solver_tasks`` partitions. The model comes back without its training
-    summary (see ``without_summary``).
+    every solver iteration): it is persisted once, in ``solver_tasks`` partitions.
     """
     from pyspark import StorageLevel
 
@@ -174,20 +185,11 @@ def fit_model(train: DataFrame, label: str = "is_fraud", max_iter: int = SOLVER_
     n = weighted.count()
     data = weighted.repartition(solver_tasks(n, train.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return without_summary(build_pipeline(numeric, categorical, label, reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter).fit(data))
+        return build_pipeline(numeric, categorical, label, reg_param=(1.0 / n) if n else 0.0, max_iter=max_iter).fit(data)
     finally:
         data.unpersist()
 
 
-def without_summary(model: PipelineModel) -> PipelineModel:
-    """``model`` with its last stage written and read back, which leaves out the
-    training summary. The summary holds the session, which Spark sends with
-    the scoring function, and a session that has observed a metric once can't be sent."""
-    path = f"{checkpoint_dir(SparkSession.active()).rstrip('/')}/model-{uuid.uuid4().hex}"
-    model.stages[-1].write().save(path)
-    return PipelineModel([*model.stages[:-1], LogisticRegressionModel.load(path)])
-
-
 @dataclass(frozen=True)
 class FixedModel:
     """A logistic model given by its coefficients over numeric columns (NULL counts as 0)."""
