@@ -32,7 +32,7 @@ way for every key and every size:
    windows per key on one row per block) gives the whole middle blocks' sum,
    count and max, the rows in the blocks before (so that a row's local number
    gives the exact ordinal difference), the previous active block's last
-   timestamp and the key totals. It is joined on the units' own partitioning.
+   timestamp and the key totals. It comes into its unit as one more row.
 4. *O(n) frames.* Own head and tails are cumulative frames, ascending and
    descending, which Spark evaluates incrementally.
 
