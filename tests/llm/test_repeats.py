@@ -58,5 +58,19 @@ def test_blocks_of_a_long_text(spark, monkeypatch):
     assert got == {1: (1_200_600, 600, 1), 2: (602, 600, 1)}
 
 
+def test_passages_of_over_fifty_words(spark):
+    rnd = random.Random(9)
+
+    def words(n, size):
+        return " ".join("".join(rnd.choices("abcdefgh", k=size)) for _ in range(n))
+
+    long, short = words(60, 8), words(51, 3)       # 539 and 203 bytes: only strings of 400 are repeats
+    texts = [f"{words(40, 7)} {x} {words(40, 7)}" for x in (long, long, short, short, "é " + words(60, 8))]
+    rows = [(i, t, "") for i, t in enumerate([*texts, f"{long[:300]} {words(9, 5)} {long[300:]}", f"{texts[4][99:520]}!{texts[4][99:520]}"])]
+    got = sorted(map(tuple, repeats.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == brute(rows, repeats.LENGTH)
+    assert [r[0] for r in got if r[2]] == [0, 1, 4, 6] and [r[1] for r in got] == [len(t.encode()) for _, t, _ in rows]
+
+
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
