@@ -202,3 +202,24 @@ def test_the_solvers_tasks_do_not_grow_with_the_rows():
     assert ML.solver_tasks(0, 8) == 1 and ML.solver_tasks(200_000, 8) == 4
     assert ML.solver_tasks(4_200_000, 12) == ML.solver_tasks(25_200_000, 12) == 24
     assert ML.solver_tasks(100_000_000, 12) * ML.MOST_ROWS_PER_TASK >= 100_000_000
+
+
+def test_standard_scale_scales_every_numeric_column_of_every_row(spark, tmp_path):
+    """All 13 numeric columns against numpy: NULL stays NULL and counts in no statistic, a column of one value is 0."""
+    import datetime as dt
+
+    import numpy as np
+    from txnrisk.plans import catalog
+    from txnrisk.schema import NUMERIC_FEATURES
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, start + dt.timedelta(hours=5 * i, seconds=i * i), None if i % 10 == 0 else i % 4, "view", 1.25 * (i * 7 % 31 + 1), '{"k": 27}') for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.transaction_id: r for r in catalog.queries()["standard_scale"](spark, str(tmp_path)).collect()}
+    feats = {r.transaction_id: r for r in engineer_features(txn_events(spark, str(tmp_path)), amount_scale=2).collect()}
+    assert sorted(got) == sorted(feats) == list(range(60))
+    for c in NUMERIC_FEATURES:
+        x = np.array([feats[i][c] for i in range(60)], dtype=float)     # NULL as NaN
+        want = np.zeros(60) if np.nanmin(x) == np.nanmax(x) else (x - np.nanmean(x)) / np.nanstd(x)
+        np.testing.assert_allclose(np.array([got[i][f"{c}_scaled"] for i in range(60)], dtype=float), want, atol=1e-6, err_msg=c)
+    assert {got[i].user_avg_amount_scaled for i in range(0, 60, 10)} == {None}
+    assert {r.org_max_amount_scaled for r in got.values()} == {0.0}

@@ -24,7 +24,7 @@ from txnrisk.operators import logistic as LG
 from txnrisk.operators import metrics as M
 from txnrisk.operators import ml as ML
 from txnrisk.plans import oracle as O
-from txnrisk.schema import CATEGORICAL_FEATURES, DERIVED_FEATURES, RAW_COLUMNS, SEED
+from txnrisk.schema import CATEGORICAL_FEATURES, DERIVED_FEATURES, NUMERIC_FEATURES, RAW_COLUMNS, SEED
 from txnrisk.sources import fixtures as FX
 from txnrisk.sources import ingest as IN
 from txnrisk.session import materialize
@@ -622,15 +622,13 @@ def q_stratified_split(spark, sf_dir):
     return ML.stratified_split(wl).select("transaction_id", "split")
 
 
-_SCALE_COLS = ["amount", "rolling_sum_24hr_org", "time_since_last_user_txn"]
-
-
 @query("standard_scale", _feat_sql("txn_events", "transaction_id, " + ", ".join(
     f"round(CASE WHEN stddev_pop({c}) OVER () = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () END, 6)"
-    f" AS {c}_scaled" for c in _SCALE_COLS)))
+    f" AS {c}_scaled" for c in NUMERIC_FEATURES)))
 def q_standard_scale(spark, sf_dir):
-    s = ML.standard_scale(materialize(_features(spark, sf_dir)), _SCALE_COLS)
-    return s.select("transaction_id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in _SCALE_COLS])
+    """M2: every numeric column of the model, scaled by its mean and deviation over all rows."""
+    s = ML.standard_scale(materialize(_features(spark, sf_dir)), NUMERIC_FEATURES)
+    return s.select("transaction_id", *[F.round(f"{c}_scaled", 6).alias(f"{c}_scaled") for c in NUMERIC_FEATURES])
 
 
 @query("category_index", O.with_views("txn_events") + """
